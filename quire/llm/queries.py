@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embed_dedup, minhash_dedup, suffix_dedup
+from quire.llm import bpe, embed_dedup, langid, license_scan, minhash_dedup, packing, quality, spotsigs, suffix_dedup, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,42 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens: a text's UTF-8 bytes and one end mark each."""
+    return packing.pack_documents(_docs(spark, sf_dir), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.token_counts(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_docs(spark, sf_dir)).drop("detections")
+
+
+def op8_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_and_next(_docs(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = langid.fit_languages(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_docs(spark, sf_dir), length=400)
     return cut.select(
@@ -32,10 +69,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_embedding_near_dedup": op1_embedding_near_dedup,
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
-    "op5_suffix_array_dedup": op5_suffix_array_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_quality_classifier, op5_suffix_array_dedup,
+        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id,
+    )
+}
 
 #: Where SQL can express a query's result.
 ORACLE_SQL: dict[str, str] = {

@@ -269,7 +269,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = 400) -> Data
     return scratch.keep(whole.union(again).union(found), "spans")
 
 
-def _cut(n_columns: int):
+def _cut(n_columns: int, characters: bool):
     """Adds n_bytes, the merged spans and the kept bytes to rows of columns, text and raw spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +285,9 @@ def _cut(n_columns: int):
                 mark[offsets[row] + start] += 1
                 mark[offsets[row] + end] -= 1
                 keep = np.cumsum(mark[:-1], dtype=np.int8) == 0
+                if characters and len(buf):
+                    begins = np.flatnonzero((buf & 0xC0) != 0x80)
+                    keep = np.repeat(np.logical_or.reduceat(keep, begins), np.diff(np.append(begins, len(buf))))
                 left = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
                 kept = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(left), pa.py_buffer(buf[keep].tobytes())])
                 spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
@@ -296,11 +299,12 @@ def _cut(n_columns: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """The rows of ``docs`` with ``n_bytes``, ``repeat_spans`` and ``kept`` (the bytes outside the spans).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, characters: bool = False) -> DataFrame:
+    """The rows of ``docs``, without the text, with ``n_bytes``, ``repeat_spans`` and ``kept`` (the bytes outside the spans).
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, in the
-    same text or another, overlapping or not; all places go, and what repeats is judged on the given texts. Null
+    same text or another, overlapping or not; all places go, and what repeats is judged on the given texts.
+    With ``characters``, a character of which a byte stays is kept whole. Null
     texts count as empty and shorter texts than ``length`` stay whole. All other columns are
     kept; one that is named like a new one is replaced. Rows with null or repeated ids are rows like others.
     """
@@ -315,6 +319,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = rows.select(*plain, "doc_id", "twin", "text").join(spans, ["doc_id", "twin"], "left").select(*plain, "text", "raw")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[c]}" for k, c in enumerate(c for c in names if c != text_col)), f"`{len(plain)}` long", f"`{len(plain) + 1}` array<struct<start:long,end:long>>", f"`{len(plain) + 2}` binary"])
-    cut = out.mapInArrow(_cut(len(plain)), schema)
+    cut = out.mapInArrow(_cut(len(plain), characters), schema)
     order = [c for c in names if c != text_col] + list(new)
     return cut.toDF(*order)

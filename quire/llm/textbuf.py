@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _RNG = np.random.default_rng(20240229)
 BYTE64 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,3 +138,19 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def batch(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], [f"c{k}" for k in range(len(columns))])
+
+
+def with_columns(docs: DataFrame, text_col: str, run: Callable, new: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` with new columns that ``run`` appends to batches whose last column is the text.
+
+    Columns go by their places, so any names can be given; a given column named like a new one is replaced.
+    """
+    names = [c for c in docs.columns if c not in new]
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"c{k} {kind}" for k, kind in enumerate([*(kinds[c] for c in names), *new.values()]))
+    return rows.mapInArrow(run, schema).toDF(*names, *new)
