@@ -63,7 +63,8 @@ def document_metadata(pages: DataFrame, witness: str = "Persis Yu", attorney: st
         F.array_join(words, " ").alias("witness"),
         F.coalesce(_found(t, _ATTORNEY), F.lit(attorney)).alias("attorney"),
         F.coalesce(_found(t, _DATE), F.lit(date)).alias("date"),
-        F.coalesce(_found(t, _CASE, _CASE_2), F.lit(case_name)).alias("case_name"),
+        # the patterns take quadratic time where no parties are named, so a linear one goes first
+        F.coalesce(F.when(t.rlike(r"(?i)\sv(?:s?\.?)\s"), _found(t, _CASE, _CASE_2)), F.lit(case_name)).alias("case_name"),
     )
 
 
