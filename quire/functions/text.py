@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # --- fixed values -----------------------------------------------------------------------------
 
@@ -160,7 +161,7 @@ def normalized(c: Column) -> Column:
     return stripped(F.lower(F.regexp_replace(c, r"(?U)[^a-zA-Z0-9\s]", "")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
