@@ -108,7 +108,9 @@ class Model:
         return out
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The language (its number) that loses least, and its share."""
+        """The language (its number) that loses least, and its share; 0 and no share without languages."""
+        if not self.langs:
+            return np.zeros(len(margins), np.int64), np.zeros(len(margins))
         loss = np.log1p(np.exp(np.clip(-margins[:, None, :] * self.code[None], -50, 50))).sum(2)
         share = np.exp(loss.min(1, keepdims=True) - loss)
         share /= share.sum(1, keepdims=True)
