@@ -116,10 +116,10 @@ def test_blank_start_missing_end_and_inversion(spark):
 
 def test_fuzzy_quote_is_found_and_bound_by_lengths(spark):
     texts = [*BASE]
-    texts[30] = "she never received the promissory note from the school"
+    texts[30], texts[31] = "she never received the promissory note from the school", "so"
     quote = "she never recieved a promissory note from that school"
     r = check(spark, topic(name="promissory note", sp=8, sl=6, ep=8, el=9, quote=quote), texts)
-    assert r.verified and r.quote_score == pytest.approx(SequenceMatcher(None, quote, f"{texts[30]} {texts[31]}").ratio(), abs=0.2)
+    assert r.verified and r.quote_score == SequenceMatcher(None, quote, f"{texts[30]} so").ratio()
     assert not check(spark, topic(name="promissory note", sp=8, sl=6, ep=8, el=9, quote=quote), texts, fuzzy=False).verified
 
 
