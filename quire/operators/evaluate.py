@@ -23,6 +23,14 @@ def fully_verified() -> Column:
     return (F.col("confidence") == 1) & ~F.col("needs_human_review")
 
 
+def within_chunks(topics: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, candidate_id) of topics that begin in a chunk's pages or later and end a page after it at most: what
+    stands in for a chunk whose extraction failed."""
+    held = bounds.select("doc_id", "chunk_id", F.col("start_page").alias("lo"), F.col("end_page").alias("hi"))
+    both = topics.select("doc_id", "candidate_id", "start_page", "end_page").join(held, "doc_id")
+    return both.where((F.col("start_page") >= F.col("lo")) & (F.col("end_page") <= F.col("hi") + 1)).select("doc_id", "chunk_id", "candidate_id")
+
+
 def highlighted(topics: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, candidate_id, n_lines, first_gid, last_gid) of the lines that a topic's range highlights."""
     from quire.operators.validate import lines_of_topics, page_limits

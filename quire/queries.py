@@ -416,6 +416,12 @@ def verdict_exact(spark, sf_dir):
     return out.select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", "quote_score", "semantic_score", "inverted", "verified", "confidence", "needs_human_review")
 
 
+@query(_with(GRID, TOPICS, _LOCATED, _VERDICT, select="SELECT doc_id, candidate_id FROM verdicts WHERE verified"))
+def fully_verified(spark, sf_dir):
+    out = validate.validate(_topics(spark, sf_dir), _grid(spark, sf_dir), fuzzy=False)
+    return out.where(evaluate.fully_verified()).select("doc_id", "candidate_id")
+
+
 @query()
 def verdict_fuzzy(spark, sf_dir):
     """Quotes with every fourth character lost are found by similarity."""
@@ -569,6 +575,12 @@ def run_stability(spark, sf_dir):
     return evaluate.run_stability(_runs(spark, sf_dir))
 
 
+@query(_with(GRID, TOPICS, CHUNKED.format(source="grid"), select="SELECT t.doc_id, c.chunk_id, t.candidate_id FROM topics t JOIN (SELECT doc_id, chunk_id, min(page) AS lo, max(page) AS hi FROM chunked GROUP BY doc_id, chunk_id) c ON c.doc_id = t.doc_id AND t.start_page >= c.lo AND t.end_page <= c.hi + 1"))
+def chunk_stand_ins(spark, sf_dir):
+    bounds = chunks.chunk_bounds(chunks.chunk_lines(_grid(spark, sf_dir), 2, 1))
+    return evaluate.within_chunks(_topics(spark, sf_dir), bounds)
+
+
 # --- results ------------------------------------------------------------------------------------------------
 
 _ESCAPED = "replace(replace({0}, chr(10), ' '), '|', '\\|')"
