@@ -5,7 +5,7 @@ similarity J differ in each value with a probability of about 1 - J, so the pair
 within a Hamming distance of R values. The signature is split into chunks, chunk i is allowed e_i
 errors, and as the sum of (e_i + 1) exceeds R, each pair within R agrees on some chunk but for its
 allowed errors (pigeonhole). Errors are enumerated by leaving out one value at a time: a chunk of
-w values gives the keys of its w subsets of w - 1. Pairs that share a key and lie within R are
+w values gives the keys of its w subsets of w - 1. Pairs that share a key, lie within R, and lie within a like distance of longer signatures are
 confirmed on the full shingle sets. Only the pairs that are needed for the components are made:
 
 1. within each key, neighbours in a random order are compared and confirmed, and give components;
@@ -30,8 +30,9 @@ from quire.llm import textbuf
 from quire.llm.scratch import Scratch, connected_components
 
 VALUES, DISTANCE, ERROR_CHUNK = 64, 20, 6
+WIDE = 256
 BLOCK = 1024
-SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, VALUES), dtype=np.uint64).astype(np.uint32)
+SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, WIDE), dtype=np.uint64).astype(np.uint32)
 SEEDS[1] |= 1
 
 
@@ -76,8 +77,8 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
 def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """8-bit MinHash signatures of the runs of hashes that begin at ``starts`` (none is empty)."""
     x = (hashes >> np.uint64(16)).astype(np.uint32)
-    sig = np.empty((len(starts), VALUES), np.uint8)
-    for k in range(VALUES):
+    sig = np.empty((len(starts), WIDE), np.uint8)
+    for k in range(WIDE):
         low = np.minimum.reduceat((x ^ SEEDS[0, k]) * SEEDS[1, k], starts)
         sig[:, k] = (low * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return sig
@@ -109,7 +110,7 @@ def _sketches(words: int):
                     own = np.unique(h[at[i] : at[i + 1]])
                     sizes[i], same[i] = len(own), blake2b(own.tobytes(), digest_size=16).digest()
                 full = np.flatnonzero(sizes)
-                sig = np.zeros((hi - lo, VALUES), np.uint8)
+                sig = np.zeros((hi - lo, WIDE), np.uint8)
                 if len(full):
                     sig[full] = signatures(h, at[:-1][full])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), textbuf.pack_rows(sig)], ["doc_id", "n_shingles", "same", "sig"])
@@ -121,7 +122,7 @@ def _keys(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = chunk_keys(textbuf.binary_rows(batch.column(1), np.uint8, VALUES), plan)
+                keys = chunk_keys(textbuf.binary_rows(batch.column(1), np.uint8, WIDE)[:, :VALUES], plan)
                 yield pa.RecordBatch.from_arrays([batch.column(0), textbuf.lists(keys.reshape(-1), np.full(len(keys), keys.shape[1]))], ["doc_id", "keys"])
 
     return run
@@ -157,7 +158,7 @@ def _sets(words: int):
     return run
 
 
-def _neighbours(distance: int):
+def _neighbours(distance: int, wide: int):
     """Pairs of rows that follow each other within a key and lie within the distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +167,12 @@ def _neighbours(distance: int):
             if not batch.num_rows:
                 continue
             key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = textbuf.binary_rows(batch.column(2), np.uint8, VALUES)
+            sig = textbuf.binary_rows(batch.column(2), np.uint8, WIDE)
             if last:
                 key, doc, sig = np.concatenate([last[0], key]), np.concatenate([last[1], doc]), np.concatenate([last[2], sig])
             at = np.flatnonzero(key[1:] == key[:-1])
-            at = at[(sig[at] != sig[at + 1]).sum(1) <= distance]
+            differ = sig[at] != sig[at + 1]
+            at = at[(differ[:, :VALUES].sum(1) <= distance) & (differ.sum(1) <= wide)]
             pairs = np.unique(np.stack([np.minimum(doc[at], doc[at + 1]), np.maximum(doc[at], doc[at + 1])], 1), axis=0)
             last = (key[-1:], doc[-1:], sig[-1:].copy())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -190,7 +192,7 @@ def first_shared(differ: np.ndarray, plan, which: int, left: int) -> np.ndarray:
     return good
 
 
-def _across(distance: int, plan):
+def _across(distance: int, wide: int, plan):
     """Pairs of different components within the distance, of each block pair; each at its first shared key."""
     slots = [(c, i) for c, (a, b, e) in enumerate(plan) for i in (range(b - a) if e else [0])]
 
@@ -198,7 +200,7 @@ def _across(distance: int, plan):
         for table in textbuf.grouped(batches, lambda x: x.column("cell").to_numpy()):
             cell, doc, part = (table.column(k).to_numpy() for k in ("cell", "doc_id", "component"))
             one, two, own, slot = (table.column(k).to_numpy() for k in ("one", "two", "own", "slot"))
-            sig = textbuf.binary_rows(table.column("sig"), np.uint8, VALUES)
+            sig = textbuf.binary_rows(table.column("sig"), np.uint8, WIDE)
             cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
             found = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -209,7 +211,7 @@ def _across(distance: int, plan):
                 for i in left:
                     other = right[(part[right] != part[i]) & ((right > i) | (one[lo] != two[lo]))]
                     differ = sig[other] != sig[i]
-                    near = differ.sum(1) <= distance
+                    near = (differ[:, :VALUES].sum(1) <= distance) & (differ.sum(1) <= wide)
                     other, differ = other[near], differ[near]
                     other = other[first_shared(differ, plan, *slots[slot[lo]])]
                     found.append(np.stack([np.minimum(doc[i], doc[other]), np.maximum(doc[i], doc[other])], 1))
@@ -220,26 +222,22 @@ def _across(distance: int, plan):
     return run
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    links = scratch.keep(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b"), "links")
-    scratch.drop(sets)
-    return links
+    return scratch.keep(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = 60) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Documents link if 100 * |intersection| >= percent * |union| of their word shingle sets; a
     component's id is the smallest doc_id that links reach. Null and empty texts have no shingles and
     link with nothing; rows with a null id are returned with their own null component; repeated
-    rows of one id are returned each, with the same component. Other columns are not looked at.
+    rows of one id are returned each, with the same component (of different texts under one id any may stand for it). Other columns are not looked at.
     A pair at the threshold is missed if its signatures differ in more than ``distance`` of 64
-    values, which at 85 percent has a probability of about 0.0003.
+    values, or ``wide`` of ``WIDE``, which at 85 percent has a probability of about 0.0005.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -251,10 +249,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("doc_id", "sig").mapInArrow(_keys(plan), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("slot", "key"))
     keys = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, slot int, key long")
     shared = scratch.keep(keys.join(reps.select("doc_id", "sig"), "doc_id").select("key", "slot", "doc_id", "sig"), "shared")
+    near = shared.select("doc_id").distinct().hint("merge")  # alike at any size: no set of ids is broadcast
+    sets = scratch.keep(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = shared.select("key", "doc_id", "sig").withColumn("r", F.xxhash64("key", "doc_id")).repartitionByRange(n, "key", "r").sortWithinPartitions("key", "r")
-    pairs = scratch.keep(ordered.select("key", "doc_id", "sig").mapInArrow(_neighbours(distance), "a long, b long").distinct(), "pairs")
-    first = _confirmed(scratch, docs, pairs, words, percent)
+    pairs = scratch.keep(ordered.select("key", "doc_id", "sig").mapInArrow(_neighbours(distance, wide), "a long, b long").distinct(), "pairs")
+    first = _confirmed(scratch, sets, pairs, percent)
     parts = scratch.keep(connected_components(scratch, first), "parts")
     named = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
@@ -262,11 +262,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = named.join(mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).withColumn("cell", F.xxhash64("key", "one", "two"))
     blocks = blocks.select("cell", "slot", "doc_id", "component", "one", "two", "own", "sig").repartition("cell").sortWithinPartitions("cell", "own", "doc_id")
-    rest = blocks.mapInArrow(_across(distance, plan), "a long, b long").distinct()
+    rest = blocks.mapInArrow(_across(distance, wide, plan), "a long, b long").distinct()
     rest = scratch.keep(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    second = _confirmed(scratch, docs, rest, words, percent)
+    second = _confirmed(scratch, sets, rest, percent)
     parts = scratch.keep(connected_components(scratch, first.union(second)), "parts")
-    scratch.drop(shared)
+    scratch.drop(shared, sets)
     members = reps.select("same", F.col("doc_id").alias("node")).join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     out = sketch.join(members, "same", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
