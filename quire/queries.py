@@ -305,7 +305,7 @@ def _answers(spark, sf_dir):
     return bounds.withColumn("answer", answer)
 
 
-@query(_with(GRID, CHUNKED.format(source="grid"), select="""SELECT doc_id, chunk_id * 1000000 + nth AS candidate_id, CASE nth WHEN 0 THEN 'T' || doc_id ELSE 'Untitled Topic' END AS topic, sp AS start_page, CASE nth WHEN 0 THEN 2 ELSE 1 END AS start_line, ep AS end_page, CASE nth WHEN 0 THEN 9 ELSE 25 END AS end_line,
+@query(_with(GRID, CHUNKED.format(source="grid"), select="""SELECT doc_id, chunk_id * 1000000 + nth AS candidate_id, CASE nth WHEN 0 THEN 'T' || doc_id ELSE 'Untitled Topic' END AS topic, sp AS start_page, CAST(CASE nth WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS start_line, ep AS end_page, CAST(CASE nth WHEN 0 THEN 9 ELSE 25 END AS BIGINT) AS end_line,
   CASE nth WHEN 0 THEN 's' ELSE 'only' END AS summary, CASE nth WHEN 0 THEN 'q' ELSE '' END AS supporting_quote FROM (SELECT doc_id, chunk_id, min(page) AS sp, max(page) AS ep FROM chunked GROUP BY doc_id, chunk_id) CROSS JOIN (SELECT unnest([0, 1]) AS nth) WHERE doc_id % 3 < 2"""))
 def llm_decode(spark, sf_dir):
     return chunks.decode_candidates(_answers(spark, sf_dir)).select("doc_id", "candidate_id", "topic", "start_page", "start_line", "end_page", "end_line", "summary", "supporting_quote")
