@@ -79,7 +79,7 @@ def anchor_runs(grams: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.n
     return p[first], p[last], at[p[first]]
 
 
-ANCHORS = "doc_id long, twin long, p1 int, p2 int, gram long, seg long"
+ANCHORS = "doc_id long, twin long, gram long, seg long, p1 array<int>, p2 array<int>"
 
 
 def _anchors(length: int):
@@ -101,11 +101,19 @@ def _anchors(length: int):
                         continue
                     row = np.searchsorted(offsets, p1 + base, "right") - 1
                     seg = textbuf.mix(window_hashes(grams, p1, length) * _MULTIPLIERS[10] + window_hashes(grams, p2, length) + (p2 - p1).astype(np.uint64))
-                    take = pa.array(row + lo)
+                    # places of one document with equal segments are one row
+                    gram = grams[at]
+                    order = np.lexsort((p1, seg, gram, row))
+                    row, p1, p2, gram, seg = row[order], p1[order], p2[order], gram[order], seg[order]
+                    first = np.ones(len(row), bool)
+                    first[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (seg[1:] != seg[:-1])
+                    head = np.flatnonzero(first)
+                    sizes = np.diff(np.append(head, len(row)))
                     start = offsets[row] - base
+                    take = pa.array(row[head] + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(take), batch.column("twin").take(take), pa.array((p1 - start).astype(np.int32)), pa.array((p2 - start).astype(np.int32)), pa.array(grams[at].view(np.int64)), pa.array(seg.view(np.int64))],
-                        ["doc_id", "twin", "p1", "p2", "gram", "seg"],
+                        [batch.column("doc_id").take(take), batch.column("twin").take(take), pa.array(gram[head].view(np.int64)), pa.array(seg[head].view(np.int64)), textbuf.lists((p1 - start).astype(np.int32), sizes), textbuf.lists((p2 - start).astype(np.int32), sizes)],
+                        ["doc_id", "twin", "gram", "seg", "p1", "p2"],
                     )
 
     return run
@@ -245,28 +253,30 @@ def _matches(length: int):
 
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, twin, start, end) of spans of ``docs`` (doc_id, twin, text) covered by repeated strings.
+    """(doc_id, twin, spans) of ``docs`` (doc_id, twin, text): spans of bytes covered by repeated strings.
 
-    Spans of one document may overlap. What repeats in a text depends on nothing but the texts, so
+    A document may have many rows, and its spans may overlap. What repeats in a text depends on nothing but the texts, so
     rows that agree on id and text (``twin`` is the text's hash) share their spans.
     """
     if not GRAM < length <= GRAM * 16:
         raise ValueError(f"a length of {GRAM + 1} to {GRAM * 16} bytes is supported")
     anchors = scratch.keep(docs.mapInArrow(_anchors(length), ANCHORS), "anchors")
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1")
-    shared = scratch.keep(anchors.join(grams.select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "gram"), "shared")
-    scratch.drop(anchors)
-    whole = shared.where("alike").select("doc_id", "twin", F.col("p1").alias("start"), (F.col("p2") + length).alias("end"))
+    places = F.sum(F.size("p1")).alias("n")
+    grams = scratch.keep(anchors.groupBy("gram").agg(places, F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
+    shared = scratch.keep(anchors.join(grams, "gram"), "shared")
+    scratch.drop(anchors, grams)
+    spans = F.arrays_zip(F.col("p1").alias("start"), F.transform("p2", lambda p: p + length).alias("end"))
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
+    whole = shared.where("alike").select("doc_id", "twin", spans)
     mixed = shared.where("not alike")
-    owner = F.struct("doc_id", "twin", "p1", "p2")
-    kinds = scratch.keep(mixed.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(owner).alias("owner")), "kinds")
-    again = mixed.join(kinds.where("n > 1").select("gram", "seg"), ["gram", "seg"], "left_semi")
-    again = again.select("doc_id", "twin", F.col("p1").alias("start"), (F.col("p2") + length).alias("end"))
+    owner = F.struct("doc_id", "twin", F.element_at("p1", 1).alias("p1"), F.element_at("p2", 1).alias("p2"))
+    kinds = scratch.keep(mixed.groupBy("gram", "seg").agg(places, F.min(owner).alias("owner")), "kinds")
+    again = mixed.join(kinds.where("n > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("doc_id", "twin", spans)
     want = kinds.select("owner.*", "gram", (F.col("n") > 1).alias("known")).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("p1", "p2", "gram", "known")).alias("want"))
     pieces = docs.join(want.withColumnsRenamed({"doc_id": "d", "twin": "t"}), (F.col("doc_id") == F.col("d")) & (F.col("twin") == F.col("t"))).select("doc_id", "twin", "text", "want")
     pieces = pieces.mapInArrow(_segments(length), "doc_id long, twin long, p1 int, gram long, known boolean, bytes binary")
     found = pieces.repartition("gram").mapInArrow(_matches(length), "doc_id long, twin long, start int, end int")
-    return scratch.keep(whole.union(again).union(found), "spans")
+    return scratch.keep(whole.union(again).union(found.select("doc_id", "twin", F.array(F.struct("start", "end")))), "spans")
 
 
 def _cut(n_columns: int, characters: bool):
@@ -312,9 +322,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     new = ("n_bytes", "repeat_spans", "kept")
     names = [c for c in docs.columns if c not in new]
-    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
     spans = repeated_spans(scratch, rows.select("doc_id", "twin", "text"), length)
-    spans = spans.distinct().groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("raw"))
+    spans = spans.distinct().groupBy("doc_id", "twin").agg(F.flatten(F.collect_list("spans")).alias("raw"))
     plain = [f"c{k}" for k, c in enumerate(names) if c != text_col]
     out = rows.select(*plain, "doc_id", "twin", "text").join(spans, ["doc_id", "twin"], "left").select(*plain, "text", "raw")
     kinds = dict(docs.dtypes)
