@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with one id one stays; rows without an id can't be named as a duplicate and stay.
     """
-    found = minhash_dedup.near_duplicates(docs, words=5, percent=80, distance=23, chunk=5)
+    found = minhash_dedup.near_duplicates(docs, words=5, percent=80, distance=23, chunk=5, wide=75)
     kept = found.where("doc_id = component_id").select("doc_id")
     named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null"))
