@@ -68,6 +68,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pair = textbuf.mix(h[1:] * np.uint64(3) + h[:-1])[together[1:]]
     pair_doc = doc[1:][together[1:]]
     pairs, _ = _distinct(pair, pair_doc, n)
+    beside = _per_text(np.ones(len(pair_doc)), pair_doc, n)
     line_start, line_end, line_doc = textbuf.words(buf, offsets, _LINE_END)
     lines = _per_text(np.ones(len(line_doc)), line_doc, n)
     distinct_lines, _ = _distinct(textbuf.word_hashes(buf, line_start, line_end), line_doc, n)
@@ -76,7 +77,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     second = kind[np.minimum(starts + 1, max(0, len(kind) - 1))] if len(starts) else kind[:0]
     columns = (
         np.log1p(words), mean, sd, *(counts[:, k] / bytes_ for k in (1, 2, 3, 4, 5, 6, 7, 8)),
-        distinct / np.sqrt(some), top / some, _per_text(same, doc, n) / some, 1 - pairs / np.maximum(1, _per_text(np.ones(len(pair_doc)), pair_doc, n)) if len(pair_doc) else np.zeros(n),
+        distinct / np.sqrt(some), top / some, _per_text(same, doc, n) / some, np.where(beside > 0, 1 - pairs / np.maximum(1, beside), 0),
         np.where(lines > 0, 1 - distinct_lines / np.maximum(lines, 1), 0), _per_text(big & (second == 1), doc, n) / some, _per_text(last == 4, doc, n) / some, _per_text(last == 5, doc, n) / some, words / np.maximum(lines, 1),
     )
     return np.stack(columns, 1)
@@ -197,8 +198,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("id", "y", "text").limit(sample)
-    rows = textbuf.with_columns(rows, "text", _measured, {"x": "binary"}).select("id", "y", "x").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("id", "y", "text")
+    rows = textbuf.with_columns(rows, "text", _measured, {"x": "binary"}).select("id", "y", "x").limit(sample).collect()
     rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), float).reshape(len(rows), len(FEATURES))
     return Model.fit(x, np.array([r["y"] for r in rows], float))
