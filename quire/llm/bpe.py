@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -30,10 +32,14 @@ WIDE_SPACE = re.compile("[\x85\xa0  -     　\x1c-\x1f]")
 NARROW_SPACE = ("\t", "\n", "\r", "\x0b", "\x0c")
 
 
+FOUR_BYTES = next(t for t in "IL" if array(t).itemsize == 4)
+MARKS = frozenset(".,;:!?")
+
+
 class Transducer:
     """Encodes pieces of bytes by the merges that ``ranks`` (bytes to id) imply."""
 
-    MOST_STATES = 150_000
+    MOST_STATES = 300_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -45,7 +51,7 @@ class Transducer:
     def reset(self) -> None:
         self.states = [b""]
         self.number = {b"": 0}
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # of state and byte, the state 8 bits up
         self.ends: dict[int, tuple[int, ...]] = {}
         self.lasts: dict[bytes, tuple[int, ...]] = {b"": ()}
 
@@ -87,7 +93,7 @@ class Transducer:
         return out
 
     def _grow(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        held = self.states[state] + bytes([byte])
+        held = self.states[state >> 8] + bytes([byte])
         n, lasts = len(held), self.last_tokens(held)
         path = self._path(lasts, n)
         settled = set(path).intersection(*(self._path(lasts, k) for k in range(n) if held[k:] in self.prefixes))
@@ -96,12 +102,11 @@ class Transducer:
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
-            self.next.append({})
-        self.next[state][byte] = out = (self.number[new], tuple(lasts[k - 1] for k in reversed(path) if 0 < k <= cut))
+        self.next[state | byte] = out = (self.number[new] << 8, tuple(lasts[k - 1] for k in reversed(path) if 0 < k <= cut))
         return out
 
     def _end(self, state: int) -> tuple[int, ...]:
-        held = self.states[state]
+        held = self.states[state >> 8]
         lasts = self.last_tokens(held)
         self.ends[state] = out = tuple(lasts[k - 1] for k in reversed(self._path(lasts, len(held))) if k)
         return out
@@ -113,29 +118,31 @@ class Transducer:
         if len(self.states) > self.MOST_STATES:
             self.reset()
         out: list[int] = []
-        state, table = 0, self.next
+        state, step = 0, self.next.get
         for byte in piece:
-            step = table[state].get(byte) or self._grow(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state, told = step(state | byte) or self._grow(state, byte)
+            if told:
+                out += told
         out += self.ends[state] if state in self.ends else self._end(state)
         return out
 
 
 class _Cache(dict):
-    """Encodings of short strings; what is held is emptied when it grows too large, and made anew."""
+    """Encodings of short strings. When too many are held, only those used since the last time stay at hand."""
 
-    MOST = 250_000
+    MOST = 150_000
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= 48:
             if len(self) >= self.MOST:
+                self.older = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -147,10 +154,25 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
+        self.spaced_words = r" ?\p{L}+|" in pattern and not self.pattern.fullmatch(" a.")
         self.table = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
-        self.pieces = _Cache(lambda piece: np.array(self.transducer.encode(piece.encode()), "<u4").tobytes())
+        self.pieces = _Cache(self._piece)
         self.first = _Cache(self._matches)
-        self.later = _Cache(lambda chunk: self._matches(" " + chunk))
+        self.later = _Cache(self._later)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = array(FOUR_BYTES, self.transducer.encode(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _later(self, chunk: str) -> bytes:
+        """A chunk after a space. Letters are one match along with the space, and a mark after them is another."""
+        if self.spaced_words and chunk.isalpha():
+            return self._piece(" " + chunk)
+        if self.spaced_words and chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.later[chunk[:-1]] + self.pieces[chunk[-1]]
+        return self._matches(" " + chunk)
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
