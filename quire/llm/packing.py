@@ -2,7 +2,8 @@
 
 Pieces go in falling length into the fullest open bin that holds them. If none does, a bin is
 opened: of the permitted lengths that hold the piece, the one with the least cost for each token
-it can be expected to hold, given the pieces that are still to come. At the end each bin shrinks to the shortest
+that it would hold once the pieces still to come have filled it, in falling length; pieces that open
+bins are expected to take are not counted again. At the end each bin shrinks to the shortest
 permitted length that holds its contents. A sequence of n tokens costs n * (1 + n / ATTENTION)
 plus a fixed part, so long bins are opened only for long pieces or if they'll be filled better.
 
@@ -14,7 +15,8 @@ the same outcome; what grouping costs is a few bins a group that stay unfilled.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,24 @@ def cost(capacity: float) -> float:
     return capacity * (1 + capacity / ATTENTION) + FIXED
 
 
+def _filling(free: int, alive: list[int], spare: Counter[int]) -> tuple[list[tuple[int, int]], int]:
+    """(length, count) of the spare pieces that fill ``free`` tokens in falling length, and the tokens left free.
+
+    ``alive`` has the lengths of which there are spare pieces, sorted.
+    """
+    taken = []
+    at = len(alive)
+    while free and (at := bisect_right(alive, free, 0, at)):
+        at -= 1
+        n = alive[at]
+        if not n:
+            break
+        m = min(spare[n], free // n)
+        taken.append((n, m))
+        free -= n * m
+    return taken, free
+
+
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each length and (capacity, used) of each bin; no length exceeds the largest capacity."""
     order = np.argsort(-lengths, kind="stable")
@@ -37,21 +57,45 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple
     room: list[tuple[int, int]] = []  # (free, bin) of open bins, sorted
     size: list[int] = []
     used: list[int] = []
-    to_come = int(lengths.sum())
+    # pieces to come, by length: those that open bins are expected to take, and the others
+    planned: Counter[int] = Counter()
+    spare = Counter(lengths.tolist())
+    alive = sorted(spare)
+
+    def take(n: int, m: int) -> None:
+        spare[n] -= m
+        if not spare[n]:
+            del alive[bisect_left(alive, n)]
+
     for k in order:
         n = int(lengths[k])
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
+            if planned[n]:
+                planned[n] -= 1
+            else:
+                take(n, 1)
         else:
-            fitting = [c for c in capacities if c >= n]
+            # no open bin takes this length, so none of it is expected in one
+            if not spare[n]:
+                insort(alive, n)
+            spare[n] += planned.pop(n, 0)
+            take(n, 1)
+            choices = []
+            for c in (c for c in capacities if c >= n):
+                fill, left = _filling(c - n, alive, spare)
+                held = c - left
+                choices.append((cost(min(x for x in capacities if x >= held)) / max(1, held), c, fill))
+            _, free, fill = min(choices)
+            for length, m in fill:
+                take(length, m)
+                planned[length] += m
             b = len(size)
-            size.append(min(fitting, key=lambda c: (cost(c) / max(1, min(c, to_come)), c)))
+            size.append(free)
             used.append(0)
-            free = size[b]
         bin_of[k], offset[k] = b, used[b]
         used[b] += n
-        to_come -= n
         if free > n:
             insort(room, (free - n, b))
     downsized = [min(c for c in capacities if c >= u) for u in used]

@@ -231,3 +231,19 @@ def test_packing_documents(spark):
     fill = np.random.default_rng(1).integers(1, 3000, 5000)
     *_, size, used = packing.pack(fill)
     assert used.sum() / size.sum() > 0.97
+
+
+def test_packing_opens_longer_bins_that_fill_better():
+    for lengths in ([700] * 300, [700] * 100 + [5000] * 10 + [90] * 20, [1300] * 90):
+        bins, _, size, used = packing.pack(np.array(lengths, np.int64))
+        shortest = sum(packing.cost(min(c for c in packing.CAPACITIES if c >= n)) for n in lengths)
+        assert used.sum() == sum(lengths) and sum(map(packing.cost, size)) < 0.95 * shortest
+    # five of 700 in 4096 cost less a token than one in 1024, two in 2048 or eleven in 8192
+    bins, _, size, used = packing.pack(np.full(300, 700))
+    assert set(size) == {4096} and set(np.bincount(bins)) == {5}
+    # pieces that fill the short bins leave no reason for longer ones
+    *_, size, used = packing.pack(np.array([700] * 40 + [324] * 40))
+    assert set(size) == {1024} and set(used) == {1024}
+    # but of those that open bins are expected to take none is counted twice
+    *_, size, used = packing.pack(np.array([700] * 40 + [324] * 10))
+    assert sorted(set(size)) == [1024, 4096] and (used[size == 1024] == 1024).all() and (size == 1024).sum() == 10
