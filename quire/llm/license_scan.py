@@ -1,7 +1,9 @@
 """License scan by ordered signature rules.
 
 Each rule is a regex with a label, a priority and the keywords without one of which it can't match.
-Texts without any keyword are done after a few substring searches. Of detections, one that lies within
+Both are looked for in the text with each run of white space, and the comment marks at the line ends in it,
+folded to one space, so that wrapped notices are found. Texts without any keyword are done after a few
+substring searches. Of detections, one that lies within
 another of the same or a higher priority is suppressed, so "gpl-3.0" leaves no plain "gpl" beside
 it; base phrases are found by words, and their labels always stay.
 """
@@ -9,6 +11,7 @@ it; base phrases are found by words, and their labels always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -25,6 +28,11 @@ from quire.llm import textbuf
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 WORD_SEPARATOR = np.ones(256, bool)
 WORD_SEPARATOR[0x30:0x3A] = WORD_SEPARATOR[0x61:0x7B] = WORD_SEPARATOR[0x80:] = WORD_SEPARATOR[0x41:0x5B] = False
+#: Ends of lines, and the marks with which languages open, carry on and close comments.
+LINE_END = r"\n\r\v\f\x85\u2028\u2029"
+MARK = r"(?:/\*+!?|\*+[/)]?|\(\*+|//+!?|#+|;+|%+|!+|>+|\|+|<!--+|--+>?|\.?\\\"|(?:rem|dnl)(?=\s))"
+#: A run of white space; if a line ends in it, also a mark before that end and the marks at the starts of lines.
+FOLDED = re.compile(rf"\s(?:(?:(?<=[{LINE_END}])|[^\S{LINE_END}]*(?:{MARK}[^\S{LINE_END}]*)?[{LINE_END}])(?:\s*{MARK})*\s*|\s*)")
 
 
 @dataclass(frozen=True)
@@ -39,22 +47,22 @@ class Rule:
 #: Hand-written rules, as (label, priority, weight, keywords, pattern).
 WRITTEN = (
     ("mit", 80, 0.95, "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("mit", 60, 0.8, "mit license", r"\b(?:under|released under|licensed under) (?:the )?mit licen[sc]e"),
-    ("mit", 40, 0.6, "mit license", r"\bthe mit licen[sc]e\b|\bmit licen[sc]e\b"),
+    ("mit", 60, 0.8, "mit licen", r"\b(?:under|released under|licensed under) (?:the )?mit licen[sc]e"),
+    ("mit", 40, 0.6, "mit licen", r"\bthe mit licen[sc]e\b|\bmit licen[sc]e\b"),
     ("mit-0", 70, 0.8, "mit no attribution", r"\bmit no attribution\b"),
     ("isc", 80, 0.95, "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
-    ("isc", 40, 0.6, "isc license", r"\bisc licen[sc]e\b"),
+    ("isc", 40, 0.6, "isc licen", r"\bisc licen[sc]e\b"),
     ("bsd", 70, 0.9, "redistribution and use", r"redistribution and use in source and binary forms"),
     ("bsd-3-clause", 80, 0.9, "endorse or promote", r"neither the name of .{1,80}? may be used to endorse or promote"),
     ("bsd-2-clause", 50, 0.7, "simplified bsd|2-clause bsd|bsd 2-clause", r"\b(?:simplified bsd|2-clause bsd|bsd 2-clause) licen[sc]e"),
     ("bsd-3-clause", 50, 0.7, "new bsd|modified bsd|3-clause bsd|bsd 3-clause", r"\b(?:new bsd|modified bsd|3-clause bsd|bsd 3-clause) licen[sc]e"),
     ("bsd-4-clause", 50, 0.7, "original bsd|4-clause bsd", r"\b(?:original|4-clause) bsd licen[sc]e"),
-    ("bsd", 30, 0.5, "bsd license", r"\bbsd licen[sc]e\b"),
-    ("apache-2.0", 90, 0.97, "apache license", r"licensed under the apache licen[sc]e,? version 2\.0"),
+    ("bsd", 30, 0.5, "bsd licen", r"\bbsd licen[sc]e\b"),
+    ("apache-2.0", 90, 0.97, "apache licen", r"licensed under the apache licen[sc]e,? version 2\.0"),
     ("apache-2.0", 70, 0.8, "apache", r"\bapache(?: software)? licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?\b|\bapache-2\.0\b"),
     ("apache-2.0", 60, 0.8, "apache.org/licenses", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", 70, 0.8, "apache", r"\bapache(?: software)? licen[sc]e,? (?:version |v\.? ?)?1\.1\b"),
-    ("apache", 30, 0.5, "apache license", r"\bapache(?: software)? licen[sc]e\b"),
+    ("apache", 30, 0.5, "apache", r"\bapache(?: software)? licen[sc]e\b"),
     ("mpl-2.0", 80, 0.95, "mozilla public", r"subject to the terms of the mozilla public licen[sc]e,? v\. ?2\.0"),
     ("mpl-2.0", 60, 0.8, "mpl-2.0|mozilla public", r"\bmpl-2\.0\b|\bmozilla public licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?\b"),
     ("mpl-1.1", 60, 0.8, "mpl-1.1|mozilla public", r"\bmpl-1\.1\b|\bmozilla public licen[sc]e,? (?:version |v\.? ?)?1\.1\b"),
@@ -64,9 +72,9 @@ WRITTEN = (
     ("epl", 30, 0.5, "eclipse public", r"\beclipse public licen[sc]e\b"),
     ("cddl", 50, 0.7, "common development and distribution", r"\bcommon development and distribution licen[sc]e\b"),
     ("eupl", 50, 0.7, "european union public", r"\beuropean union public licen[sc]e\b"),
-    ("artistic", 50, 0.7, "artistic license", r"\bartistic licen[sc]e\b"),
+    ("artistic", 50, 0.7, "artistic licen", r"\bartistic licen[sc]e\b"),
     ("zlib", 80, 0.9, "without any express or implied warranty", r"provided 'as-is',? without any express or implied warranty"),
-    ("zlib", 40, 0.6, "zlib license", r"\bzlib licen[sc]e\b"),
+    ("zlib", 40, 0.6, "zlib licen", r"\bzlib licen[sc]e\b"),
     ("boost", 60, 0.8, "boost software", r"\bboost software licen[sc]e\b"),
     ("unlicense", 80, 0.95, "released into the public domain", r"free and unencumbered software released into the public domain"),
     ("unlicense", 40, 0.6, "unlicense", r"\bunlicense\b"),
@@ -74,27 +82,27 @@ WRITTEN = (
     ("public-domain", 40, 0.6, "public domain", r"\b(?:in|into|to) the public domain\b"),
     ("public-domain", 30, 0.4, "public domain", r"\bpublic domain\b"),
     ("ofl", 60, 0.8, "open font", r"\b(?:sil )?open font licen[sc]e\b"),
-    ("odbl", 60, 0.8, "open database license", r"\bopen database licen[sc]e\b|\bodbl\b"),
+    ("odbl", 60, 0.8, "open database licen|odbl", r"\bopen database licen[sc]e\b|\bodbl\b"),
     ("odc-by", 60, 0.8, "open data commons", r"\bopen data commons attribution licen[sc]e\b"),
     ("pddl", 60, 0.8, "public domain dedication", r"\bpublic domain dedication and licen[sc]e\b"),
     ("gfdl", 60, 0.8, "free documentation", r"\bgnu free documentation licen[sc]e\b"),
     ("ogl", 50, 0.7, "open government", r"\bopen government licen[sc]e\b"),
     ("python", 50, 0.7, "python software foundation", r"\bpython software foundation licen[sc]e\b"),
-    ("postgresql", 50, 0.7, "postgresql license", r"\bpostgresql licen[sc]e\b"),
+    ("postgresql", 50, 0.7, "postgresql licen", r"\bpostgresql licen[sc]e\b"),
     ("bsl", 50, 0.7, "business source", r"\bbusiness source licen[sc]e\b"),
     ("sspl", 50, 0.7, "server side public", r"\bserver side public licen[sc]e\b"),
-    ("elastic", 50, 0.7, "elastic license", r"\belastic licen[sc]e\b"),
-    ("openrail", 50, 0.7, "openrail|rail license", r"\b(?:big(?:code|science) )?open ?rail(?:-m)? licen[sc]e\b|\bopenrail\b"),
+    ("elastic", 50, 0.7, "elastic licen", r"\belastic licen[sc]e\b"),
+    ("openrail", 50, 0.7, "openrail|open rail", r"\b(?:big(?:code|science) )?open ?rail(?:-m)? licen[sc]e\b|\bopenrail\b"),
     ("proprietary", 60, 0.8, "proprietary and confidential", r"\bproprietary and confidential\b"),
-    ("proprietary", 50, 0.7, "may not be reproduced", r"\bmay not be (?:reproduced|copied|redistributed)\b"),
-    ("proprietary", 50, 0.7, "without prior written|without written", r"\bwithout (?:the )?(?:prior )?(?:express )?written (?:permission|consent)\b"),
-    ("proprietary", 40, 0.6, "unauthorized", r"\bunauthori[sz]ed (?:copying|reproduction|distribution|use)\b"),
+    ("proprietary", 50, 0.7, "may not be", r"\bmay not be (?:reproduced|copied|redistributed)\b"),
+    ("proprietary", 50, 0.7, "written permission|written consent", r"\bwithout (?:the )?(?:prior )?(?:express )?written (?:permission|consent)\b"),
+    ("proprietary", 40, 0.6, "unauthori", r"\bunauthori[sz]ed (?:copying|reproduction|distribution|use)\b"),
     ("non-commercial", 40, 0.6, "noncommercial|non-commercial", r"\bfor non-?commercial (?:use|purposes) only\b"),
     ("no-derivatives", 40, 0.6, "derivative works", r"\bno derivative works\b"),
     ("reserved", 40, 0.6, "alle rechte vorbehalten", r"\balle rechte vorbehalten\b"),
     ("reserved", 40, 0.6, "tous droits", r"\btous droits r[ée]serv[ée]s\b"),
     ("reserved", 40, 0.6, "todos los derechos", r"\btodos los derechos reservados\b"),
-    ("reserved", 40, 0.6, "rights reserved", r"\ball rights (?:are )?reserved\b|\bsome rights reserved\b"),
+    ("reserved", 40, 0.6, "rights reserved|rights are reserved", r"\ball rights (?:are )?reserved\b|\bsome rights reserved\b"),
     ("copyright", 20, 0.3, "copyright|(c)|©", r"(?:\bcopyright\b|\(c\)|©) *(?:\(c\)|©)? *(?:19|20)\d\d"),
     ("copyright", 10, 0.2, "copyright", r"\bcopyright\b"),
     ("license-notice", 10, 0.2, "licensed under", r"\blicensed under\b"),
@@ -113,7 +121,7 @@ def _families() -> Iterator[Rule]:
             v = re.escape(version)
             label, more = f"cc-{variant}-{version}".rstrip("-"), 10 * len(parts) + 5 * bool(version)
             tail = rf"[\s_-]+(?:v|version )?{v}\b" if version else r"\b(?![\s_-]+(?:sa|nc|nd)\b)"
-            yield Rule(label, 40 + more, 0.8, ("cc by", "cc-by", "cc_by"), rf"\bcc[\s_-]+{short}{tail}")
+            yield Rule(label, 40 + more, 0.8, ("cc ", "cc-", "cc_"), rf"\bcc[\s_-]+{short}{tail}")
             yield Rule(label, 45 + more, 0.9, ("creative commons",), rf"\bcreative commons {full}" + (rf"[\s,-]+(?:v|version )?{v}(?: (?:international|unported|generic))?" if version else r"(?: licen[sc]e)?"))
             if version:
                 yield Rule(label, 50 + more, 0.95, ("creativecommons.org",), rf"creativecommons\.org/licenses/{variant}/{v}")
@@ -141,7 +149,7 @@ def rules() -> list[Rule]:
     """All rules, by falling priority and then by label and pattern."""
     out = [Rule(a, b, c, tuple(d.split("|")), e) for a, b, c, d, e in WRITTEN] + list(_families())
     out += [Rule(x, 95, 0.98, ("spdx-license-identifier",), rf"spdx-license-identifier:\s*{re.escape(x)}(?![\w.-])") for x in TAGGED]
-    out += [Rule(x, 55, 0.7, (f"license: {x}", f"licence: {x}", f"license={x}"), rf"\blicen[sc]e(?:: |=){re.escape(x)}(?![\w.-])") for x in TAGGED]
+    out += [Rule(x, 55, 0.7, (f"license: {x}", f"licence: {x}", f"license={x}", f"licence={x}"), rf"\blicen[sc]e(?:: |=){re.escape(x)}(?![\w.-])") for x in TAGGED]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
 
 
@@ -158,6 +166,21 @@ def surviving(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int,
     return sorted(kept)
 
 
+def fold(text: str) -> str:
+    """The text that rules are matched on."""
+    return FOLDED.sub(" ", text)
+
+
+def unfolded(found: list[tuple[int, int, int, str, float]], text: str) -> list[tuple[int, int, int, str, float]]:
+    """Detections in a folded text, with starts and ends in the text that was folded."""
+    at, shift = [], [0]  # each run's place in the folded text, what is left out before each
+    for m in FOLDED.finditer(text):
+        at.append(m.start() - shift[-1])
+        shift.append(shift[-1] + m.end() - m.start() - 1)
+    place = lambda k: k + shift[bisect_left(at, k)]
+    return [(place(a), place(b - 1) + 1, *more) for a, b, *more in found]
+
+
 class Scanner:
     def __init__(self):
         self.rules = [(r, re.compile(r.pattern)) for r in rules()]
@@ -165,7 +188,7 @@ class Scanner:
         for n, (r, _) in enumerate(self.rules):
             for k in r.keywords:
                 self.by_keyword.setdefault(k, []).append(n)
-        self.keywords = sorted((k.encode(), n) for k, n in self.by_keyword.items())
+        self.keywords = sorted(self.by_keyword.items())
         gap = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
         inside = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
         self.base = [(p.split()[0].encode(), re.compile(rb"(?<!" + inside + rb")" + gap.join(p.encode().split()) + rb"(?!" + inside + rb")"), label) for p, label in BASE]
@@ -175,11 +198,17 @@ class Scanner:
         return sorted((m.start(), label) for word, pattern, label in self.base if word in low for m in pattern.finditer(low))
 
     def detect(self, low: bytes) -> list[tuple[int, int, int, str, float]]:
-        open_rules = sorted({n for k, at in self.keywords if k in low for n in at})
+        text = low.decode("utf-8", "replace")
+        folded = fold(text)
+        open_rules = self.opened(folded)
         if not open_rules:
             return []
-        text = low.decode("utf-8", "replace")
-        return surviving([(*m.span(), r.priority, r.label, r.weight) for r, p in (self.rules[n] for n in open_rules) for m in p.finditer(text)])
+        found = surviving([(*m.span(), r.priority, r.label, r.weight) for r, p in (self.rules[n] for n in open_rules) for m in p.finditer(folded)])
+        return found if len(folded) == len(text) else unfolded(found, text)
+
+    def opened(self, folded: str) -> list[int]:
+        """The rules of which a folded text has a keyword."""
+        return sorted({n for k, at in self.keywords if k in folded for n in at})
 
 
 _scanner: list[Scanner] = []

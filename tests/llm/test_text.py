@@ -122,6 +122,71 @@ def test_license_rules_suppress_contained_ones():
     assert [d[3] for d in license_scan.surviving(every)] == ["a", "c"]
 
 
+def matching(tree, rng):
+    """A string that a parsed pattern is likely to match."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "ANY":
+            out += "x"
+        elif op == "IN":
+            kind, of = rng.choice(value)
+            out += {"LITERAL": lambda: chr(of), "CATEGORY": lambda: {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "7"}.get(str(of), "x"), "RANGE": lambda: chr(of[0]), "NEGATE": lambda: "x"}[str(kind)]()
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            out += "".join(matching(inner, rng) for _ in range(rng.randint(low, min(high, low + 1))))
+        elif op == "SUBPATTERN":
+            out += matching(value[3], rng)
+        elif op == "BRANCH":
+            out += matching(rng.choice(value[1]), rng)
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_license_rules_open_on_all_that_they_match_wrapped_or_not():
+    rng, scanner = random.Random(8), license_scan.Scanner()
+    for k, (rule, pattern) in enumerate(scanner.rules):
+        tree, seen = re._parser.parse(rule.pattern), 0
+        for text in sorted({matching(tree, rng) for _ in range(40)}):
+            if not pattern.search(license_scan.fold(text)):
+                continue
+            seen += 1
+            for gap in (" ", "\n", "  ", "\r\n\t", "\n * ", "\n// ", "\n# ", " *\n *  *\n * ", "\n;; ", "\xa0", "\n\n-- "):
+                wrapped = license_scan.fold(text.replace(" ", gap))
+                assert k in scanner.opened(wrapped) and pattern.search(wrapped), (rule, text, gap)
+        assert seen, rule
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("released under the MIT Licence", "mit"), ("the ISC licence", "isc"), ("a BSD licence", "bsd"), ("artistic licence", "artistic"), ("zlib licence", "zlib"),
+        ("PostgreSQL licence", "postgresql"), ("elastic licence", "elastic"), ("Apache Software Licence", "apache"), ("unauthorised copying", "proprietary"), ("ODbL", "odbl"),
+        ("open rail-m licence", "openrail"), ("may not be copied", "proprietary"), ("without the express written consent", "proprietary"), ("all rights are reserved", "reserved"),
+        ("cc - by - sa 4.0", "cc-by-sa-4.0"), ("licence=mit", "mit"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", "mpl-2.0"),
+        ("# Permission is hereby granted, free of charge, to any\n# person obtaining a copy", "mit"), ("the GNU General Public\r\nLicense, version 3", "gpl-3.0"),
+        ("provided\n'as-is', without any express or implied\nwarranty", "zlib"),
+    ],
+)
+def test_license_spellings_and_wrapped_notices(text, label):
+    for before in ("", "é  x\n\n"):
+        low = before + text.translate({k: k + 32 for k in range(65, 91)})
+        found = [d for d in license_scan.Scanner().detect(low.encode()) if d[3] == label]
+        assert found and all(len(before) <= d[0] < d[1] <= len(low) for d in found)
+        assert not any(low[d[0]].isspace() or low[d[1] - 1].isspace() for d in found)
+
+
+def test_license_detections_count_characters_of_the_text():
+    low = "é \n\n # x   the mit\n  # licence  and\n//  gpl-3.0 * "
+    spans = {d[3]: low[d[0] : d[1]] for d in license_scan.Scanner().detect(low.encode())}
+    assert spans == {"mit": "the mit\n  # licence", "gpl-3.0": "gpl-3.0"}
+    assert license_scan.fold("a *\n *\n * b  c -- d\n") == "a b c -- d "
+
+
 # --- fingerprints -------------------------------------------------------------------------------------------
 
 
