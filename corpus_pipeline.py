@@ -13,6 +13,10 @@ from quire.llm import langid, minhash_dedup, packing, quality, suffix_dedup
 from quire.llm.scratch import Scratch
 
 
+#: How near duplicates are found; what the distances miss is in the README.
+NEAR = {"words": 5, "percent": 80, "distance": 23, "chunk": 5, "wide": 88}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose language is ambiguous."""
     model = langid.fit_languages(docs)
@@ -31,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with one id one stays; rows without an id can't be named as a duplicate and stay.
     """
-    found = minhash_dedup.near_duplicates(docs, words=5, percent=80, distance=23, chunk=5, wide=75)
+    found = minhash_dedup.near_duplicates(docs, **NEAR)
     kept = found.where("doc_id = component_id").select("doc_id")
     named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null"))

@@ -30,7 +30,7 @@ from quire.llm import textbuf
 from quire.llm.scratch import Scratch, connected_components
 
 VALUES, DISTANCE, ERROR_CHUNK = 64, 20, 6
-WIDE = 256
+WIDE, WIDE_DISTANCE = 256, 72
 BLOCK = 1024
 SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, WIDE), dtype=np.uint64).astype(np.uint32)
 SEEDS[1] |= 1
@@ -229,7 +229,7 @@ def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int
     return scratch.keep(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = 60) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = WIDE_DISTANCE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Documents link if 100 * |intersection| >= percent * |union| of their word shingle sets; a
@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link with nothing; rows with a null id are returned with their own null component; repeated
     rows of one id are returned each, with the same component (of different texts under one id any may stand for it). Other columns are not looked at.
     A pair at the threshold is missed if its signatures differ in more than ``distance`` of 64
-    values, or ``wide`` of ``WIDE``, which at 85 percent has a probability of about 0.0005.
+    values, which by the binomial model has a probability of 0.00027 at 85 percent; that ``wide`` of
+    ``WIDE`` values drop a pair within that distance adds 0.00000002.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")

@@ -1,13 +1,17 @@
 """Near duplicates, repeats and embeddings against brute force, with odd inputs."""
 
 import hashlib
+import inspect
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import embed_dedup, minhash_dedup, suffix_dedup
+import corpus_pipeline
+from quire.llm import embed_dedup, minhash_dedup, suffix_dedup, textbuf
 from quire.llm.scratch import Scratch, connected_components
 
 DOCS = "doc_id long, text string, key string, n_shingles string"
@@ -69,6 +73,19 @@ def test_chunk_plan_guarantees_the_distance():
         minhash_dedup.chunk_plan(4, 20, 2)
 
 
+def test_longer_signatures_drop_no_pairs_of_the_join():
+    """What the longer signatures lose of pairs at the threshold is nothing beside what the distance loses."""
+    default = {"percent": 85, "distance": minhash_dedup.DISTANCE, "wide": inspect.signature(minhash_dedup.near_duplicates).parameters["wide"].default}
+    for near in (default, corpus_pipeline.NEAR):
+        p = (1 - near["percent"] / 100) * 255 / 256
+        over = lambda n, most, p=p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+        assert over(minhash_dedup.WIDE, near["wide"]) < over(minhash_dedup.VALUES, near["distance"]) / 10000
+        sig = np.zeros((2, minhash_dedup.WIDE), np.uint8)
+        sig[1, : near["distance"]] = sig[1, 64 : 64 + round(256 * p + 4.5 * (256 * p * (1 - p)) ** 0.5) - near["distance"]] = 1
+        rows = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([3, 4]), textbuf.pack_rows(sig)], ["key", "doc_id", "sig"])
+        assert [b.num_rows for b in minhash_dedup._neighbours(near["distance"], near["wide"])([rows])] == [1]
+
+
 def test_near_duplicates_are_those_of_all_pairs(spark):
     texts = [*near_texts(), "", None, "one two", "ONE\ttwo", "É a", "x " * 3000, "x " * 3000]
     rows = [(k, t, "k", "n") for k, t in enumerate(texts)] + [(None, texts[0], "k", "n"), (0, texts[0], "k", "n")]
