@@ -33,12 +33,10 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8), the document of the smallest id stays.
 
-    Of rows with one id one stays; rows without an id can't be named as a duplicate and stay.
+    Of equal rows one stays, and different texts under one id are judged each by itself; rows without an id
+    can't be named as a duplicate and stay.
     """
-    found = minhash_dedup.near_duplicates(docs, **NEAR)
-    kept = found.where("doc_id = component_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    return minhash_dedup.first_of_duplicates(docs, **NEAR).union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

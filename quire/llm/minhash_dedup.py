@@ -97,7 +97,7 @@ def chunk_keys(sig: np.ndarray, plan: list[tuple[int, int, int]]) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, same binary, sig binary"
+SKETCH = "doc_id long, digest long, n_shingles long, same binary, sig binary"
 
 
 def _sketches(words: int):
@@ -113,7 +113,7 @@ def _sketches(words: int):
                 sig = np.zeros((hi - lo, WIDE), np.uint8)
                 if len(full):
                     sig[full] = signatures(h, at[:-1][full])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), textbuf.pack_rows(sig)], ["doc_id", "n_shingles", "same", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), textbuf.pack_rows(sig)], ["doc_id", "digest", "n_shingles", "same", "sig"])
 
     return run
 
@@ -235,23 +235,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link if 100 * |intersection| >= percent * |union| of their word shingle sets; a
     component's id is the smallest doc_id that links reach. Null and empty texts have no shingles and
     link with nothing; rows with a null id are returned with their own null component; repeated
-    rows of one id are returned each, with the same component (of different texts under one id any may stand for it). Other columns are not looked at.
+    rows of one id are returned each, with the component of their own text. Other columns are not looked at.
     A pair at the threshold is missed if its signatures differ in more than ``distance`` of 64
     values, which by the binomial model has a probability of 0.00027 at 85 percent; that ``wide`` of
     ``WIDE`` values drop a pair within that distance adds 0.00000002.
     """
+    return _clustered(docs, id_col, text_col, words, percent, distance, chunk, wide).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+
+
+def first_of_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = WIDE_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` with an id, less those whose text is a near duplicate of another row's.
+
+    Of each component the row of the smallest id stays (of several texts under that id, the one of the smallest digest;
+    of equal rows one). Texts without shingles are duplicates only of the same text under the same id.
+    """
+    found = _clustered(docs, id_col, text_col, words, percent, distance, chunk, wide)
+    kept = found.where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": _digest(F.col(text_col))})
+    return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns)
+
+
+def _digest(text):
+    return F.xxhash64(text.cast("string"))
+
+
+def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, distance: int, chunk: int, wide: int) -> DataFrame:
+    """(doc_id, digest of the text, n_shingles, first) of each row; first has the smallest (doc_id, digest) of its component.
+
+    A node of the join is a shingle set, whatever ids have it, so texts that share an id are apart.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     plan = chunk_plan(VALUES, distance, chunk)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.keep(docs.mapInArrow(_sketches(words), SKETCH), "sketch")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", _digest(F.col("text")))
+    sketch = scratch.keep(docs.select("doc_id", "text", "digest").mapInArrow(_sketches(words), SKETCH), "sketch")
     linked = sketch.where("same is not null and doc_id is not null")
-    reps = scratch.keep(linked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig")), "reps")
-    keys = reps.select("doc_id", "sig").mapInArrow(_keys(plan), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("slot", "key"))
+    reps = scratch.keep(linked.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("own"), F.any_value("sig").alias("sig")).select("same", F.xxhash64("same").alias("node"), "own", "sig"), "reps")
+    keys = reps.select(F.col("node").alias("doc_id"), "sig").mapInArrow(_keys(plan), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("slot", "key"))
     keys = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, slot int, key long")
-    shared = scratch.keep(keys.join(reps.select("doc_id", "sig"), "doc_id").select("key", "slot", "doc_id", "sig"), "shared")
-    near = shared.select("doc_id").distinct().hint("merge")  # alike at any size: no set of ids is broadcast
-    sets = scratch.keep(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    shared = scratch.keep(keys.join(reps.select(F.col("node").alias("doc_id"), "sig"), "doc_id").select("key", "slot", "doc_id", "sig"), "shared")
+    near = reps.join(shared.select(F.col("doc_id").alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", "own.doc_id", "own.digest")
+    near = docs.join(near.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])  # alike at any size: no set of ids is broadcast
+    sets = scratch.keep(near.select("node", "text").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = shared.select("key", "doc_id", "sig").withColumn("r", F.xxhash64("key", "doc_id")).repartitionByRange(n, "key", "r").sortWithinPartitions("key", "r")
     pairs = scratch.keep(ordered.select("key", "doc_id", "sig").mapInArrow(_neighbours(distance, wide), "a long, b long").distinct(), "pairs")
@@ -268,6 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = _confirmed(scratch, sets, rest, percent)
     parts = scratch.keep(connected_components(scratch, first.union(second)), "parts")
     scratch.drop(shared, sets)
-    members = reps.select("same", F.col("doc_id").alias("node")).join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    least = parts.join(reps.select("node", "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
+    parts = parts.join(least, "component").select("node", "least")
+    members = reps.join(parts, "node", "left").select("same", F.coalesce("least", "own").alias("first"))
     out = sketch.join(members, "same", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    own = F.struct("doc_id", "digest")
+    return out.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", own)).alias("first"))

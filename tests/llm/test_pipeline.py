@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quire.llm import minhash_dedup
 from quire.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +38,18 @@ def test_stages_take_odd_rows(spark):
     assert docs.count() > 0
 
 
+def test_texts_under_one_id_are_judged_each_by_itself(spark):
+    words = [" ".join(f"{a}{k}" for k in range(80)) for a in "abcd"]
+    rows = [(5, words[0]), (5, words[1]), (5, words[1]), (7, words[1] + " x"), (2, words[2]), (5, words[2]), (9, words[3]), (9, words[3] + " x"), (8, ""), (8, None), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()))
+    nine = [t for k, t in got if k == 9]
+    assert len(nine) == 1 and nine[0].startswith(words[3])
+    assert [x for x in got if x[0] != 9] == sorted([(0, words[0]), (2, words[2]), (5, words[0]), (5, words[1]), (8, ""), (8, "")])
+    found = minhash_dedup.near_duplicates(docs).where("doc_id is not null").collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted([(5, 5), (5, 5), (5, 5), (7, 5), (2, 2), (5, 2), (9, 9), (9, 9), (8, 8), (8, 8)])
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
     df = QUERIES[name](spark, DATA)
