@@ -14,7 +14,7 @@ from quire.llm.scratch import Scratch
 
 
 #: How near duplicates are found; what the distances miss is in the README.
-NEAR = {"words": 5, "percent": 80, "distance": 23, "chunk": 5, "wide": 88}
+NEAR = {"words": 5, "percent": 80, "distance": 23, "chunk": 5}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
