@@ -5,15 +5,9 @@ similarity J differ in each value with a probability of about 1 - J, so the pair
 within a Hamming distance of R values. The signature is split into chunks, chunk i is allowed e_i
 errors, and as the sum of (e_i + 1) exceeds R, each pair within R agrees on some chunk but for its
 allowed errors (pigeonhole). Errors are enumerated by leaving out one value at a time: a chunk of
-w values gives the keys of its w subsets of w - 1. Pairs that share a key, lie within R, and lie within a like distance of longer signatures are
-confirmed on the full shingle sets. Only the pairs that are needed for the components are made:
-
-1. within each key, neighbours in a random order are compared and confirmed, and give components;
-2. only keys that hold more than one component are compared in full, in blocks of bounded size,
-   and of those pairs only the ones between components and within R are confirmed.
-
-So a group of n near copies makes about n pairs and not n * n, yet no link between different
-components is passed over. Documents of equal sets are one document to all this.
+w values gives the keys of its w subsets of w - 1. Of the pairs that share a key and lie within R, those that
+components need are confirmed on the full shingle sets (``quire.llm.clusters``). No other test than a
+bound that holds for the full sets drops a pair within R. Documents of equal sets are one document to all this.
 """
 
 from __future__ import annotations
@@ -26,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import textbuf
-from quire.llm.scratch import Scratch, connected_components
+from quire.llm import clusters, textbuf
+from quire.llm.scratch import Scratch
 
 VALUES, DISTANCE, ERROR_CHUNK = 64, 20, 6
-WIDE, WIDE_DISTANCE = 256, 72
-BLOCK = 1024
-SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, WIDE), dtype=np.uint64).astype(np.uint32)
+WIDTH = VALUES + clusters.SKETCH
+SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, VALUES), dtype=np.uint64).astype(np.uint32)
 SEEDS[1] |= 1
 
 
@@ -77,8 +70,8 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
 def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """8-bit MinHash signatures of the runs of hashes that begin at ``starts`` (none is empty)."""
     x = (hashes >> np.uint64(16)).astype(np.uint32)
-    sig = np.empty((len(starts), WIDE), np.uint8)
-    for k in range(WIDE):
+    sig = np.empty((len(starts), VALUES), np.uint8)
+    for k in range(VALUES):
         low = np.minimum.reduceat((x ^ SEEDS[0, k]) * SEEDS[1, k], starts)
         sig[:, k] = (low * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return sig
@@ -106,13 +99,14 @@ def _sketches(words: int):
             for lo, hi, buf, offsets in textbuf.slices(batch.column(1)):
                 h, at = shingle_hashes(buf, offsets, words)
                 sizes, same = np.zeros(hi - lo, np.int64), [None] * (hi - lo)
+                sig = np.zeros((hi - lo, WIDTH), np.uint8)
                 for i in np.flatnonzero(np.diff(at)):
                     own = np.unique(h[at[i] : at[i + 1]])
                     sizes[i], same[i] = len(own), blake2b(own.tobytes(), digest_size=16).digest()
+                    sig[i, VALUES:] = np.frombuffer(clusters.sketch(own), np.uint8)
                 full = np.flatnonzero(sizes)
-                sig = np.zeros((hi - lo, WIDE), np.uint8)
                 if len(full):
-                    sig[full] = signatures(h, at[:-1][full])
+                    sig[full, :VALUES] = signatures(h, at[:-1][full])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), textbuf.pack_rows(sig)], ["doc_id", "digest", "n_shingles", "same", "sig"])
 
     return run
@@ -122,30 +116,12 @@ def _keys(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = chunk_keys(textbuf.binary_rows(batch.column(1), np.uint8, WIDE)[:, :VALUES], plan)
-                yield pa.RecordBatch.from_arrays([batch.column(0), textbuf.lists(keys.reshape(-1), np.full(len(keys), keys.shape[1]))], ["doc_id", "keys"])
+                keys = chunk_keys(textbuf.binary_rows(batch.column(1), np.uint8, WIDTH)[:, :VALUES], plan)
+                yield pa.RecordBatch.from_arrays([batch.column(0), textbuf.lists(keys.reshape(-1), np.full(len(keys), keys.shape[1]))], ["node", "keys"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another row has, of partitions sorted by key (column 2)."""
-    held, before = None, None  # the last row so far, and the key of the one before it
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        key = table.column(2).to_numpy()
-        same = np.empty(len(key) + 1, bool)
-        same[0], same[-1], same[1:-1] = before is not None and before == key[0], False, key[1:] == key[:-1]
-        keep = (same[:-1] | same[1:])[:-1]
-        yield from table.slice(0, len(key) - 1).filter(pa.array(keep)).to_batches()
-        before = key[-2] if len(key) > 1 else before
-        held = table.slice(len(key) - 1).to_batches()[0]
-    if held is not None and before == held.column(2)[0].as_py():
-        yield held
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,29 +129,7 @@ def _sets(words: int):
                 h, at = shingle_hashes(buf, offsets, words)
                 own = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), textbuf.lists(flat, np.array([len(x) for x in own], np.int64))], ["doc_id", "shingles"])
-
-    return run
-
-
-def _neighbours(distance: int, wide: int):
-    """Pairs of rows that follow each other within a key and lie within the distance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = textbuf.binary_rows(batch.column(2), np.uint8, WIDE)
-            if last:
-                key, doc, sig = np.concatenate([last[0], key]), np.concatenate([last[1], doc]), np.concatenate([last[2], sig])
-            at = np.flatnonzero(key[1:] == key[:-1])
-            differ = sig[at] != sig[at + 1]
-            at = at[(differ[:, :VALUES].sum(1) <= distance) & (differ.sum(1) <= wide)]
-            pairs = np.unique(np.stack([np.minimum(doc[at], doc[at + 1]), np.maximum(doc[at], doc[at + 1])], 1), axis=0)
-            last = (key[-1:], doc[-1:], sig[-1:].copy())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), textbuf.lists(flat, np.array([len(x) for x in own], np.int64))], ["node", "members"])
 
     return run
 
@@ -192,64 +146,43 @@ def first_shared(differ: np.ndarray, plan, which: int, left: int) -> np.ndarray:
     return good
 
 
-def _across(distance: int, wide: int, plan):
-    """Pairs of different components within the distance, of each block pair; each at its first shared key."""
-    slots = [(c, i) for c, (a, b, e) in enumerate(plan) for i in (range(b - a) if e else [0])]
+def candidates(distance: int, percent: int) -> clusters.Test:
+    """Pairs within the distance whose sets may reach the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in textbuf.grouped(batches, lambda x: x.column("cell").to_numpy()):
-            cell, doc, part = (table.column(k).to_numpy() for k in ("cell", "doc_id", "component"))
-            one, two, own, slot = (table.column(k).to_numpy() for k in ("one", "two", "own", "slot"))
-            sig = textbuf.binary_rows(table.column("sig"), np.uint8, WIDE)
-            cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-            found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if part[lo:hi].min() == part[lo:hi].max():
-                    continue
-                rows = np.arange(lo, hi)
-                left, right = rows[own[lo:hi] == one[lo]], rows[own[lo:hi] == two[lo]]
-                for i in left:
-                    other = right[(part[right] != part[i]) & ((right > i) | (one[lo] != two[lo]))]
-                    differ = sig[other] != sig[i]
-                    near = (differ[:, :VALUES].sum(1) <= distance) & (differ.sum(1) <= wide)
-                    other, differ = other[near], differ[near]
-                    other = other[first_shared(differ, plan, *slots[slot[lo]])]
-                    found.append(np.stack([np.minimum(doc[i], doc[other]), np.maximum(doc[i], doc[other])], 1))
-            if found:
-                pairs = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = (a[:, :VALUES] != b[:, :VALUES]).sum(1) <= distance
+        good[good] = clusters.may_reach(a[good, VALUES:], b[good, VALUES:], percent)
+        return good
 
-    return run
+    return test
 
 
-def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return scratch.keep(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b"), "links")
+def at_first_key(plan):
+    """Of pairs that share the key of a slot, those that share none of an earlier slot."""
+    slots = [(c, i) for c, (a, b, e) in enumerate(plan) for i in (range(b - a) if e else [0])]
+    return lambda a, b, slot: first_shared(a[:, :VALUES] != b[:, :VALUES], plan, *slots[slot])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = WIDE_DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Documents link if 100 * |intersection| >= percent * |union| of their word shingle sets; a
     component's id is the smallest doc_id that links reach. Null and empty texts have no shingles and
     link with nothing; rows with a null id are returned with their own null component; repeated
     rows of one id are returned each, with the component of their own text. Other columns are not looked at.
-    A pair at the threshold is missed if its signatures differ in more than ``distance`` of 64
-    values, which by the binomial model has a probability of 0.00027 at 85 percent; that ``wide`` of
-    ``WIDE`` values drop a pair within that distance adds 0.00000002.
+    A pair at the threshold is missed only if its signatures differ in more than ``distance`` of 64
+    values, which by the binomial model has a probability of 0.00027 at 85 percent. Spark jobs run when this is called.
     """
-    return _clustered(docs, id_col, text_col, words, percent, distance, chunk, wide).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return _clustered(docs, id_col, text_col, words, percent, distance, chunk).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
 
 
-def first_of_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK, wide: int = WIDE_DISTANCE) -> DataFrame:
+def first_of_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, distance: int = DISTANCE, chunk: int = ERROR_CHUNK) -> DataFrame:
     """The rows of ``docs`` with an id, less those whose text is a near duplicate of another row's.
 
     Of each component the row of the smallest id stays (of several texts under that id, the one of the smallest digest;
     of equal rows one). Texts without shingles are duplicates only of the same text under the same id.
     """
-    found = _clustered(docs, id_col, text_col, words, percent, distance, chunk, wide)
+    found = _clustered(docs, id_col, text_col, words, percent, distance, chunk)
     kept = found.where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": _digest(F.col(text_col))})
     return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns)
@@ -259,7 +192,7 @@ def _digest(text):
     return F.xxhash64(text.cast("string"))
 
 
-def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, distance: int, chunk: int, wide: int) -> DataFrame:
+def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, distance: int, chunk: int) -> DataFrame:
     """(doc_id, digest of the text, n_shingles, first) of each row; first has the smallest (doc_id, digest) of its component.
 
     A node of the join is a shingle set, whatever ids have it, so texts that share an id are apart.
@@ -271,27 +204,12 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     sketch = scratch.keep(docs.select("doc_id", "text", "digest").mapInArrow(_sketches(words), SKETCH), "sketch")
     linked = sketch.where("same is not null and doc_id is not null")
     reps = scratch.keep(linked.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("own"), F.any_value("sig").alias("sig")).select("same", F.xxhash64("same").alias("node"), "own", "sig"), "reps")
-    keys = reps.select(F.col("node").alias("doc_id"), "sig").mapInArrow(_keys(plan), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("slot", "key"))
-    keys = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, slot int, key long")
-    shared = scratch.keep(keys.join(reps.select(F.col("node").alias("doc_id"), "sig"), "doc_id").select("key", "slot", "doc_id", "sig"), "shared")
-    near = reps.join(shared.select(F.col("doc_id").alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", "own.doc_id", "own.digest")
+    keys = reps.select("node", "sig").mapInArrow(_keys(plan), "node long, keys array<long>").select("node", F.posexplode("keys").alias("slot", "key"))
+    shared = scratch.keep(clusters.shared_keys(keys).join(reps.select("node", "sig"), "node").select("key", "slot", "node", "sig"), "shared")
+    near = reps.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "own.doc_id", "own.digest")
     near = docs.join(near.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])  # alike at any size: no set of ids is broadcast
-    sets = scratch.keep(near.select("node", "text").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = shared.select("key", "doc_id", "sig").withColumn("r", F.xxhash64("key", "doc_id")).repartitionByRange(n, "key", "r").sortWithinPartitions("key", "r")
-    pairs = scratch.keep(ordered.select("key", "doc_id", "sig").mapInArrow(_neighbours(distance, wide), "a long, b long").distinct(), "pairs")
-    first = _confirmed(scratch, sets, pairs, percent)
-    parts = scratch.keep(connected_components(scratch, first), "parts")
-    named = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks").cast("long")).cast("int")
-    blocks = named.join(mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).withColumn("cell", F.xxhash64("key", "one", "two"))
-    blocks = blocks.select("cell", "slot", "doc_id", "component", "one", "two", "own", "sig").repartition("cell").sortWithinPartitions("cell", "own", "doc_id")
-    rest = blocks.mapInArrow(_across(distance, wide, plan), "a long, b long").distinct()
-    rest = scratch.keep(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    second = _confirmed(scratch, sets, rest, percent)
-    parts = scratch.keep(connected_components(scratch, first.union(second)), "parts")
+    sets = scratch.keep(near.select("node", "text").mapInArrow(_sets(words), "node long, members array<long>"), "sets")
+    parts = clusters.components(scratch, shared, sets, percent, candidates(distance, percent), WIDTH, at_first_key(plan))
     scratch.drop(shared, sets)
     least = parts.join(reps.select("node", "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
     parts = parts.join(least, "component").select("node", "least")

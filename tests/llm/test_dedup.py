@@ -1,17 +1,14 @@
 """Near duplicates, repeats and embeddings against brute force, with odd inputs."""
 
 import hashlib
-import inspect
-import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import embed_dedup, minhash_dedup, suffix_dedup, textbuf
+from quire.llm import clusters, embed_dedup, minhash_dedup, suffix_dedup
 from quire.llm.scratch import Scratch, connected_components
 
 DOCS = "doc_id long, text string, key string, n_shingles string"
@@ -73,17 +70,47 @@ def test_chunk_plan_guarantees_the_distance():
         minhash_dedup.chunk_plan(4, 20, 2)
 
 
-def test_longer_signatures_drop_no_pairs_of_the_join():
-    """What the longer signatures lose of pairs at the threshold is nothing beside what the distance loses."""
-    default = {"percent": 85, "distance": minhash_dedup.DISTANCE, "wide": inspect.signature(minhash_dedup.near_duplicates).parameters["wide"].default}
-    for near in (default, corpus_pipeline.NEAR):
-        p = (1 - near["percent"] / 100) * 255 / 256
-        over = lambda n, most, p=p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
-        assert over(minhash_dedup.WIDE, near["wide"]) < over(minhash_dedup.VALUES, near["distance"]) / 10000
-        sig = np.zeros((2, minhash_dedup.WIDE), np.uint8)
-        sig[1, : near["distance"]] = sig[1, 64 : 64 + round(256 * p + 4.5 * (256 * p * (1 - p)) ** 0.5) - near["distance"]] = 1
-        rows = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([3, 4]), textbuf.pack_rows(sig)], ["key", "doc_id", "sig"])
-        assert [b.num_rows for b in minhash_dedup._neighbours(near["distance"], near["wide"])([rows])] == [1]
+def test_sketches_prove_what_they_drop():
+    """No pair of sets at or over the threshold is dropped, whatever the sizes; most others are."""
+    rng, kept, over = np.random.default_rng(2), 0, 0
+    for n in (1, 2, 7, 60, 500, 4000, 30000):
+        for share in (0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 1.0):
+            both = round(2 * share * n / (1 + share))
+            all_ = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            a, b = all_[:n], np.concatenate([all_[:both], all_[n:]])
+            x, y = (np.frombuffer(clusters.sketch(s), np.uint8)[None] for s in (a, b))
+            reaches = 100 * both >= 85 * (2 * n - both)
+            assert clusters.may_reach(x, y, 85)[0] or not reaches
+            kept, over = kept + int(clusters.may_reach(x, y, 85)[0] and not reaches), over + int(not reaches)
+    assert kept < over / 2
+
+
+def test_no_candidate_within_the_distance_is_lost():
+    """The multi-index join passes on every pair within the distance that may reach the threshold, on settings of queries and pipeline."""
+    rng = np.random.default_rng(6)
+    for percent, distance, chunk in ((85, minhash_dedup.DISTANCE, minhash_dedup.ERROR_CHUNK), tuple(corpus_pipeline.NEAR[k] for k in ("percent", "distance", "chunk"))):
+        plan, test = minhash_dedup.chunk_plan(64, distance, chunk), minhash_dedup.candidates(distance, percent)
+        base = np.frombuffer(clusters.sketch(np.arange(50, dtype=np.uint64)), np.uint8)
+        for _ in range(100):
+            a = np.concatenate([rng.integers(0, 256, 64).astype(np.uint8), base])[None]
+            b = a.copy()
+            b[0, rng.choice(64, distance, replace=False)] ^= 1
+            assert test(a, b)[0] and set(minhash_dedup.chunk_keys(a[:, :64], plan)[0]) & set(minhash_dedup.chunk_keys(b[:, :64], plan)[0])
+
+
+def test_recall_of_the_pipelines_settings():
+    """Pairs of sets at exactly the threshold that lie within the distance: at least 0.99, by the operator's own signatures."""
+    rng = np.random.default_rng(9)
+    for percent, distance in ((85, minhash_dedup.DISTANCE), (corpus_pipeline.NEAR["percent"], corpus_pipeline.NEAR["distance"])):
+        near = 0
+        for _ in range(1000):
+            united, both = 200, 2 * percent
+            members = rng.integers(0, 2**63, united, dtype=np.uint64)
+            own = (united - both) // 2
+            a, b = members[: both + own], np.concatenate([members[:both], members[both + own :]])
+            sig = minhash_dedup.signatures(np.concatenate([a, b]), np.array([0, len(a)]))
+            near += int((sig[0] != sig[1]).sum() <= distance)
+        assert near >= 990
 
 
 def test_near_duplicates_are_those_of_all_pairs(spark):
