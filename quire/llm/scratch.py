@@ -1,68 +1,13 @@
-"""Shared scratch tables: lineage is cut by writing Parquet to the folder that the cluster shares."""
+"""Connected components by tables on shared storage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.storage import Scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="quire-")
-    spark.sparkContext.setCheckpointDir(own)
-    return "file://" + own
-
-
-class Scratch:
-    """Tables of one operator call.
-
-    ``keep`` writes a frame and reads it back, so that a lost executor costs a re-read and not a
-    recomputation; ``drop`` removes a table that nothing reads any more. What a returned frame
-    still reads is removed when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
-        self.n = 0
-        atexit.register(self.clear)
-
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._quire_path = path  # keeps the id in use as long as the path may be dropped
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for frame in frames:
-            path = self.paths.pop(id(frame), None)
-            if path:
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the driver ends and its JVM may be gone; nothing else can be done then
-            pass
+__all__ = ["Scratch", "connected_components"]
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

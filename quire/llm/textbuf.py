@@ -44,6 +44,15 @@ def slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, in
         lo = hi
 
 
+def runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of runs of items whose sizes add up to ``most``, or that are one item."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> np.uint64(32))

@@ -167,13 +167,20 @@ def removed(texts, length):
     return cover
 
 
-def test_repeats_are_those_of_all_windows(spark):
-    rng = random.Random(2)
+def repeating_texts(seed=2):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeéü日") for _ in range(rng.randrange(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
     passages = [prose(40) for _ in range(5)]
     texts = [prose(rng.randrange(1, 60)) + rng.choice(passages)[rng.randrange(30) :] + prose(rng.randrange(40)) for _ in range(40)]
-    texts += [texts[0], "z" * 700, "z" * 90, "line of junk, over and over\n" * 30, "", None, passages[0] + passages[0], prose(30) + "short", "éé" * 300]
+    return [*texts, texts[0], "z" * 700, "z" * 90, "line of junk, over and over\n" * 30, "", None, passages[0] + passages[0], prose(30) + "short", "éé" * 300]
+
+
+@pytest.mark.parametrize("most_kinds", [1024, 2])
+def test_repeats_are_those_of_all_windows(spark, monkeypatch, most_kinds):
+    """With few kinds allowed, anchors are split by further hashes; the outcome is the same."""
+    monkeypatch.setattr(suffix_dedup, "KINDS", most_kinds)
+    texts = repeating_texts()
     raw = [(t or "").encode() for t in texts]
     rows = [(k, t, "c", "n") for k, t in enumerate(texts)] + [(None, texts[1], "c", "n"), (3, texts[3], "c", "n")]
     raw_all = [*raw, raw[1], raw[3]]
@@ -188,6 +195,43 @@ def test_repeats_are_those_of_all_windows(spark):
         assert (bytes(r.kept), len(r.repeat_spans), r.n_bytes) == (*by_text[b], len(b))
 
 
+@pytest.mark.parametrize("most_kinds", [1024, 2])
+def test_one_place_of_each_repeat_stays(spark, monkeypatch, most_kinds):
+    monkeypatch.setattr(suffix_dedup, "KINDS", most_kinds)
+    texts = [t for t in repeating_texts(4)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string").withColumn("twin", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = [(r.doc_id, r.twin, (r.text or "").encode()) for r in docs.distinct().orderBy("doc_id", "twin").collect()]
+    seen, cover = set(), {}
+    for d, _, b in order:
+        cover[d] = set()
+        for p in range(len(b) - 119):
+            if b[p : p + 120] in seen:
+                cover[d].update(range(p, p + 120))
+            seen.add(b[p : p + 120])
+    left = {}
+    for r in suffix_dedup.remove_repeats(docs.select("doc_id", "text"), length=120, first=True).collect():
+        b = (texts[r.doc_id] or "").encode()
+        left[r.doc_id] = bytes(r.kept)
+        assert left[r.doc_id] == bytes(x for p, x in enumerate(b) if p not in cover[r.doc_id])
+    assert left[0] == (texts[0] or "").encode() and any(cover.values())
+
+
+def test_batches_give_what_one_gives(spark, tmp_path):
+    texts = repeating_texts(7)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    index, found = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), 120), [set() for _ in raw]
+    for lo, hi in ((0, 25), (25, 31), (31, 33), (33, 60)):
+        index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), 120)  # opened again
+        for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {hi}")).collect():
+            for a, b in r.spans:
+                found[r.doc_id].update(range(a, b))
+        sizes = [x[3] for x in index.levels()]
+        assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True)) and sum(sizes) == min(hi, len(texts))
+    assert found == removed(raw, 120)
+    assert index.add(docs.where("doc_id < 0")).count() == 0
+
+
 def test_repeats_by_characters_and_length_limits(spark):
     docs = spark.createDataFrame([(1, "é" * 200), (2, "x" + "é" * 200)], "doc_id long, text string")
     for r in suffix_dedup.remove_repeats(docs, length=101, characters=True).collect():
@@ -197,19 +241,32 @@ def test_repeats_by_characters_and_length_limits(spark):
 
 
 def test_suffix_family_levels_grow_geometrically():
-    family, rng, n, told = suffix_dedup.SuffixFamily(), np.random.default_rng(1), 0, set()
-    values = rng.integers(0, 3000, 4000)
-    for lo in range(0, 4000, 100):
-        d = values[lo : lo + 100].astype(np.uint64)
-        rows = {"key": d, "digest": d, "gram": np.zeros(100, np.int64), "doc_id": np.arange(lo, lo + 100), "twin": np.zeros(100, np.int64), "place": np.zeros(100, np.int64), "known": np.zeros(100, bool)}
-        for doc, _, _ in family.add(rows):
-            assert not told & set(doc.tolist())
-            told |= set(doc.tolist())
-        n += 1
-    sizes = [len(x["key"]) for x in family.levels]
-    assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True)) and sum(sizes) == len(set(values.tolist()))
-    counts = np.bincount(values)
-    assert told == set(np.flatnonzero(counts[values] > 1).tolist())
+    rng, length = random.Random(1), 80
+    pieces = [bytes(rng.choice(b"ab") for _ in range(3)) * 40 for _ in range(60)] + [bytes(rng.choice(b"abc\x00\xff") for _ in range(150)) for _ in range(40)]
+    pieces += [rng.choice(pieces)[rng.randrange(9) :] for _ in range(60)]
+    rng.shuffle(pieces)
+    for first in (False, True):
+        family, told, levels, n = suffix_dedup.SuffixFamily(length, first), [], 0, 0
+        for lo in range(0, len(pieces), 9):
+            part = pieces[lo : lo + 9]
+            size = np.array([len(p) for p in part])
+            start = np.cumsum(size) - size
+            count = size - length + 1
+            held = suffix_dedup.Pieces(np.frombuffer(b"".join(part), np.uint8), start, np.arange(lo, lo + len(part)), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64))
+            at = np.concatenate([np.arange(a, a + c) for a, c in zip(start, count, strict=True)])
+            for doc, _, place in family.add(held, at, np.zeros(len(at), bool)):
+                told += zip(doc.tolist(), place.tolist(), strict=True)
+            levels, n = max(levels, len(family.levels)), n + len(at)
+            for level in family.levels:
+                suffixes = [level.pieces.buf[a : a + length].tobytes() for a in level.at]
+                assert all(a < b for a, b in zip(suffixes[:-1], suffixes[1:], strict=True))
+        where = {}
+        for d, p in enumerate(pieces):
+            for k in range(len(p) - length + 1):
+                where.setdefault(p[k : k + length], []).append((d, k))
+        sizes = [len(x.at) for x in family.levels]
+        assert levels > 1 and sum(sizes) == len(where) and all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
+        assert sorted(told) == sorted(x for v in where.values() if len(v) > 1 for x in v[first:])
 
 
 def test_sha_of_kept(spark):
