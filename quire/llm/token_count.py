@@ -10,12 +10,12 @@ If an overlap has no such place, it is widened, and at last the chunks are encod
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ DIRECT, CHUNK, OVERLAP = 16384, 8192, 256
 
 
 class Counter:
-    def __init__(self, model_file: str, direct: int = DIRECT, chunk: int = CHUNK, overlap: int = OVERLAP):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    def __init__(self, model: bytes, direct: int = DIRECT, chunk: int = CHUNK, overlap: int = OVERLAP):
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.direct, self.chunk, self.overlap = direct, chunk, overlap
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.splices = not any(MARK in piece.lstrip(MARK) for piece in pieces)
@@ -76,9 +76,9 @@ class Counter:
 _loaded: dict[str, Counter] = {}
 
 
-def _counts(name: str):
+def _counts(model, digest: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _loaded.get(name) or _loaded.setdefault(name, Counter(SparkFiles.get(name)))
+        counter = _loaded.get(digest) or _loaded.setdefault(digest, Counter(model.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
@@ -91,9 +91,10 @@ def _counts(name: str):
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row, as the model counts the whole text without added tokens.
 
-    ``model_path`` is a file on the driver, sent to the executors once. Null texts count as empty and
+    ``model_path`` is a file on the driver whose content is broadcast; a model has a megabyte or so. Null texts count as empty and
     have no tokens; null and repeated ids are kept; other columns are not looked at.
     """
-    docs.sparkSession.sparkContext.addFile(model_path)
+    with open(model_path, "rb") as f:
+        data = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_counts(model_path.rsplit("/", 1)[-1]), "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(_counts(docs.sparkSession.sparkContext.broadcast(data), sha256(data).hexdigest()), "doc_id long, n_bytes long, n_tokens long")
