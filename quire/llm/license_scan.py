@@ -2,8 +2,8 @@
 
 Each rule is a regex with a label, a priority and the keywords without one of which it can't match.
 Both are looked for in the text with each run of white space, and the comment marks at the line ends in it,
-folded to one space, so that wrapped notices are found. Texts without any keyword are done after a few
-substring searches. Of detections, one that lies within
+folded to one space, so that wrapped notices are found. One automaton looks for all keywords, and texts
+without any are done then. Of detections, one that lies within
 another of the same or a higher priority is suppressed, so "gpl-3.0" leaves no plain "gpl" beside
 it; base phrases are found by words, and their labels always stay.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbuf
+from quire.llm.license_rules import WRITTEN
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -44,73 +46,6 @@ class Rule:
     pattern: str
 
 
-#: Hand-written rules, as (label, priority, weight, keywords, pattern).
-WRITTEN = (
-    ("mit", 80, 0.95, "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("mit", 60, 0.8, "mit licen", r"\b(?:under|released under|licensed under) (?:the )?mit licen[sc]e"),
-    ("mit", 40, 0.6, "mit licen", r"\bthe mit licen[sc]e\b|\bmit licen[sc]e\b"),
-    ("mit-0", 70, 0.8, "mit no attribution", r"\bmit no attribution\b"),
-    ("isc", 80, 0.95, "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
-    ("isc", 40, 0.6, "isc licen", r"\bisc licen[sc]e\b"),
-    ("bsd", 70, 0.9, "redistribution and use", r"redistribution and use in source and binary forms"),
-    ("bsd-3-clause", 80, 0.9, "endorse or promote", r"neither the name of .{1,80}? may be used to endorse or promote"),
-    ("bsd-2-clause", 50, 0.7, "simplified bsd|2-clause bsd|bsd 2-clause", r"\b(?:simplified bsd|2-clause bsd|bsd 2-clause) licen[sc]e"),
-    ("bsd-3-clause", 50, 0.7, "new bsd|modified bsd|3-clause bsd|bsd 3-clause", r"\b(?:new bsd|modified bsd|3-clause bsd|bsd 3-clause) licen[sc]e"),
-    ("bsd-4-clause", 50, 0.7, "original bsd|4-clause bsd", r"\b(?:original|4-clause) bsd licen[sc]e"),
-    ("bsd", 30, 0.5, "bsd licen", r"\bbsd licen[sc]e\b"),
-    ("apache-2.0", 90, 0.97, "apache licen", r"licensed under the apache licen[sc]e,? version 2\.0"),
-    ("apache-2.0", 70, 0.8, "apache", r"\bapache(?: software)? licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?\b|\bapache-2\.0\b"),
-    ("apache-2.0", 60, 0.8, "apache.org/licenses", r"apache\.org/licenses/license-2\.0"),
-    ("apache-1.1", 70, 0.8, "apache", r"\bapache(?: software)? licen[sc]e,? (?:version |v\.? ?)?1\.1\b"),
-    ("apache", 30, 0.5, "apache", r"\bapache(?: software)? licen[sc]e\b"),
-    ("mpl-2.0", 80, 0.95, "mozilla public", r"subject to the terms of the mozilla public licen[sc]e,? v\. ?2\.0"),
-    ("mpl-2.0", 60, 0.8, "mpl-2.0|mozilla public", r"\bmpl-2\.0\b|\bmozilla public licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?\b"),
-    ("mpl-1.1", 60, 0.8, "mpl-1.1|mozilla public", r"\bmpl-1\.1\b|\bmozilla public licen[sc]e,? (?:version |v\.? ?)?1\.1\b"),
-    ("mpl", 30, 0.5, "mozilla public", r"\bmozilla public licen[sc]e\b"),
-    ("epl-1.0", 60, 0.8, "eclipse public", r"\beclipse public licen[sc]e,? (?:-|version |v\.? ?)? ?1\.0\b"),
-    ("epl-2.0", 60, 0.8, "eclipse public", r"\beclipse public licen[sc]e,? (?:-|version |v\.? ?)? ?2\.0\b"),
-    ("epl", 30, 0.5, "eclipse public", r"\beclipse public licen[sc]e\b"),
-    ("cddl", 50, 0.7, "common development and distribution", r"\bcommon development and distribution licen[sc]e\b"),
-    ("eupl", 50, 0.7, "european union public", r"\beuropean union public licen[sc]e\b"),
-    ("artistic", 50, 0.7, "artistic licen", r"\bartistic licen[sc]e\b"),
-    ("zlib", 80, 0.9, "without any express or implied warranty", r"provided 'as-is',? without any express or implied warranty"),
-    ("zlib", 40, 0.6, "zlib licen", r"\bzlib licen[sc]e\b"),
-    ("boost", 60, 0.8, "boost software", r"\bboost software licen[sc]e\b"),
-    ("unlicense", 80, 0.95, "released into the public domain", r"free and unencumbered software released into the public domain"),
-    ("unlicense", 40, 0.6, "unlicense", r"\bunlicense\b"),
-    ("wtfpl", 60, 0.8, "do what the f", r"\bdo what the f\S+ you want to public licen[sc]e\b"),
-    ("public-domain", 40, 0.6, "public domain", r"\b(?:in|into|to) the public domain\b"),
-    ("public-domain", 30, 0.4, "public domain", r"\bpublic domain\b"),
-    ("ofl", 60, 0.8, "open font", r"\b(?:sil )?open font licen[sc]e\b"),
-    ("odbl", 60, 0.8, "open database licen|odbl", r"\bopen database licen[sc]e\b|\bodbl\b"),
-    ("odc-by", 60, 0.8, "open data commons", r"\bopen data commons attribution licen[sc]e\b"),
-    ("pddl", 60, 0.8, "public domain dedication", r"\bpublic domain dedication and licen[sc]e\b"),
-    ("gfdl", 60, 0.8, "free documentation", r"\bgnu free documentation licen[sc]e\b"),
-    ("ogl", 50, 0.7, "open government", r"\bopen government licen[sc]e\b"),
-    ("python", 50, 0.7, "python software foundation", r"\bpython software foundation licen[sc]e\b"),
-    ("postgresql", 50, 0.7, "postgresql licen", r"\bpostgresql licen[sc]e\b"),
-    ("bsl", 50, 0.7, "business source", r"\bbusiness source licen[sc]e\b"),
-    ("sspl", 50, 0.7, "server side public", r"\bserver side public licen[sc]e\b"),
-    ("elastic", 50, 0.7, "elastic licen", r"\belastic licen[sc]e\b"),
-    ("openrail", 50, 0.7, "openrail|open rail", r"\b(?:big(?:code|science) )?open ?rail(?:-m)? licen[sc]e\b|\bopenrail\b"),
-    ("proprietary", 60, 0.8, "proprietary and confidential", r"\bproprietary and confidential\b"),
-    ("proprietary", 50, 0.7, "may not be", r"\bmay not be (?:reproduced|copied|redistributed)\b"),
-    ("proprietary", 50, 0.7, "written permission|written consent", r"\bwithout (?:the )?(?:prior )?(?:express )?written (?:permission|consent)\b"),
-    ("proprietary", 40, 0.6, "unauthori", r"\bunauthori[sz]ed (?:copying|reproduction|distribution|use)\b"),
-    ("non-commercial", 40, 0.6, "noncommercial|non-commercial", r"\bfor non-?commercial (?:use|purposes) only\b"),
-    ("no-derivatives", 40, 0.6, "derivative works", r"\bno derivative works\b"),
-    ("reserved", 40, 0.6, "alle rechte vorbehalten", r"\balle rechte vorbehalten\b"),
-    ("reserved", 40, 0.6, "tous droits", r"\btous droits r[ée]serv[ée]s\b"),
-    ("reserved", 40, 0.6, "todos los derechos", r"\btodos los derechos reservados\b"),
-    ("reserved", 40, 0.6, "rights reserved|rights are reserved", r"\ball rights (?:are )?reserved\b|\bsome rights reserved\b"),
-    ("copyright", 20, 0.3, "copyright|(c)|©", r"(?:\bcopyright\b|\(c\)|©) *(?:\(c\)|©)? *(?:19|20)\d\d"),
-    ("copyright", 10, 0.2, "copyright", r"\bcopyright\b"),
-    ("license-notice", 10, 0.2, "licensed under", r"\blicensed under\b"),
-    ("license-notice", 10, 0.2, "terms of the", r"\bunder the terms of the\b[^.\n]{0,60}\blicen[sc]e\b"),
-    ("warranty-disclaimer", 15, 0.3, "warrant", r"\bwithout warrant(?:y|ies) of any kind\b|\bas is\b[^.\n]{0,20}\bwarrant"),
-)
-
-
 def _families() -> Iterator[Rule]:
     """Rules of license families, by variant, version and form."""
     terms = {"by": "attribution", "sa": "share-?\\s?alike", "nc": "non-?\\s?commercial", "nd": "no-?\\s?deriv(?:ative)?s?(?: works)?"}
@@ -156,13 +91,22 @@ def rules() -> list[Rule]:
 def surviving(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
     """Detections (start, end, priority, label, weight) that lie within no other of at least their priority.
 
-    Of equal intervals with equal priorities the one whose label comes first stays.
+    Of equal intervals with equal priorities the one whose label comes first stays. Detections go in falling priority and
+    length, and a tree over the starts tells how far those reach that start no later, so n of them take n log n steps.
     """
-    ordered = sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
+    starts = sorted({d[0] for d in found})
+    reach = [0] * (len(starts) + 1)  # of node k, the furthest end kept among the starts that it covers
     kept: list[tuple[int, int, int, str, float]] = []
-    for d in ordered:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+    for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+        at = k = bisect_left(starts, d[0]) + 1
+        while k and reach[k] < d[1]:
+            k -= k & -k
+        if k:
+            continue
+        kept.append(d)
+        while at < len(reach):
+            reach[at] = max(reach[at], d[1])
+            at += at & -at
     return sorted(kept)
 
 
@@ -188,7 +132,10 @@ class Scanner:
         for n, (r, _) in enumerate(self.rules):
             for k in r.keywords:
                 self.by_keyword.setdefault(k, []).append(n)
-        self.keywords = sorted(self.by_keyword.items())
+        self.keywords = ahocorasick.Automaton()
+        for k in self.by_keyword:
+            self.keywords.add_word(k, k)
+        self.keywords.make_automaton()
         gap = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
         inside = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
         self.base = [(p.split()[0].encode(), re.compile(rb"(?<!" + inside + rb")" + gap.join(p.encode().split()) + rb"(?!" + inside + rb")"), label) for p, label in BASE]
@@ -208,7 +155,7 @@ class Scanner:
 
     def opened(self, folded: str) -> list[int]:
         """The rules of which a folded text has a keyword."""
-        return sorted({n for k, at in self.keywords if k in folded for n in at})
+        return sorted({n for k in {k for _, k in self.keywords.iter(folded)} for n in self.by_keyword[k]})
 
 
 _scanner: list[Scanner] = []
