@@ -65,13 +65,13 @@ class Model:
         self.langs, self.code, self.weights, self.bias = langs, code, weights, bias
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> Model:
-        """Logistic regressions, one a bit, by Adam on mean n-gram shares."""
+    def fit(cls, x: np.ndarray, langs: list[str], steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> Model:
+        """Logistic regressions, one a bit, by Adam on the texts' n-gram shares (one row of ``x`` each)."""
         names = sorted(set(langs))
         code = codewords(len(names))
         if len(names) < 2:
             return cls(names, code, np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1]))
-        x = np.stack([features(t) for t in texts]).astype(np.float32) * 100
+        x = x.astype(np.float32) * 100
         which = np.array([names.index(v) for v in langs])
         share = np.bincount(which, minlength=len(names))
         y, weight = code[which].astype(np.float32), (len(which) / len(names) / share[which]).astype(np.float32)[:, None]
@@ -140,15 +140,30 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the last column's texts that occur, and their shares."""
+    for batch in batches:
+        *given, text = batch.columns
+        for lo in range(batch.num_rows):
+            share = features(text[lo].as_py() or "")
+            at = np.flatnonzero(share)
+            one = np.array([len(at)])
+            yield textbuf.batch(*(c.slice(lo, 1) for c in given), textbuf.lists(at.astype(np.int16), one), textbuf.lists(share[at].astype(np.float32), one))
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000) -> Model:
     """A model learnt from at most ``sample`` whole texts: those with the least id hashes among rows that
-    have a text and a language and are not held out. Only as many ids are broadcast."""
+    have a text and a language and are not held out. Only as many ids are broadcast, and what reaches the driver is at
+    most SIZE numbers for each text, however long it is. Spark jobs run when this is called."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = rows.select("h").distinct().orderBy("h").limit(sample)
-    picked = rows.join(F.broadcast(ids), "h", "left_semi").limit(sample).collect()
-    picked.sort(key=lambda r: (r["h"], r["text"], r["lang"]))
-    return Model.fit([r["text"] for r in picked], [r["lang"] for r in picked])
+    picked = textbuf.with_columns(rows.join(F.broadcast(ids), "h", "left_semi"), "text", _shares, {"at": "array<short>", "share": "array<float>"}).select("h", "lang", "at", "share").limit(sample).collect()
+    picked.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["share"]))
+    x = np.zeros((len(picked), SIZE), np.float32)
+    for row, r in zip(x, picked, strict=True):
+        row[r["at"]] = r["share"]
+    return Model.fit(x, [r["lang"] for r in picked])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous: float = 0.5) -> DataFrame:
