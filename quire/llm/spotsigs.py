@@ -7,7 +7,8 @@ fingerprint is the set of its signatures, written as sorted 8-digit hexadecimal
 
 Sets are compared by Jaccard similarity. A pair can only reach a threshold t if the smaller set has
 t times the members of the larger one at least; so sets are partitioned by length, and each meets
-its own and the next partition only, by the rarest signatures that a match must share.
+its own and the next partition only, by the signatures of the least hashes, of which a match must share one. Of these pairs,
+those that sizes and bucket parities rule out are not compared (``quire.llm.clusters``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import textbuf
+from quire.llm import clusters, textbuf
 from quire.llm.scratch import Scratch
 
 CHAIN = 2
@@ -105,28 +106,59 @@ def spot_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprinted, "doc_id long, fingerprint string, spots array<long>")
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, likeness), a < b, of pairs of different fingerprints of ``threshold`` likeness or more.
+def _near(percent: int):
+    return lambda a, b: clusters.may_reach(a, b, percent)
 
-    a and b are the smallest ids of their fingerprints; rows with null ids and empty fingerprints
-    are in no pair. Partitions of lengths grow by 1 / threshold; the prefix of a set is its rarest
-    n - ceil(threshold * n) + 1 signatures, one of which any match has to share.
+
+def _keyed(percent: int):
+    """The keys of sets of signatures, and their sketches.
+
+    The prefix of a set of n is its n - ceil(t n) + 1 members of the least hashes: sets of likeness t share one of their
+    prefixes' members. A key is such a member with a partition of lengths; a set has keys in its own partition and in the next
+    one, where the longer sets that it may be like have theirs.
+    """
+    t = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sketches = [], []
+            for spots in batch.column("spots"):
+                own = spots.values.to_numpy().astype(np.uint64)
+                n = len(own)
+                sketches.append(clusters.sketch(own))
+                prefix = np.sort(textbuf.mix(own * np.uint64(0x9E3779B97F4A7C15)))[: n - math.ceil(t * n - 1e-9) + 1]
+                part = int(math.floor(math.log(n) / math.log(1 / t) + 1e-9))
+                keys.append(np.concatenate([textbuf.mix(prefix + np.uint64(k)) for k in (part, part + 1)]))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sketches, pa.binary()), textbuf.lists(flat, np.array([len(k) for k in keys], np.int64))], ["node", "sig", "keys"])
+
+    return run
+
+
+def similar_classes(fingerprinted: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, class_id) of rows (doc_id, spots): class_id is the smallest doc_id that links reach, the row's own included.
+
+    Fingerprints link from a likeness of ``percent`` on. Equal ones are one node; empty ones link with nothing, and rows with a
+    null id have a null class. Sets meet by partitions of lengths under the rarest-hashed members that a match has to share;
+    the pairs that classes need are compared as in ``quire.llm.clusters``, so that a hot signature gives
+    no pair for each two of its sets. Spark jobs run when this is called.
     """
-    scratch = Scratch(docs.sparkSession, "spots")
-    known = spot_signatures(docs, id_col, text_col).where("doc_id is not null and size(spots) > 0")
-    sets = scratch.keep(known.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.any_value("spots").alias("spots")).select("id", "spots", F.size("spots").alias("n")), "sets")
-    each = sets.select("id", "n", F.explode("spots").alias("spot"))
-    ranked = each.join(each.groupBy("spot").agg(F.count("*").alias("df")), "spot")
-    rare = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("s"))
-    rare = rare.select("id", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))).alias("e")).select("id", "n", "e.spot")
-    part = F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")
-    home = rare.select("spot", F.col("id").alias("b"), F.col("n").alias("m"), part.alias("part"))
-    probe = rare.select("spot", "id", "n", F.explode(F.array(part, part + 1)).alias("part"))
-    pairs = probe.join(home, ["spot", "part"]).where((F.col("id") != F.col("b")) & (F.col("n") <= F.col("m")) & (F.col("n") >= threshold * F.col("m") - 1e-9))
-    pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("spots").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("spots").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return full.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness")).where(F.col("likeness") >= threshold)
+    spark = fingerprinted.sparkSession
+    scratch = Scratch(spark, "spots")
+    known = fingerprinted.where("doc_id is not null and size(spots) > 0")
+    # two hashes of 64 bits stand for a set of signatures
+    node, same = F.xxhash64("spots"), F.xxhash64(F.lit(7), F.col("spots"))
+    reps = scratch.keep(known.groupBy(node.alias("node"), same.alias("same")).agg(F.min("doc_id").alias("own"), F.any_value("spots").alias("spots")), "reps")
+    keyed = scratch.keep(reps.select("node", "spots").mapInArrow(_keyed(percent), "node long, sig binary, keys array<long>"), "keyed")
+    keys = keyed.select("node", F.explode(F.array_distinct("keys")).alias("key")).withColumn("slot", F.lit(0))
+    shared = scratch.keep(clusters.shared_keys(keys).join(keyed.select("node", "sig"), "node").select("key", "slot", "node", "sig"), "shared")
+    sets = scratch.keep(reps.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("spots").alias("members")), "sets")
+    parts = clusters.components(scratch, shared, sets, percent, _near(percent), clusters.SKETCH)
+    least = parts.join(reps.select("node", "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
+    members = reps.select("node", "same", "own").join(parts.join(least, "component").select("node", "least"), "node", "left").select("node", "same", F.coalesce("least", "own").alias("class_id"))
+    out = scratch.keep(fingerprinted.select("doc_id", node.alias("node"), same.alias("same")).join(members, ["node", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "classes")
+    scratch.drop(reps, keyed, shared, sets, parts)
+    return out
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -187,7 +219,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.struct(F.col("range").cast("long").alias("range"), F.lit(False).alias("tail"))
     to = F.when((F.col("key") == key) & (F.col("h") == h), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     dealt = placed.withColumn("to", F.explode(to)).select("doc_id", "text", "key", "h", "to.range", "to.tail")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
+    dealt = dealt.repartition(max(len(cuts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
     return dealt.mapInArrow(_with_next, COMPARED)
 
 

@@ -152,6 +152,44 @@ def test_license_rules_suppress_contained_ones():
     assert [d[3] for d in license_scan.surviving(every)] == ["a", "c"]
 
 
+def all_detections(text):
+    """Labels and spans by trying every rule, without keywords, and every pair of detections."""
+    folded = license_scan.fold(text)
+    found = {(*m.span(), r.priority, r.label) for r in license_scan.rules() for m in re.finditer(r.pattern, folded)}
+    within = lambda d, o: o[0] <= d[0] and d[1] <= o[1]
+    before = lambda o, d: (-o[2], o[0] - o[1], o[0], o[3]) < (-d[2], d[0] - d[1], d[0], d[3])
+    return {d for d in found if not any(within(d, o) and before(o, d) for o in found)}
+
+
+def test_license_labels_are_those_of_all_rules(spark):
+    assert len(license_scan.WRITTEN) >= 200
+    rng, rules = random.Random(12), license_scan.rules()
+    texts = []
+    for _ in range(40):
+        parts = [matching(re._parser.parse(rng.choice(rules).pattern), rng) if rng.random() < 0.6 else rng.choice(["general public license", "some words", "\n * ", "all rights reserved", "é"]) for _ in range(12)]
+        texts.append(" ".join(parts))
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    hits = 0
+    for r in license_scan.scan_licenses(frame(spark, texts)).where("doc_id is not null").collect():
+        low = (texts[r.doc_id] or "").translate({k: k + 32 for k in range(65, 91)})
+        want = all_detections(low)
+        weight = {}
+        for rule in rules:
+            if any((rule.priority, rule.label) == d[2:] for d in want):
+                weight[rule.label] = max(weight.get(rule.label, 0), rule.weight)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == {d[3] for d in want} | base
+        assert sorted((d.priority, d.label) for d in r.detections) == sorted(d[2:] for d in want)
+        assert bool(r.score) == bool(want or base)
+        hits += len(want)
+    assert hits > 150
+
+
+def test_license_scan_of_very_many_detections():
+    text = "gpl-3.0 mit license " * 20000
+    assert len(license_scan.Scanner().detect(text.encode())) == 40000
+
+
 def matching(tree, rng):
     """A string that a parsed pattern is likely to match."""
     out = ""
@@ -247,18 +285,40 @@ def test_fingerprints_edited_and_next(spark):
     assert len(twice) == 3
 
 
-def test_similar_documents_are_those_of_all_pairs(spark):
+def test_similar_classes_are_those_of_all_pairs(spark):
     rng = random.Random(6)
     vocabulary = ["the", "of", "is", "and"] + [f"w{k}" for k in range(60)]
     texts = []
-    for _ in range(25):
-        w = [rng.choice(vocabulary) for _ in range(80)]
-        texts += [" ".join(w), " ".join([*w[:70], *(rng.choice(vocabulary) for _ in range(rng.randrange(12)))])]
-    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string")
-    sets = {r.doc_id: set(r.spots) for r in spotsigs.spot_signatures(df).collect()}
-    want = {(a, b) for b in sets for a in sets if a < b and sets[a] and sets[b] and sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
-    got = {(r.a, r.b) for r in spotsigs.similar_documents(df, 0.7).collect()}
-    assert want and got == want
+    for n in [80] * 25 + [3, 5, 9, 14, 400]:
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        cut = n - n // 8
+        texts += [" ".join(w), " ".join([*w[:cut], *(rng.choice(vocabulary) for _ in range(rng.randrange(n // 6 + 1)))])]
+    hot = [rng.choice(vocabulary) for _ in range(90)]
+    for _ in range(60):  # near copies of one text, most of which link with some others only
+        w = [*hot]
+        for k in rng.sample(range(90), rng.choice([1, 2, 4, 6])):
+            w[k] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    rows = list(enumerate([*texts, "", None, texts[0]])) + [(None, texts[0])]
+    df = spotsigs.spot_signatures(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    sets = {r.doc_id: set(r.spots) for r in df.collect() if r.doc_id is not None}
+    parent = {a: a for a in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for percent in (70, 80):
+        parent = {a: a for a in sets}
+        for a, b in itertools.combinations(sorted(sets), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+        got = spotsigs.similar_classes(df, percent).collect()
+        assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {a: root(a) for a in sets} and len(got) == len(rows)
+        assert len({root(a) for a in sets}) < len(sets) - 10
+    assert spotsigs.similar_classes(df.limit(0)).count() == 0
 
 
 # --- languages and quality -------------------------------------------------------------------------------------
