@@ -40,14 +40,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 240 bytes (some 40 words) that start at two places; a text of which nothing is left goes."""
-    cut = suffix_dedup.remove_repeats(docs, length=240, characters=True)
+    """Cuts strings of 240 bytes (some 40 words) that start at two places, but for the first one; a text of which nothing is left goes.
+
+    First is by id, then by the text's hash and the place in it; equal texts under one id are one text. Null texts go.
+    """
+    cut = suffix_dedup.remove_repeats(docs, length=240, characters=True, first=True)
     text = cut["kept"].cast("string")
     return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).where("text != ''").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs byte-level tokens, an end mark a document, into sequences of several permitted lengths."""
+    """Packs byte-level tokens, an end mark a document, into sequences of several permitted lengths: a row tells where a piece of a
+    document goes. Rows whose id repeats are documents of their own."""
     return packing.pack_documents(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
 
