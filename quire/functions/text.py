@@ -48,6 +48,9 @@ STOPWORDS = (
     "from as into about between through not no so than too very just also then there here when where how what which who whom"
 ).split()
 
+#: White space of any kind.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 SPEAKERS = r"MR\.\s+[A-Z]+|MS\.\s+[A-Z]+|THE\s+WITNESS|THE\s+REPORTER|THE\s+VIDEOGRAPHER|THE\s+COURT"
 STAMP = r"(\d{2}:\d{2})\s*$"
 
@@ -56,7 +59,7 @@ STAMP = r"(\d{2}:\d{2})\s*$"
 
 def stripped(c: Column) -> Column:
     """Without white space at either end, of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def not_blank(c: Column) -> Column:
@@ -75,14 +78,14 @@ def without_timestamp(content: Column) -> Column:
 def speaker_of(content: Column, attorney: Column, witness: Column) -> Column:
     """The speaker that a line names at its start, in a standard form, or null.
 
-    A continuation that begins with the article "a" is taken for an answer, as the letter is.
+    A continuation that begins with the article "a" is taken for an answer, as the letter is. A null name isn't shown.
     """
     # \b for letters of any script, as a one-letter tag before an accented letter is none
     named = F.upper(F.regexp_extract(content, rf"(?i)^(?:BY\s+)?({SPEAKERS}|[QA](?![\p{{L}}\p{{N}}_]))[\.:\s]*(.*)", 1))
     return (
         F.when(named == "", F.lit(None))
-        .when(named == "Q", F.concat(F.lit("QUESTION ("), attorney, F.lit(")")))
-        .when(named == "A", F.concat(F.lit("ANSWER ("), witness, F.lit(")")))
+        .when(named == "Q", F.concat(F.lit("QUESTION"), F.coalesce(F.concat(F.lit(" ("), attorney, F.lit(")")), F.lit(""))))
+        .when(named == "A", F.concat(F.lit("ANSWER"), F.coalesce(F.concat(F.lit(" ("), witness, F.lit(")")), F.lit(""))))
         .otherwise(named)
     )
 
@@ -156,9 +159,14 @@ def keyword_overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def plain(c: Column) -> Column:
+    """Lower case, without all but letters a-z, digits and white space; white space stays as it is."""
+    return F.lower(F.regexp_replace(c, r"(?U)[^a-zA-Z0-9\s]", ""))
+
+
 def normalized(c: Column) -> Column:
-    """Lower case, without all but letters a-z, digits and white space; inner white space stays as it is."""
-    return stripped(F.lower(F.regexp_replace(c, r"(?U)[^a-zA-Z0-9\s]", "")))
+    """``plain``, without white space at either end."""
+    return stripped(plain(c))
 
 
 @F.pandas_udf(DoubleType())

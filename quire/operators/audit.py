@@ -12,7 +12,8 @@ from quire.operators.validate import page_limits
 #: Words that make a gap administrative, and what a gap without text shows.
 ADMINISTRATIVE = ("RECESS", "OFF THE RECORD", "EXAMINATION CONTINUED", "WHEREUPON")
 NO_TEXT = "(Blank lines / formatting)"
-CRITICAL_LINES = 5
+CRITICAL_LINES, SAMPLE = 5, 120
+SPACES = max(word.count(" ") for word in ADMINISTRATIVE)
 
 
 def mark_covered(lines: DataFrame, topics: DataFrame) -> DataFrame:
@@ -37,17 +38,24 @@ def gaps(marked: DataFrame) -> DataFrame:
     by = W.partitionBy("doc_id").orderBy("global_line_id")
     rows = marked.withColumn("island", F.sum(F.col("covered").cast("long")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).where("not covered")
     g = F.col("global_line_id")
-    said = F.array_sort(F.collect_list(F.when(T.not_blank(F.col("text")), F.struct("global_line_id", "text"))))
+    rows = rows.withColumn("said", T.not_blank(F.col("text")))
+    rank = F.sum(F.col("said").cast("long")).over(W.partitionBy("doc_id", "island").orderBy("global_line_id"))
+    # a sample needs no more lines than it has characters; a phrase with so many spaces goes over so many ends of lines
+    near = F.collect_list("text").over(W.partitionBy("doc_id", "island", "said").orderBy("global_line_id").rowsBetween(-SPACES, 0))
+    rows = rows.withColumns({"rank": rank, "near": F.upper(F.array_join(near, " "))})
+    named = F.lit(False)
+    for word in ADMINISTRATIVE:
+        named = named | F.col("near").contains(word)
+    rows = rows.withColumn("named", F.col("said") & named)
+    said = F.array_sort(F.collect_list(F.when(F.col("said") & (F.col("rank") <= SAMPLE), F.struct("global_line_id", F.substring("text", 1, SAMPLE).alias("text")))))
     rows = rows.groupBy("doc_id", "island").agg(
         F.min_by("page", g).alias("start_page"), F.min_by("line", g).alias("start_line"),
         F.max_by("page", g).alias("end_page"), F.max_by("line", g).alias("end_line"),
-        F.count("*").alias("line_count"), F.min(g).alias("at"), said.alias("said"),
+        F.count("*").alias("line_count"), F.min(g).alias("at"), said.alias("said"), F.bool_or("named").alias("named"), F.bool_or("said").alias("any"),
     )
     rows = rows.withColumn("all_text", F.array_join(F.transform("said", lambda r: r["text"]), " "))
-    benign = ~T.not_blank(F.col("all_text"))
-    for word in ADMINISTRATIVE:
-        benign = benign | F.upper("all_text").contains(word)
-    sample = F.when(F.col("all_text") == "", F.lit(NO_TEXT)).otherwise(F.substring("all_text", 1, 120))
+    benign = ~F.col("any") | F.col("named")
+    sample = F.when(F.col("all_text") == "", F.lit(NO_TEXT)).otherwise(F.substring("all_text", 1, SAMPLE))
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("at"))
     return rows.select("doc_id", number.alias("gap"), "start_page", "start_line", "end_page", "end_line", "line_count", sample.alias("sample_text"), benign.alias("is_administrative"))
 

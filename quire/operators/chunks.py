@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,28 +120,40 @@ def decode_candidates(answers: DataFrame, answer_col: str = "answer") -> DataFra
     )
 
 
-def extract_candidates(prompted: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
-    """Candidates by an extractor: prompt in, JSON text out, chunk by chunk on the executors.
+def extractor_answers(prompted: DataFrame, extractor: Callable[[str], str] | Sequence[Callable[[str], str]], attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """``prompted`` without the prompt and with the extractor's ``answer`` and an ``error``, chunk by chunk on the executors.
 
-    A call that raises is made again twice and then gives no candidates for its chunk, as an unreachable service would.
+    A call that raises is made again, ``attempts`` times in all, then the next extractor of a sequence is tried in the same way;
+    ``pause`` seconds pass after each call. A chunk for which all fail has a null answer and the last error's text, and the
+    others have a null error. Spark may run a task again, so a chunk can be asked for more than once.
     """
+    order = [extractor] if callable(extractor) else list(extractor)
+
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        error = "no extractor"
+        for one in order:
+            for _ in range(attempts):
+                try:
+                    return one(prompt), None
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                finally:
+                    time.sleep(pause)
+        return None, error
 
     def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for prompt in frame["prompt"]:
-                for attempt in range(3):
-                    try:
-                        out.append(extractor(prompt))
-                        break
-                    except Exception:
-                        if attempt == 2:
-                            out.append("[]")
-            yield frame.drop(columns="prompt").assign(answer=out)
+            found = [ask(p) for p in frame["prompt"]]
+            yield frame.drop(columns="prompt").assign(answer=[a for a, _ in found], error=[e for _, e in found])
 
     kinds = dict(prompted.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in prompted.columns if c != "prompt") + ", answer string"
-    return decode_candidates(prompted.mapInPandas(answered, schema))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in prompted.columns if c != "prompt") + ", answer string, error string"
+    return prompted.mapInPandas(answered, schema)
+
+
+def extract_candidates(prompted: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
+    """Candidates by an extractor: prompt in, JSON text out. Chunks whose calls fail have no candidates; ``extractor_answers`` tells which."""
+    return decode_candidates(extractor_answers(prompted, extractor))
 
 
 def block_candidates(lines: DataFrame, lines_per_topic: int = 7, spread: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:

@@ -27,8 +27,14 @@ def within_chunks(topics: DataFrame, bounds: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, candidate_id) of topics that begin in a chunk's pages or later and end a page after it at most: what
     stands in for a chunk whose extraction failed."""
     held = bounds.select("doc_id", "chunk_id", F.col("start_page").alias("lo"), F.col("end_page").alias("hi"))
-    both = topics.select("doc_id", "candidate_id", "start_page", "end_page").join(held, "doc_id")
-    return both.where((F.col("start_page") >= F.col("lo")) & (F.col("end_page") <= F.col("hi") + 1)).select("doc_id", "chunk_id", "candidate_id")
+    page = lambda first, last: F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+    inside = held.withColumn("page", page(F.col("lo"), F.col("hi") + 1))
+    t = topics.select("doc_id", "candidate_id", "start_page", "end_page")
+    whole = (F.col("start_page") >= F.col("lo")) & (F.col("end_page") <= F.col("hi") + 1)
+    # a topic that isn't inverted begins on a page of its chunk; of the others, which may begin anywhere after it, the end decides
+    straight = t.where("start_page <= end_page").withColumn("page", F.col("start_page").cast("int")).join(inside, ["doc_id", "page"])
+    inverted = t.where("start_page > end_page").join(held, "doc_id")
+    return straight.where(whole).select("doc_id", "chunk_id", "candidate_id").union(inverted.where(whole).select("doc_id", "chunk_id", "candidate_id"))
 
 
 def highlighted(topics: DataFrame, lines: DataFrame) -> DataFrame:
@@ -89,12 +95,15 @@ def label_similarity(runs: DataFrame, threshold: float = 0.70) -> DataFrame:
     labels = runs.select("doc_id", "run_id", "candidate_id", F.lower(T.stripped(F.col("topic"))).alias("label"))
     a = labels.withColumnsRenamed({"run_id": "run_a", "label": "x"})
     b = labels.select("doc_id", F.col("run_id").alias("run_b"), F.col("label").alias("y")).distinct()
-    both = a.join(b, "doc_id").where("run_a < run_b")
-    alike = both["x"] == both["y"]
+    later = runs.select("doc_id", F.col("run_id").alias("run_b")).distinct()
+    a = a.join(later, "doc_id").where("run_a < run_b").select("doc_id", "run_a", "run_b", "candidate_id", "x")
+    same = a.join(b.withColumnRenamed("y", "x").withColumn("same", F.lit(True)), ["doc_id", "run_b", "x"], "left").withColumn("found", F.coalesce("same", F.lit(False))).drop("same")
     if threshold <= 1:
-        alike = alike | (F.when(T.ratio_bound(both["x"], both["y"]) >= threshold, T.matched_ratio(both["x"], both["y"])) >= threshold)
-    best = both.groupBy("doc_id", "run_a", "run_b", "candidate_id").agg(F.bool_or(F.coalesce(alike, F.lit(False))).alias("found"))
-    return best.groupBy("doc_id", "run_a", "run_b").agg((F.count_if("found") / F.count("*")).alias("similarity"))
+        # only distinct labels without an equal one are compared, once each, with those whose length allows the threshold
+        open_ = same.where("not found").select("doc_id", "run_b", "x").distinct().join(b, ["doc_id", "run_b"]).where(T.ratio_bound(F.col("x"), F.col("y")) >= threshold)
+        alike = open_.where(T.matched_ratio(F.col("x"), F.col("y")) >= threshold).select("doc_id", "run_b", "x").distinct().withColumn("alike", F.lit(True))
+        same = same.join(alike, ["doc_id", "run_b", "x"], "left").withColumn("found", F.col("found") | F.coalesce("alike", F.lit(False)))
+    return same.groupBy("doc_id", "run_a", "run_b").agg((F.count_if("found") / F.count("*")).alias("similarity"))
 
 
 def run_stability(runs: DataFrame, threshold: float = 0.70) -> DataFrame:

@@ -14,9 +14,9 @@ from quire.operators.evaluate import numbered
 
 TOPIC_FIELDS = ("topic", "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", "summary", "supporting_quote", "confidence", "verified", "needs_human_review")
 
-#: The head of the Markdown table and what stands for a missing date.
+#: The head of the Markdown table.
 MARKDOWN_HEAD = ("| # | Topic | Start Coordinate | End Coordinate | Summary | Supporting Quote | Verified |", "|---|---|---|---|---|---|:---:|")
-NO_DATE = "March 28, 2023"
+UNKNOWN = "unknown"
 
 
 def topic_json(options: dict | None = None) -> Column:
@@ -38,7 +38,7 @@ def topic_index(topics: DataFrame, lines: DataFrame, report: DataFrame, about: D
     out = out.join(about, "doc_id", "left") if about is not None else out.withColumns({c: F.lit("") for c in ("witness", "date", "case_name")})
     metadata = F.struct(F.lit(model).alias("model"), F.coalesce("n_verified", F.lit(0)).alias("verified_count"), "coverage_percentage", "uncovered_gaps_count", "has_critical_omissions")
     kind = dict(rows.dtypes)["topics"]
-    return out.select("doc_id", F.concat(F.lit("Deposition of "), F.col("witness")).alias("title"), "witness", "date", "case_name", "total_pages", "total_lines", F.coalesce("topics", F.array().cast(kind)).alias("topics"), metadata.alias("metadata"))
+    return out.select("doc_id", F.concat(F.lit("Deposition of "), F.coalesce(F.nullif("witness", F.lit("")), F.lit(UNKNOWN))).alias("title"), "witness", "date", "case_name", "total_pages", "total_lines", F.coalesce("topics", F.array().cast(kind)).alias("topics"), metadata.alias("metadata"))
 
 
 def _cell(c: str) -> Column:
@@ -90,8 +90,8 @@ def pruned(row) -> dict:
 
 
 def _page(index: dict, rows: list[str]) -> str:
-    head = f"<h1>{index['title']}</h1><p>Witness: {index['witness']} | Date: {index['date'] or NO_DATE} | Pages: {index['total_pages']} (Lines: {index['total_lines']}) | Topics: {len(rows)}</p>"
-    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse;width:100%}td,th{border-bottom:1px solid #ddd;padding:8px;text-align:left}.badge-verified{background:#dcfce7}.badge-unverified{background:#fef3c7}"
+    head = f"<h1>{index['title']}</h1><p>Witness: {index['witness'] or UNKNOWN} | Date: {index['date'] or UNKNOWN} | Pages: {index['total_pages']} (Lines: {index['total_lines']}) | Topics: {len(rows)}</p>"
+    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse;width:100%}td,th{border-bottom:1px solid #ddd;padding:8px;text-align:left}.badge-verified{background:lightcyan}.badge-unverified{background:mistyrose}"
     names = "".join(f"<th>{n}</th>" for n in ("#", "Topic", "Start", "End", "Summary", "Supporting Quote", "Status"))
     return f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>{index["title"]}</title><style>{style}</style></head><body>{head}<table><thead><tr>{names}</tr></thead><tbody>\n' + "\n".join(rows) + "\n</tbody></table></body></html>\n"
 
@@ -103,7 +103,7 @@ def export_document(topics: DataFrame, index: DataFrame, doc_id: int, folder: st
     found = pruned(index.where(F.col("doc_id") == doc_id).first())
     rows = lambda df: [r["row"] for r in df.orderBy("num").collect()]  # noqa: E731  one document's topics
     md = rows(markdown_rows(one))
-    head = [f"# {found['title']}", f"**Deponent / Witness:** {found['witness']}  ", f"**Date:** {found['date'] or NO_DATE}  ", f"**Total Substantive Pages:** {found['total_pages']} (Total Lines: {found['total_lines']})  ", f"**Total Topics Identified:** {len(md)}  ", "", "---", "", *MARKDOWN_HEAD]
+    head = [f"# {found['title']}", f"**Deponent / Witness:** {found['witness'] or UNKNOWN}  ", f"**Date:** {found['date'] or UNKNOWN}  ", f"**Total Substantive Pages:** {found['total_pages']} (Total Lines: {found['total_lines']})  ", f"**Total Topics Identified:** {len(md)}  ", "", "---", "", *MARKDOWN_HEAD]
     files = {f"{base}.json": json.dumps(found, indent=2), f"{base}.md": "\n".join([*head, *md]), f"{base}.html": _page(found, rows(html_rows(one)))}
     if raw is not None:
         candidates = numbered(raw.where(F.col("doc_id") == doc_id)).orderBy("candidate_id").select(*TOPIC_FIELDS).collect()

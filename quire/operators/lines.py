@@ -25,12 +25,12 @@ def continued_speaker(new_speaker: Column, text: Column, by: str = "doc_id", ord
     return F.coalesce(F.last(new_speaker, ignorenulls=True).over(w), F.when(F.max(text != "").over(w), F.lit("EXAMINATION")), F.lit(""))
 
 
-def parse_cells(cells: DataFrame, attorney: Column | str = "PURCELL", witness: Column | str = "YU") -> DataFrame:
+def parse_cells(cells: DataFrame, attorney: Column | str | None = None, witness: Column | str | None = None) -> DataFrame:
     """Canonical lines of cells (doc_id, page_idx, page, line, content), numbered in file order.
 
-    ``attorney`` and ``witness`` are short names in capitals, or columns of ``cells``.
+    ``attorney`` and ``witness`` are short names in capitals, or columns of ``cells``; where they are null, questions and answers name nobody.
     """
-    attorney, witness = (c if isinstance(c, Column) else F.lit(c) for c in (attorney, witness))
+    attorney, witness = (c if isinstance(c, Column) else F.lit(c).cast("string") for c in (attorney, witness))
     plain = T.without_timestamp(F.col("content"))
     rows = cells.select(
         "doc_id",
@@ -50,21 +50,21 @@ def _found(text: Column, *patterns: str) -> Column:
     return F.coalesce(*(F.nullif(T.stripped(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns))
 
 
-def document_metadata(pages: DataFrame, witness: str = "Persis Yu", attorney: str = "Mr. Purcell", date: str = "March 28, 2023", case_name: str = "Heather Turrey vs. Vervent, Inc.") -> DataFrame:
-    """(doc_id, witness, attorney, date, case_name) from the first ten pages; what isn't found has the given value."""
+def document_metadata(pages: DataFrame, witness: str | None = None, attorney: str | None = None, date: str | None = None, case_name: str | None = None) -> DataFrame:
+    """(doc_id, witness, attorney, date, case_name) from the first ten pages; what isn't found has the given value, or null."""
     first = pages.where("page_idx < 10").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "text"))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "\n")
     first = first.select("doc_id", text.alias("text"))
     t = F.col("text")
-    name = F.coalesce(_found(t, _WITNESS, _WITNESS_2), F.lit(witness))
-    words = F.transform(F.filter(F.split(name, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))
+    name = F.coalesce(_found(t, _WITNESS, _WITNESS_2), F.lit(witness).cast("string"))
+    words = F.transform(F.filter(F.split(name, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     return first.select(
         "doc_id",
         F.array_join(words, " ").alias("witness"),
-        F.coalesce(_found(t, _ATTORNEY), F.lit(attorney)).alias("attorney"),
-        F.coalesce(_found(t, _DATE), F.lit(date)).alias("date"),
+        F.coalesce(_found(t, _ATTORNEY), F.lit(attorney).cast("string")).alias("attorney"),
+        F.coalesce(_found(t, _DATE), F.lit(date).cast("string")).alias("date"),
         # the patterns take quadratic time where no parties are named, so a linear one goes first
-        F.coalesce(F.when(t.rlike(r"(?i)\sv(?:s?\.?)\s"), _found(t, _CASE, _CASE_2)), F.lit(case_name)).alias("case_name"),
+        F.coalesce(F.when(t.rlike(r"(?i)\sv(?:s?\.?)\s"), _found(t, _CASE, _CASE_2)), F.lit(case_name).cast("string")).alias("case_name"),
     )
 
 

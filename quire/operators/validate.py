@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,14 +35,22 @@ def _pages(first: Column, last: Column) -> Column:
     return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(doc_id, candidate_id, score, and the page, line and gid of the window's first and last line) of quotes that are found.
 
     Each line that isn't blank begins a window of as many such lines as the quote's length asks for, within two pages
     around the topic. A window that holds the quote scores 1, one of 15 characters or more that the quote holds
     0.9 at least, any other its similarity to the quote, if ``fuzzy``. The first of the best windows
-    counts, from 0.65 on. Topics meet lines by page, which is an equi-join; similarity is computed only where the
-    lengths allow 0.65 and the quote isn't held.
+    counts, from 0.65 on.
+
+    Lines are normalised once, and each takes along as many lines after it as the longest quote of its document
+    asks for. Topics meet lines by page, which is an equi-join; the pair joins these texts, and similarity is computed only
+    where the lengths allow 0.65 and the quote isn't held.
     """
     wanted = topics.select("doc_id", "candidate_id", "start_page", "end_page", T.normalized(T.stripped(F.col("supporting_quote"))).alias("quote")).where(F.length("quote") >= 5)
     wanted = wanted.join(limits, "doc_id").select(
@@ -51,42 +61,46 @@ def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy:
         F.greatest(F.col("min_page"), F.col("start_page") - BAND).alias("from_page"),
         F.least(F.col("max_page"), F.col("end_page") + BAND).alias("to_page"),
     )
-    wanted = wanted.withColumn("page", _pages(F.col("from_page"), F.col("to_page")))
+    most = wanted.groupBy("doc_id").agg(F.max("size").alias("most"))
     ahead = W.partitionBy("doc_id").orderBy("global_line_id").rowsBetween(0, WINDOW_LINES - 1)
     # only lines 1 to 25 are looked at
-    said = lines.where(T.not_blank(F.col("text")) & F.col("line").between(1, 25)).select("doc_id", "page", "line", "global_line_id", "text")
-    said = said.withColumn("ahead", F.collect_list(F.struct("page", "line", "global_line_id", "text")).over(ahead)).select("doc_id", "page", "ahead")
-    seen = wanted.join(said, ["doc_id", "page"])
+    said = lines.where(T.not_blank(F.col("text")) & F.col("line").between(1, 25)).select("doc_id", "page", "line", "global_line_id", T.plain(F.col("text")).alias("plain"))
+    said = said.withColumn("ahead", F.collect_list(F.struct("page", "line", "global_line_id", "plain")).over(ahead))
+    said = said.join(most, "doc_id").select("doc_id", "page", F.slice("ahead", F.lit(1), F.col("most")).alias("ahead"))
+    wanted = wanted.withColumn("page", _pages(F.col("from_page"), F.col("to_page")))
+    quote = F.col("quote")
+
+    def judged(window: Column) -> Column:
+        sure = F.when(window.contains(quote), F.lit(1.0)).when(quote.contains(window) & (F.length(window) >= 15), F.lit(0.9)).otherwise(F.lit(0.0))
+        unsure = (T.ratio_bound(quote, window) >= QUOTE_LEAST) & ~window.contains(quote) if fuzzy else F.lit(False)
+        return F.when(F.length(window) >= 5, F.struct(sure.alias("sure"), F.when(unsure, window).alias("compared")))
+
+    def spoken(w: Column) -> Column:
+        place = lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["global_line_id"].alias("global_line_id"))
+        text = T.stripped(F.array_join(F.transform(w, lambda x: x["plain"]), " "))
+        return F.struct(place(F.element_at(w, 1)).alias("first"), place(F.element_at(w, -1)).alias("last"), _bound(text, judged).alias("j"))
+
     inside = F.filter(F.slice("ahead", F.lit(1), F.col("size")), lambda x: x["page"].between(F.col("from_page"), F.col("to_page")))
-    seen = seen.withColumn("w", inside).withColumn("window", T.normalized(F.array_join(F.transform("w", lambda x: x["text"]), " "))).where(F.length("window") >= 5)
-    quote, window = F.col("quote"), F.col("window")
-    holds = window.contains(quote)
-    held = quote.contains(window) & (F.length(window) >= 15)
-    seen = seen.select("doc_id", "candidate_id", "quote", "window", holds.alias("holds"), held.alias("held"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
-    sure = F.when(F.col("holds"), F.lit(1.0)).when(F.col("held"), F.lit(0.9)).otherwise(F.lit(0.0))
+    seen = wanted.join(said, ["doc_id", "page"]).select("doc_id", "candidate_id", "quote", _bound(inside, spoken).alias("s"))
+    seen = seen.select("doc_id", "candidate_id", "quote", "s.first", "s.last", F.col("s.j.sure").alias("sure"), F.col("s.j.compared").alias("compared"))
+    seen = seen.where((F.col("sure") > 0) | F.col("compared").isNotNull())
+    score = F.col("sure")
     if fuzzy:
-        open_ = seen.where(~F.col("holds") & (F.col("held") | (T.ratio_bound(quote, window) >= QUOTE_LEAST)))
-        open_ = open_.withColumn("score", F.greatest(sure, T.matched_ratio(quote, window)))
-        scored = seen.where("holds").withColumn("score", F.lit(1.0)).unionByName(open_)
-    else:
-        scored = seen.withColumn("score", sure)
-    scored = scored.where(F.col("score") >= QUOTE_LEAST)
+        score = F.greatest(score, T.matched_ratio(F.when(F.col("compared").isNotNull(), quote), F.col("compared")))
+    scored = seen.select("doc_id", "candidate_id", "first", "last", score.alias("score")).where(F.col("score") >= QUOTE_LEAST)
     best = scored.groupBy("doc_id", "candidate_id").agg(F.max(F.struct("score", (-F.col("first.global_line_id")).alias("order"), "first", "last")).alias("b"))
-    return best.select(
-        "doc_id", "candidate_id", F.col("b.score").alias("quote_score"),
-        F.col("b.first.page").alias("q_start_page"), F.col("b.first.line").alias("q_start_line"), F.col("b.first.global_line_id").alias("q_start_gid"), F.col("b.first.text").alias("q_start_text"),
-        F.col("b.last.page").alias("q_end_page"), F.col("b.last.line").alias("q_end_line"), F.col("b.last.global_line_id").alias("q_end_gid"), F.col("b.last.text").alias("q_end_text"),
-    )
+    at = [F.col(f"b.{end}.{c}").alias(f"q_{which}_{short}") for which, end in (("start", "first"), ("end", "last")) for c, short in (("page", "page"), ("line", "line"), ("global_line_id", "gid"))]
+    return best.select("doc_id", "candidate_id", F.col("b.score").alias("quote_score"), *at)
 
 
-def lines_of_topics(topics: DataFrame, lines: DataFrame, limits: DataFrame) -> DataFrame:
-    """(doc_id, candidate_id, global_line_id, page, line, text) of the lines in each topic's closed range, joined by page."""
+def lines_of_topics(topics: DataFrame, lines: DataFrame, limits: DataFrame, of_line: str = "text") -> DataFrame:
+    """(doc_id, candidate_id, global_line_id, page, line and ``of_line``) of the lines in each topic's closed range, joined by page."""
     ranges = topics.select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line").join(limits, "doc_id")
     ranges = ranges.withColumn("page", _pages(F.greatest("start_page", "min_page"), F.least("end_page", "max_page"))).drop("min_page", "max_page")
-    both = ranges.join(lines.select("doc_id", "page", "line", "global_line_id", "text"), ["doc_id", "page"])
+    both = ranges.join(lines.select("doc_id", "page", "line", "global_line_id", of_line), ["doc_id", "page"])
     after = (F.col("page") > F.col("start_page")) | (F.col("line") >= F.col("start_line"))
     before = (F.col("page") < F.col("end_page")) | (F.col("line") <= F.col("end_line"))
-    return both.where(after & before).select("doc_id", "candidate_id", "global_line_id", "page", "line", "text")
+    return both.where(after & before).select("doc_id", "candidate_id", "global_line_id", "page", "line", of_line)
 
 
 def range_text(topics: DataFrame, lines: DataFrame) -> DataFrame:
@@ -105,6 +119,8 @@ def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFra
        lines off moves to the quote; a missing or blank end moves to the quote's last line.
     3. The label's keywords are compared with those of the range, as it is now, and the quote.
     4. A topic is verified if both coordinates exist, the quote scores 0.7, the label 0.15, and nothing was inverted.
+
+    ``lines`` and ``topics`` are read several times each, so they should be tables and no long plans.
     """
     index, limits = line_index(lines), page_limits(lines)
     late = (F.col("start_page") > F.col("end_page")) | ((F.col("start_page") == F.col("end_page")) & (F.col("start_line") > F.col("end_line")))
@@ -122,9 +138,8 @@ def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFra
         moved |= {f"{which}_{c}": F.when(move, F.col(f"q_{which}_{c}")).otherwise(F.col(f"{which}_{c}")) for c in ("page", "line", "gid")}
     t = t.withColumns(moved | {"quote_score": score})
     t = t.withColumns({"start_global_id": F.coalesce("start_gid", "start_global_id"), "end_global_id": F.coalesce("end_gid", "end_global_id")})
-    said = lines_of_topics(t, lines, limits).groupBy("doc_id", "candidate_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(T.keywords(F.when(T.not_blank(F.col("text")), F.col("text")).otherwise(""))))).alias("said")
-    )
+    worded = lines.withColumn("keywords", F.array_distinct(T.keywords(F.col("text"))))  # once a line, not once a topic
+    said = lines_of_topics(t, worded, limits, "keywords").groupBy("doc_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("said"))
     t = t.join(said, ["doc_id", "candidate_id"], "left")
     all_said = F.array_union("said", T.keywords(F.coalesce("supporting_quote", F.lit(""))))
     label = F.when(F.col("said").isNull() | ~T.not_blank(F.col("topic")), F.lit(0.0)).otherwise(T.keyword_overlap(T.keywords(F.col("topic")), all_said))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from quire.operators import audit, chunks, lines, merge, validate
 from quire.sources import transcripts
+from quire.storage import Scratch
 
 
 @dataclass
 class Indexed:
-    """The tables of a run, all lazy."""
+    """The tables of a run. Lines, candidates, verdicts and topics are written already, the others are lazy."""
 
     lines: DataFrame
     chunked: DataFrame
@@ -23,6 +24,7 @@ class Indexed:
     validated: DataFrame
     topics: DataFrame
     report: DataFrame
+    failures: DataFrame
 
 
 def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: int | None = None, max_pages: int | None = None, metadata: DataFrame | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: in
     about = metadata if metadata is not None else lines.document_metadata(pages)
     from quire.functions import text as T
 
-    names = about.select("doc_id", F.coalesce(T.short_witness(F.col("witness")), F.lit("YU")).alias("witness"), F.coalesce(F.nullif(T.short_attorney(F.col("attorney")), F.lit("")), F.lit("PURCELL")).alias("attorney"))
+    names = about.select("doc_id", F.nullif(T.short_witness(F.col("witness")), F.lit("")).alias("witness"), F.nullif(T.short_attorney(F.col("attorney")), F.lit("")).alias("attorney"))
     bounds = lines.testimony_bounds(pages)
     bounds = bounds.select("doc_id", (F.lit(start_page) if start_page is not None else F.col("start_page")).alias("lo"), (F.lit(end_page) if end_page is not None else F.col("end_page")).alias("hi"))
     if max_pages is not None:
@@ -47,17 +49,39 @@ def lines_of_text(docs: DataFrame) -> DataFrame:
     return grid.select("doc_id", "global_line_id", "page", "line", speaker.alias("speaker"), "text", F.lit(None).cast("string").alias("timestamp"), F.col("text").alias("raw_text"))
 
 
-def index_lines(canonical: DataFrame, extractor: Callable[[str], str] | None = None, metadata: DataFrame | None = None, pages_per_chunk: int = 12, overlap: int = 2, fuzzy: bool = True, similarity: float = 0.70) -> Indexed:
+def index_lines(canonical: DataFrame, extractor: Callable[[str], str] | None = None, metadata: DataFrame | None = None, pages_per_chunk: int = 12, overlap: int = 2, fuzzy: bool = True, similarity: float = 0.70, stand_in: bool = True, pause: float = 0.0) -> Indexed:
     """All stages after parsing. Extraction sees the cleaned chunks, checks the lines as they are.
 
-    Without an extractor each block of lines is a candidate.
+    Without an extractor each block of lines is a candidate. With one, ``failures`` has the chunks for which it gave no answer, and
+    ``pause`` is how many seconds it rests between calls; a document all of whose chunks failed is one topic over
+    all its lines, if ``stand_in``. Lines, candidates, verdicts and topics are written once to shared storage, as later
+    stages read them several times; Spark jobs run when this is called.
     """
+    scratch = Scratch(canonical.sparkSession, "index")
+    canonical = scratch.keep(canonical, "lines")
     chunked = chunks.chunk_lines(canonical, pages_per_chunk, overlap)
     cleaned = chunks.clean_chunks(chunked)
-    candidates = chunks.extract_candidates(chunks.prompts(cleaned, metadata), extractor) if extractor else chunks.block_candidates(canonical)
-    validated = validate.validate(candidates, canonical, fuzzy)
+    none = canonical.sparkSession.createDataFrame([], "doc_id long, chunk_id int, error string")
+    if extractor:
+        answers = scratch.keep(chunks.extractor_answers(chunks.prompts(cleaned, metadata), extractor, pause=pause), "answers")
+        failures = answers.where("error is not null").select("doc_id", "chunk_id", "error")
+        candidates = chunks.decode_candidates(answers)
+    else:
+        failures, candidates = none, chunks.block_candidates(canonical)
+    candidates = scratch.keep(candidates, "candidates")
+    validated = scratch.keep(validate.validate(candidates, canonical, fuzzy), "verdicts")
     topics = merge.merge_topics(validated, similarity)
-    return Indexed(canonical, chunked, cleaned, candidates, validated, topics, audit.omission_report(canonical, topics))
+    if extractor and stand_in:
+        lost = answers.groupBy("doc_id").agg(F.bool_and(F.col("error").isNotNull()).alias("lost")).where("lost").select("doc_id")
+        topics = topics.unionByName(structural_topic(canonical.join(lost, "doc_id", "left_semi")))
+    topics = scratch.keep(topics, "topics")
+    return Indexed(canonical, chunked, cleaned, candidates, validated, topics, audit.omission_report(canonical, topics), failures)
+
+
+def index_pages(pages: DataFrame, extractor: Callable[[str], str] | None = None, max_pages: int | None = None, **options) -> Indexed:
+    """Parse, index and audit in one call: page texts and blocks (see ``sources.transcripts``) to topics and report."""
+    about = lines.document_metadata(pages)
+    return index_lines(lines_of_pages(pages, max_pages=max_pages, metadata=about), extractor, about, **options)
 
 
 def structural_topic(canonical: DataFrame, name: str = "Full Testimony") -> DataFrame:

@@ -6,6 +6,7 @@ coordinates moved by the document's number so that drift, missing ends and inver
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from quire.functions import text as T
 from quire.operators import audit, chunks, evaluate, export, lines, merge, validate
 from quire.plans import indexing
 from quire.sources import transcripts
+from quire.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,8 +53,13 @@ def _lines(spark, sf_dir):
     return indexing.lines_of_text(_table(spark, sf_dir, "documents"))
 
 
-def _topics(spark, sf_dir):
-    rows = chunks.block_candidates(_grid(spark, sf_dir), 7, lambda d: (d % 3, d % 5 + 3))
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A table of what several parts of a plan read."""
+    return Scratch(df.sparkSession, "query").keep(df, name)
+
+
+def _topics(spark, sf_dir, grid: DataFrame | None = None):
+    rows = chunks.block_candidates(_grid(spark, sf_dir) if grid is None else grid, 7, lambda d: (d % 3, d % 5 + 3))
     k = F.col("doc_id") + F.col("candidate_id")
     back = k % 11 == 0
     swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
@@ -166,7 +173,7 @@ _PARSE = f"""cells AS (
 ), parsed AS (
   SELECT doc_id, gid, timestamp,
     CASE WHEN regexp_matches(p, '{_SPEAKER}') THEN upper(regexp_extract(p, '{_SPEAKER}', 1))
-         WHEN regexp_matches(p, '{_LETTER}') THEN CASE upper(regexp_extract(p, '{_LETTER}', 1)) WHEN 'Q' THEN 'QUESTION (PURCELL)' ELSE 'ANSWER (YU)' END END AS new_speaker,
+         WHEN regexp_matches(p, '{_LETTER}') THEN CASE upper(regexp_extract(p, '{_LETTER}', 1)) WHEN 'Q' THEN 'QUESTION (LEE)' ELSE 'ANSWER (DOE)' END END AS new_speaker,
     CASE WHEN regexp_matches(p, '{_SPEAKER}') THEN {_strip(f"regexp_extract(p, '{_SPEAKER}', 2)")}
          WHEN regexp_matches(p, '{_LETTER}') THEN {_strip("regexp_replace(p, '(?i)^(?:BY\\s+)?[QA][\\.:\\s]*', '')")} ELSE p END AS text FROM plain
 )"""
@@ -182,7 +189,7 @@ def _cells(spark, sf_dir):
 
 @query(_with(_TURNS, _PARSE, select="SELECT doc_id, gid AS global_line_id, coalesce(last_value(new_speaker IGNORE NULLS) OVER w, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER w = 1 THEN 'EXAMINATION' END, '') AS speaker, text, timestamp FROM parsed WINDOW w AS (PARTITION BY doc_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def line_parse(spark, sf_dir):
-    return lines.parse_cells(_cells(spark, sf_dir)).select("doc_id", "global_line_id", "speaker", "text", "timestamp")
+    return lines.parse_cells(_cells(spark, sf_dir), "LEE", "DOE").select("doc_id", "global_line_id", "speaker", "text", "timestamp")
 
 
 @query(_with(_TURNS, select="SELECT conv_id AS doc_id, gid AS global_line_id, coalesce(last_value(CASE WHEN i = 1 AND role <> 'system' THEN upper(role) END IGNORE NULLS) OVER w, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER w = 1 THEN 'EXAMINATION' END, '') AS speaker FROM turn_lines WINDOW w AS (PARTITION BY conv_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
@@ -233,7 +240,22 @@ def bounds_detect(spark, sf_dir):
     return lines.testimony_bounds(_pages(spark, sf_dir))
 
 
-@query(_with(GRID, PAGES, select="SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Jane Doe-smith' ELSE 'Persis Yu' END AS witness, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 0 THEN 'MS. LEE' ELSE 'Mr. Purcell' END AS attorney, CASE WHEN doc_id % 2 = 0 THEN 'March 3rd, 2021' ELSE 'March 28, 2023' END AS date, CASE WHEN doc_id % 2 = 0 THEN 'Alpha Co vs. Beta LLC' ELSE 'Heather Turrey vs. Vervent, Inc.' END AS case_name FROM documents"))
+_METADATA = r"""first AS (
+  SELECT doc_id, string_agg(text, chr(10) ORDER BY page_idx) AS t FROM printed WHERE page_idx < 10 GROUP BY doc_id
+), found AS (
+  SELECT doc_id,
+    coalesce(nullif(trim(regexp_extract(t, '(?i)DEPOSITION\s+OF\s+([A-Z\s\.\,\-]+?)(?:\n|\r|\t|Taken|held|Tuesday|Wednesday|Monday|Thursday|Friday|Saturday|Sunday|March|April|May|June|July|August|September|October|November|December)', 1)), ''),
+      nullif(trim(regexp_extract(t, '(?i)WITNESS\s*[:\-]?\s*([A-Z\s\.\,\-]+?)(?:\n|\r|\t|By\s|Page)', 1)), '')) AS w,
+    nullif(trim(regexp_extract(t, '(?i)BY\s+(MR\.\s+[A-Z]+|MS\.\s+[A-Z]+)', 1)), '') AS attorney,
+    nullif(trim(regexp_extract(t, '(?i)((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:st|nd|rd|th)?,\s+\d{4})', 1)), '') AS date,
+    coalesce(nullif(trim(regexp_extract(t, '(?i)(?:matter\s+of|case\s+of)\s+([A-Z\s\.\,\-]+?\s+(?:vs\.?|v\.?)\s+[A-Z\s\.\,\-]+?)(?:,|\n|\r|\.|\;)', 1)), ''),
+      nullif(trim(regexp_extract(t, '(?i)([A-Z\s\.\,\-]+?\s+(?:vs\.?|v\.?)\s+[A-Z\s\.\,\-]+?)(?:,|\n|\r|\.|\;)', 1)), '')) AS case_name FROM first
+), about AS (
+  SELECT doc_id, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN regexp_split_to_array(w, '\s+') IF x <> ''], ' ') AS witness, attorney, date, case_name FROM found
+)"""
+
+
+@query(_with(GRID, PAGES, _METADATA, select="SELECT * FROM about"))
 def metadata_extract(spark, sf_dir):
     return lines.document_metadata(_pages(spark, sf_dir))
 
@@ -257,15 +279,16 @@ def chunk_members(spark, sf_dir):
 
 
 _PHRASES = ",".join(f"'{p}'" for p in T.PROCEDURAL_PHRASES)
-_CLEANED = f"""kinds AS (
+_KINDS = f"""kinds AS (
   SELECT *, CASE WHEN trim(text) = '' THEN 'blank'
     WHEN plain IN ({_PHRASES}) OR (starts_with(plain, 'objection') AND len(regexp_extract_all(plain, '\\S+')) <= 5) OR regexp_matches(plain, '^(?:same|continuing|standing)\\s+objection') THEN 'noise'
     WHEN {" OR ".join(f"regexp_matches(text, '{p}')" for p in T.NOTE_PATTERNS)} THEN 'note' ELSE 'talk' END AS kind
   FROM (SELECT *, {_strip("regexp_replace(lower(text), '[^a-z\\s]', '', 'g')")} AS plain FROM chunked)
 ), cleaned AS (
-  SELECT doc_id, chunk_id, global_line_id, CASE kind WHEN 'noise' THEN '[OBJECTION]' WHEN 'note' THEN '[PROCEDURAL]' ELSE text END AS text
+  SELECT {{columns}}, CASE kind WHEN 'noise' THEN '[OBJECTION]' WHEN 'note' THEN '[PROCEDURAL]' ELSE text END AS text
   FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id, chunk_id ORDER BY global_line_id) AS before FROM kinds) WHERE NOT (kind = 'noise' AND coalesce(before, '') = 'noise')
 )"""
+_CLEANED = _KINDS.replace("{columns}", "doc_id, chunk_id, global_line_id")
 
 
 @query(_with(GRID, NOISY, CHUNKED.format(source="noisy"), _CLEANED, select="SELECT * FROM cleaned"))
@@ -291,7 +314,18 @@ def keyword_overlap(spark, sf_dir):
     return ends.select("doc_id", T.keyword_overlap(T.keywords(F.col("a")), T.keywords(F.col("b"))).alias("overlap"))
 
 
-@query()
+_SAID = "said AS (SELECT *, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY global_line_id) = 1 THEN 'EXAMINATION' ELSE '' END AS speaker FROM grid)"
+_CHUNKED_SAID = CHUNKED.format(source="said").replace("page, line, text\n", "page, line, text, speaker\n")
+_PROMPTS = _KINDS.replace("{columns}", "doc_id, chunk_id, global_line_id, page, line, speaker") + """, bodies AS (
+  SELECT doc_id, chunk_id, arg_min(page, global_line_id) AS start_page, arg_max(page, global_line_id) AS end_page,
+    coalesce(string_agg(CASE WHEN trim(text) <> '' THEN format('[P{:02d}:L{:02d}] ', page, line) || CASE WHEN speaker <> '' THEN speaker || ': ' ELSE '' END || text END, chr(10) ORDER BY global_line_id), '') AS body FROM cleaned GROUP BY doc_id, chunk_id
+)"""
+
+
+@query(_with(GRID, PAGES, _METADATA, _SAID, _CHUNKED_SAID, _PROMPTS, select="""SELECT doc_id, chunk_id, start_page, end_page,
+  concat_ws(chr(10), 'DEPOSITION CONTEXT:', CASE WHEN witness <> '' THEN '  Witness/Deponent: ' || witness END, CASE WHEN case_name <> '' THEN '  Case/Matter: ' || case_name END, CASE WHEN attorney <> '' THEN '  Examining Attorney: ' || attorney END, CASE WHEN date <> '' THEN '  Date: ' || date END)
+  || chr(10) || chr(10) || 'Analyze this deposition transcript segment (Pages ' || start_page || ' to ' || end_page || '):' || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Extract all chronological topic segments according to the specified JSON schema.' AS prompt
+  FROM bodies LEFT JOIN about USING (doc_id)"""))
 def prompt_text(spark, sf_dir):
     chunked = chunks.chunk_lines(_lines(spark, sf_dir), 2, 1)
     return chunks.prompts(chunks.clean_chunks(chunked), lines.document_metadata(_pages(spark, sf_dir)))
@@ -386,7 +420,8 @@ _LOCATED = f"""lim AS (SELECT doc_id, min(page) AS min_page, max(page) AS max_pa
 
 @query(_with(GRID, TOPICS, _LOCATED, select="SELECT doc_id, candidate_id, score AS quote_score, a.gid AS q_start_gid, b.gid AS q_end_gid FROM best"))
 def quote_exact(spark, sf_dir):
-    grid, t = _grid(spark, sf_dir), _topics(spark, sf_dir)
+    grid = _kept(_grid(spark, sf_dir), "lines")
+    t = _topics(spark, sf_dir, grid)
     late = F.struct("start_page", "start_line") > F.struct(F.col("end_page").alias("start_page"), F.col("end_line").alias("start_line"))
     t = t.select("doc_id", "candidate_id", "supporting_quote", F.when(late, F.col("end_page")).otherwise(F.col("start_page")).alias("start_page"), F.when(late, F.col("start_page")).otherwise(F.col("end_page")).alias("end_page"))
     return validate.locate_quotes(t, grid, validate.page_limits(grid), fuzzy=False).select("doc_id", "candidate_id", "quote_score", "q_start_gid", "q_end_gid")
@@ -410,29 +445,39 @@ _VERDICT = f"""looked AS (
 )"""
 
 
+def _misquoted(t: DataFrame) -> DataFrame:
+    """Quotes that lost the eighth letter of each long word, so that they are found by similarity."""
+    return t.withColumn("supporting_quote", F.regexp_replace("supporting_quote", r"(\w{7})\w", "$1"))
+
+
+def _validated(spark, sf_dir, fuzzy: bool) -> DataFrame:
+    grid = _kept(_grid(spark, sf_dir), "lines")
+    t = _kept(_topics(spark, sf_dir, grid), "topics")
+    return validate.validate(_misquoted(t) if fuzzy else t, grid, fuzzy)
+
+
 @query(_with(GRID, TOPICS, _LOCATED, _VERDICT, select="SELECT doc_id, candidate_id, start_page, start_line, end_page, end_line, sg AS start_global_id, eg AS end_global_id, score AS quote_score, semantic AS semantic_score, inverted, verified, CASE WHEN verified THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, NOT verified AS needs_human_review FROM verdicts"))
 def verdict_exact(spark, sf_dir):
-    out = validate.validate(_topics(spark, sf_dir), _grid(spark, sf_dir), fuzzy=False)
+    out = _validated(spark, sf_dir, fuzzy=False)
     return out.select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", "quote_score", "semantic_score", "inverted", "verified", "confidence", "needs_human_review")
 
 
 @query(_with(GRID, TOPICS, _LOCATED, _VERDICT, select="SELECT doc_id, candidate_id FROM verdicts WHERE verified"))
 def fully_verified(spark, sf_dir):
-    out = validate.validate(_topics(spark, sf_dir), _grid(spark, sf_dir), fuzzy=False)
+    out = _validated(spark, sf_dir, fuzzy=False)
     return out.where(evaluate.fully_verified()).select("doc_id", "candidate_id")
 
 
 @query()
 def verdict_fuzzy(spark, sf_dir):
-    """Quotes with every fourth character lost are found by similarity."""
-    t = _topics(spark, sf_dir).withColumn("supporting_quote", F.regexp_replace("supporting_quote", r"(\w{7})\w", "$1"))
-    return validate.validate(t, _grid(spark, sf_dir)).select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line", F.round("quote_score", 9).alias("quote_score"), "verified")
+    """Quotes with lost letters are found by similarity."""
+    return _validated(spark, sf_dir, fuzzy=True).select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line", F.round("quote_score", 9).alias("quote_score"), "verified")
 
 
 @query()
 def quote_fuzzy(spark, sf_dir):
-    grid = _grid(spark, sf_dir)
-    t = _topics(spark, sf_dir).withColumn("supporting_quote", F.regexp_replace("supporting_quote", r"(\w{7})\w", "$1"))
+    grid = _kept(_grid(spark, sf_dir), "lines")
+    t = _misquoted(_topics(spark, sf_dir, grid))
     return validate.locate_quotes(t, grid, validate.page_limits(grid)).select("doc_id", "candidate_id", F.round("quote_score", 9).alias("quote_score"), "q_start_gid", "q_end_gid")
 
 
@@ -491,11 +536,13 @@ def overlap_pairs(spark, sf_dir):
 
 # --- audit ------------------------------------------------------------------------------------------------
 
-_SPARSE = "thin AS (SELECT * FROM topics WHERE (doc_id + candidate_id) % 3 = 0)"
+#: Topics as they are, but of every third document's ones each ends where it begins.
+_SPARSE = "thin AS (SELECT doc_id, candidate_id, start_page, start_line, CASE WHEN doc_id % 3 = 0 THEN start_page ELSE end_page END AS end_page, CASE WHEN doc_id % 3 = 0 THEN start_line ELSE end_line END AS end_line FROM topics)"
 
 
 def _thin(spark, sf_dir):
-    return _topics(spark, sf_dir).where((F.col("doc_id") + F.col("candidate_id")) % 3 == 0)
+    short = F.col("doc_id") % 3 == 0
+    return _topics(spark, sf_dir).withColumns({f"end_{c}": F.when(short, F.col(f"start_{c}")).otherwise(F.col(f"end_{c}")) for c in ("page", "line")})
 
 
 _MARKED = f"marked AS (SELECT g.*, EXISTS (SELECT 1 FROM thin t WHERE {_INSIDE}) AS covered FROM grid g)"
@@ -529,7 +576,7 @@ def omission_report(spark, sf_dir):
 # --- evaluation -------------------------------------------------------------------------------------------
 
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_page, start_line, end_page, end_line, candidate_id) AS num, count(*) OVER (PARTITION BY doc_id) AS n FROM topics)"
-_SAMPLED = "sampled AS (SELECT *, (num - 1) // step + 1 AS pick FROM (SELECT *, least(3, n) AS k, greatest(1, n // least(3, n)) AS step FROM numbered) WHERE (num - 1) % step = 0 AND num - 1 < k * step)"
+_SAMPLED = "sampled AS (SELECT *, (num - 1) // step + 1 AS pick FROM (SELECT *, least(20, n) AS k, greatest(1, n // least(20, n)) AS step FROM numbered) WHERE (num - 1) % step = 0 AND num - 1 < k * step)"
 _MATRIX = """matrix AS (
   SELECT t.doc_id, t.pick AS num, topic, 'P' || start_page || ':L' || start_line || ' - P' || end_page || ':L' || end_line AS range, CAST(CASE WHEN s.doc_id IS NOT NULL AND e.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS location, CAST(1.0 AS DOUBLE) AS relevance,
     CAST(CASE WHEN start_line <= 25 AND end_line <= 25 THEN 0.95 ELSE 0.8 END AS DOUBLE) AS boundary, CASE WHEN supporting_quote <> '' THEN substring(supporting_quote, 1, 80) || '...' ELSE '(Verified)' END AS quote
@@ -539,12 +586,12 @@ _MATRIX = """matrix AS (
 
 @query(_with(GRID, TOPICS, _NUMBERED, _SAMPLED, _MATRIX, select="SELECT * FROM matrix"))
 def sample_audit(spark, sf_dir):
-    return evaluate.audit_matrix(_topics(spark, sf_dir), validate.line_index(_grid(spark, sf_dir)), 3)
+    return evaluate.audit_matrix(_topics(spark, sf_dir), validate.line_index(_grid(spark, sf_dir)))
 
 
 @query(_with(GRID, TOPICS, _NUMBERED, _SAMPLED, _MATRIX, select="SELECT doc_id, count(*) AS sampled, round(avg(location) * 100, 1) AS avg_location, round(avg(relevance) * 100, 1) AS avg_relevance, round(avg(boundary) * 100, 1) AS avg_boundary FROM matrix GROUP BY doc_id"))
 def quality_means(spark, sf_dir):
-    return evaluate.quality_means(evaluate.audit_matrix(_topics(spark, sf_dir), validate.line_index(_grid(spark, sf_dir)), 3))
+    return evaluate.quality_means(evaluate.audit_matrix(_topics(spark, sf_dir), validate.line_index(_grid(spark, sf_dir))))
 
 
 @query(_with(GRID, TOPICS, select="SELECT doc_id, count(*) AS n_topics, CAST(0 AS BIGINT) AS n_verified, round(100.0 * (1 - CAST(count(DISTINCT {'p': start_page, 'l': start_line // 5}) AS DOUBLE) / count(*)), 1) AS redundancy_pct FROM topics GROUP BY doc_id"))
@@ -606,25 +653,81 @@ def export_json(spark, sf_dir):
     return export.json_rows(_topics(spark, sf_dir))
 
 
-@query()
+_VIEWER = """bundles AS (
+  SELECT doc_id, total_lines, lo, hi, '"title":"Deposition of unknown","witness":"","date":"","caseName":"","topics":' || coalesce(t.topics, '[]') || ',"lines":' || l.lines || '}' AS rest FROM (
+    SELECT doc_id, count(*) AS total_lines, min(page) AS lo, max(page) AS hi, to_json(list({'global_id': global_line_id, 'page': page, 'line': line, 'speaker': speaker, 'text': text, 'timestamp': CAST(NULL AS VARCHAR)} ORDER BY global_line_id))::VARCHAR AS lines FROM said GROUP BY doc_id) l
+  LEFT JOIN (SELECT doc_id, to_json(list({'topic': topic, 'start_page': start_page, 'start_line': start_line, 'end_page': end_page, 'end_line': end_line, 'start_global_id': CAST(NULL AS BIGINT), 'end_global_id': CAST(NULL AS BIGINT), 'summary': summary, 'supporting_quote': supporting_quote, 'confidence': confidence, 'verified': false, 'needs_human_review': true} ORDER BY num))::VARCHAR AS topics FROM numbered GROUP BY doc_id) t USING (doc_id)
+)"""
+
+
+def _bundled(spark, sf_dir):
+    canonical = _kept(_lines(spark, sf_dir), "lines")
+    t = _topics(spark, sf_dir, canonical)
+    return canonical, export.topic_index(t, canonical, audit.omission_report(canonical, t))
+
+
+@query(_with(GRID, TOPICS, _NUMBERED, _SAID, _VIEWER, select="SELECT doc_id, '{' || rest AS bundle FROM bundles"))
 def viewer_bundle(spark, sf_dir):
-    canonical, t = _lines(spark, sf_dir), _topics(spark, sf_dir)
-    return export.viewer_bundle(export.topic_index(t, canonical, audit.omission_report(canonical, t)), canonical)
+    canonical, index = _bundled(spark, sf_dir)
+    return export.viewer_bundle(index, canonical)
 
 
-@query()
+@query(_with(GRID, TOPICS, _NUMBERED, _SAID, _VIEWER, select="""SELECT doc_id, '{"success":true,"filename":"' || doc_id || '.pdf","pageRange":"' || lo || '-' || hi || '","totalLines":' || total_lines || ',' || rest AS response FROM bundles"""))
 def api_response(spark, sf_dir):
-    canonical, t = _lines(spark, sf_dir), _topics(spark, sf_dir)
-    return export.api_response(export.topic_index(t, canonical, audit.omission_report(canonical, t)), canonical, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    canonical, index = _bundled(spark, sf_dir)
+    return export.api_response(index, canonical, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
 
 
 @query()
 def index_documents(spark, sf_dir):
     """The whole plan on the documents: the report of each."""
-    return indexing.index_lines(_lines(spark, sf_dir), pages_per_chunk=2, overlap=1).report.drop("uncovered_segments")
+    return indexing.index_lines(_lines(spark, sf_dir), pages_per_chunk=12, overlap=2).report.drop("uncovered_segments")
+
+
+def _extractor(prompt: str) -> str:
+    """A stand-in for a service: one topic of the first line that has a tag."""
+    for row in prompt.split("\n"):
+        if row.startswith("[P"):
+            page, line, text = int(row[2 : row.index(":")]), int(row[row.index(":L") + 2 : row.index("]")]), row.split(": ", 1)[-1]
+            return json.dumps([{"topic": text[:40], "start_page": page, "start_line": line, "end_page": page, "end_line": line, "summary": "", "supporting_quote": text}])
+    return "[]"
 
 
 @query()
+def index_extracted(spark, sf_dir):
+    """Parse, index and audit in one call, with an extractor: the report of each document."""
+    return indexing.index_pages(_pages(spark, sf_dir), _extractor).report.drop("uncovered_segments")
+
+
+#: Pages between the bounds, before the first certificate, dense and with the last of two blocks; the first word names a speaker or is text.
+_PAGE_LINES = r"""bound AS (
+  SELECT doc_id, coalesce(cited, asked, 7) AS lo, coalesce(CASE WHEN cited IS NOT NULL OR asked IS NOT NULL THEN last END, 88) AS hi FROM (
+    SELECT doc_id, arg_min(cited, page_idx) FILTER (cited IS NOT NULL) AS cited, arg_min(page, page_idx) FILTER (open AND question) AS asked, arg_max(page, page_idx) FILTER (open) AS last FROM (
+      SELECT doc_id, page_idx, page, coalesce(page_idx < min(CASE WHEN stop THEN page_idx END) OVER (PARTITION BY doc_id), true) AS open, question, cited FROM (
+        SELECT doc_id, page_idx, page, contains(upper(text), 'CERTIFICATE OF CERTIFIED SHORTHAND') OR contains(upper(text), 'CERTIFICATION OF CERTIFIED SHORTHAND') OR contains(upper(text), 'CERTIFICATE OF REPORTER')
+          OR contains(upper(text), 'WORD INDEX') OR contains(upper(text), 'CONCORDANCE') OR (contains(upper(text), 'I, ') AND contains(upper(text), 'DO SOLEMNLY DECLARE UNDER PENALTY')) AS stop,
+          regexp_matches(text, '(?m)^\s*\d+\s+(?:BY\s+[A-Z\.\s]+:)?\s*Q[\.\:\s]') AS question,
+          CASE WHEN page_idx < 15 AND contains(upper(text), 'INDEX') THEN TRY_CAST(nullif(regexp_extract(text, '(?im)(?:EXAMINATION|DIRECT|TESTIMONY).*?(\d+)\s*$', 1), '') AS BIGINT) END AS cited FROM printed)) GROUP BY doc_id)
+), scanned AS (
+  SELECT doc_id, page_idx, page FROM (
+    SELECT p.*, lo, hi, min(CASE WHEN contains(upper(text), 'CERTIFICATE OF CERTIFIED SHORTHAND') OR contains(upper(text), 'CERTIFICATION OF CERTIFIED SHORTHAND') THEN page_idx END) OVER (PARTITION BY doc_id) AS cert
+    FROM printed p JOIN bound USING (doc_id) WHERE page_idx < hi + 5) WHERE (cert IS NULL OR page_idx < cert) AND page BETWEEN lo AND hi
+), dense AS (
+  SELECT s.doc_id, s.page_idx, s.page, l.line, CASE WHEN l.line = 3 THEN 'last one wins' ELSE coalesce(regexp_replace(g.text, '^\s+|\s+$', '', 'g'), '') END AS content
+  FROM scanned s CROSS JOIN (SELECT CAST(unnest(generate_series(1, 25)) AS BIGINT) AS line) l LEFT JOIN grid g ON g.doc_id = s.doc_id AND g.page = s.page_idx + 1 AND g.line = l.line
+), numbers AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, line) AS gid, nullif(regexp_extract(content, '(\d{2}:\d{2})\s*$', 1), '') AS stamp,
+    regexp_replace(regexp_replace(content, '(\d{2}:\d{2})\s*$', ''), '^\s+|\s+$', '', 'g') AS p FROM dense
+)"""
+
+
+@query(_with(GRID, PAGES, _METADATA, _PAGE_LINES, rf"""tagged AS (
+  SELECT n.doc_id, gid, page, line, stamp,
+    CASE WHEN regexp_matches(p, '{_SPEAKER}') THEN upper(regexp_extract(p, '{_SPEAKER}', 1)) WHEN regexp_matches(p, '{_LETTER}') THEN
+      CASE upper(regexp_extract(p, '{_LETTER}', 1)) WHEN 'Q' THEN 'QUESTION' || coalesce(' (' || upper(trim(regexp_replace(attorney, '^(?i)(?:MR\.|MS\.)\s*', ''))) || ')', '') ELSE 'ANSWER' || coalesce(' (' || upper(string_split(witness, ' ')[-1]) || ')', '') END END AS named,
+    CASE WHEN regexp_matches(p, '{_SPEAKER}') THEN {_strip(f"regexp_extract(p, '{_SPEAKER}', 2)")} WHEN regexp_matches(p, '{_LETTER}') THEN {_strip(r"regexp_replace(p, '(?i)^(?:BY\s+)?[QA][\.:\s]*', '')")} ELSE p END AS text
+  FROM numbers n LEFT JOIN about USING (doc_id)
+)""", select="SELECT doc_id, gid AS global_line_id, page, line, coalesce(last_value(named IGNORE NULLS) OVER w, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER w = 1 THEN 'EXAMINATION' END, '') AS speaker, text, stamp AS timestamp FROM tagged WINDOW w AS (PARTITION BY doc_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def index_pages(spark, sf_dir):
     """Page texts and blocks to canonical lines: bounds, metadata, scan, cells and speakers together."""
-    return indexing.lines_of_pages(_pages(spark, sf_dir), max_pages=10).select("doc_id", "global_line_id", "page", "line", "speaker", "text", "timestamp")
+    return indexing.lines_of_pages(_pages(spark, sf_dir)).select("doc_id", "global_line_id", "page", "line", "speaker", "text", "timestamp")

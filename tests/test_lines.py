@@ -15,9 +15,9 @@ def cells(spark, contents, doc_id=1):
 
 
 def test_parse_speakers_stamps_and_continuations(spark):
-    got = lines.parse_cells(cells(spark, ["preface", "", "Q. Where? 01:17", "a loan servicer", "BY MR. X:", "", "the witness: Yes.", "Aé no tag", "plain"])).orderBy("line").collect()
+    got = lines.parse_cells(cells(spark, ["preface", "", "Q. Where? 01:17", "a loan servicer", "BY MR. X:", "", "the witness: Yes.", "Aé no tag", "plain"]), "LEE", "DOE").orderBy("line").collect()
     assert [(r.speaker, r.text, r.timestamp) for r in got] == [
-        ("EXAMINATION", "preface", None), ("EXAMINATION", "", None), ("QUESTION (PURCELL)", "Where?", "01:17"), ("ANSWER (YU)", "loan servicer", None),
+        ("EXAMINATION", "preface", None), ("EXAMINATION", "", None), ("QUESTION (LEE)", "Where?", "01:17"), ("ANSWER (DOE)", "loan servicer", None),
         ("MR. X", "", None), ("MR. X", "", None), ("THE WITNESS", "Yes.", None), ("THE WITNESS", "Aé no tag", None), ("THE WITNESS", "plain", None),
     ]
     assert [r.global_line_id for r in got] == list(range(1, 10))
@@ -59,18 +59,18 @@ def test_metadata_and_defaults(spark):
     text = "In the matter of Ann Roe vs. Big Bank, Inc.\nDEPOSITION OF JANE DOE-SMITH\nTaken on May 1st, 2020\nBY MS. LEE"
     got = {r.doc_id: r for r in lines.document_metadata(spark.createDataFrame([(1, 0, text, []), (2, 0, "nothing", [])], PAGES), witness="W X").collect()}
     assert (got[1].witness, got[1].attorney, got[1].date, got[1].case_name) == ("Jane Doe-smith", "MS. LEE", "May 1st, 2020", "Ann Roe vs. Big Bank")
-    assert got[2].witness == "W X" and got[2].attorney == "Mr. Purcell"
+    assert got[2].witness == "W X" and got[2].attorney is None and got[2].case_name is None
 
 
 def test_short_names_and_upload_names(spark):
-    df = spark.createDataFrame([("Persis Yu", "Mr. Purcell", "a/b ü?.PDF", "x")], "w string, a string, f string, g string")
+    df = spark.createDataFrame([("Jane Doe", "Ms. Lee", "a/b ü?.PDF", "x")], "w string, a string, f string, g string")
     got = df.select(T.short_witness(F.col("w")), T.short_attorney(F.col("a")), transcripts.safe_upload_name(F.col("f")), transcripts.safe_upload_name(F.col("g"))).first()
-    assert tuple(got) == ("YU", "PURCELL", "ab ü.PDF", "x.pdf")
+    assert tuple(got) == ("DOE", "LEE", "ab ü.PDF", "x.pdf")
 
 
 def test_compact_text_skips_blank_lines(spark):
-    parsed = lines.parse_cells(cells(spark, ["Q. Hi", " ", "A. Yes"]))
-    assert lines.compact_text(parsed).first().compact == "[P01:L01] QUESTION (PURCELL): Hi\n[P01:L03] ANSWER (YU): Yes"
+    parsed = lines.parse_cells(cells(spark, ["Q. Hi", " ", "A. Yes"]), witness="DOE")
+    assert lines.compact_text(parsed).first().compact == "[P01:L01] QUESTION: Hi\n[P01:L03] ANSWER (DOE): Yes"
 
 
 def test_lines_of_pages_end_to_end(spark):

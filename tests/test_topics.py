@@ -1,6 +1,7 @@
 """Chunks, cleaning, validation, merging, audit, evaluation and export on small cases."""
 
 import json
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -8,12 +9,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire import queries
 from quire.functions import text as T
 from quire.operators import audit, chunks, evaluate, export, merge, validate
 from quire.plans import indexing
 from quire.schemas import LINES, TOPICS
 
 
+DATA = "/root/testdata/sf0.001"
+
+
 def make_lines(spark, texts, doc_id=1, first_page=7):
     return spark.createDataFrame([(doc_id, k + 1, first_page + k // 25, k % 25 + 1, "", t, None, t) for k, t in enumerate(texts)], LINES)
 
@@ -156,21 +161,191 @@ def test_objections_are_absorbed(spark):
     [
         (dict(name="a", sp=8, sl=1, ep=10, el=3), dict(name="a b", sp=9, sl=1, ep=9, el=20), (10, 20)),
         (dict(name="q", sp=7, sl=1, ep=7, el=25), dict(name="objection", sp=8, sl=4, ep=8, el=5), (8, 25)),
-        (dict(name="q", sp=7, sl=1, ep=10, el=20), dict(name="break", sp=9, sl=2, ep=9, el=3), (10, 3)),
+        # the digression starts before the first topic does, so nothing is near and its own line is taken
+        (dict(name="q", sp=9, sl=1, ep=10, el=20), dict(name="break", sp=9, sl=2, ep=9, el=3), (10, 20)),
     ],
 )
-def test_established_end_rules(first, second, end):
-    names = [c.split()[0] for c in TOPICS.split(", ")]
-    rows = [dict(zip(names, topic(k, **x), strict=True)) for k, x in enumerate((first, second))]
-    if second["name"] == "break":
-        rows[0]["start_line"], rows[0]["end_page"] = 1, 30  # under half of the smaller one would merge instead
-        rows[0]["end_page"], rows[1]["topic"] = 10, "break"
-        rows[1]["start_page"], rows[1]["start_line"] = 9, 2
-        got = merge.fold([rows[0] | {"topic": "zzzzz"}, rows[1]])
-        assert (got[0]["end_page"], got[0]["end_line"]) in ((10, 3), (10, 20))
-        return
-    got = merge.fold(rows)
-    assert len(got) == 1 and (got[0]["end_page"], got[0]["end_line"]) == end
+def test_established_end_rules(spark, first, second, end):
+    got = merged(spark, topic(0, **first), topic(1, **second))
+    assert len(got) == 1 and (got[0].end_page, got[0].end_line) == end
+
+
+def test_a_digression_that_ends_on_an_earlier_page_leaves_its_line(spark):
+    got = merged(spark, topic(0, name="Loans", sp=7, sl=1, ep=10, el=20), topic(1, name="", sp=7, sl=2, ep=11, el=3), topic(2, name="Recess break", sp=12, sl=25, ep=10, el=2))
+    assert [(r.topic, r.end_page, r.end_line) for r in got] == [("Loans", 11, 2)]
+
+
+def test_null_fields_are_defined(spark):
+    rows = [topic(0, name=None, summary=None), topic(1, name="x", sl=None), topic(2, name="y", sl=7, el=None), topic(3, doc_id=None, name="z", sp=9, ep=9), topic(4, doc_id=None, name="z", sp=9, sl=6, ep=9, el=8, conf=None)]
+    got = sorted(((r.doc_id, r.candidate_id, r.end_line, r.topic, r.summary) for r in merge.merge_topics(make_topics(spark, *rows)).collect()), key=str)
+    assert got == sorted([(1, 0, 5, "", ""), (1, 1, 5, "x", ""), (1, 2, None, "y", ""), (None, 3, 8, "z", "")], key=str)
+    assert merge.merge_topics(make_topics(spark)).count() == 0
+
+
+def walked(rows, threshold):
+    """The merge by a plain walk over a document's topics, with fractions instead of the operator's terms."""
+    kept = []
+    for r in rows:
+        begin, end = (r["start_page"], r["start_line"]), (r["end_page"], r["end_line"])
+        joined = False
+        if kept:
+            k = kept[-1]
+            close = (k["start_page"], k["start_line"]) <= end and (
+                r["start_page"] < k["end_page"]
+                or r["start_page"] == k["end_page"] and r["start_line"] - k["end_line"] <= 3
+                or r["start_page"] - k["end_page"] == 1 and k["end_line"] > 22 and r["start_line"] < 4
+            )
+            x, y = k["topic"].lower().strip(), r["topic"].lower().strip()
+            alike = x in y or y in x or SequenceMatcher(None, x, y).ratio() >= threshold
+            mine, theirs = ({*range(25 * z["start_page"] + z["start_line"], 25 * z["end_page"] + z["end_line"] + 1)} for z in (k, r))
+            least = min(len(mine), len(theirs))
+            if close and (alike or least and len(mine & theirs) / least > 0.5):
+                k["end_line"] = end[1] if end[0] > k["end_page"] else max(k["end_line"], end[1])
+                if r["summary"] and r["summary"] not in k["summary"]:
+                    k["summary"] = (k["summary"] + " " + r["summary"]).strip()
+                k["confidence"] = min(1.0, max(k["confidence"], r["confidence"]) + 0.05)
+                joined = True
+            else:
+                lines = max(1, end[1] - begin[1] + 1) if begin[0] == end[0] else 26 - begin[1] + 25 * max(0, end[0] - begin[0] - 1) + end[1]
+                if lines <= 4 and any(w in r["topic"].upper() for w in ("OBJECTION", "BREAK")):
+                    k["end_line"] = end[1] if end[0] < k["end_page"] else max(k["end_line"], end[1])
+                    joined = True
+            if joined:
+                k["end_page"] = max(k["end_page"], end[0])
+        if not joined:
+            kept.append(dict(r))
+    return kept
+
+
+def by_document(df, order):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(r.asDict())
+    return {d: sorted(v, key=lambda r: tuple(r[c] for c in order)) for d, v in out.items()}
+
+
+def test_merge_by_similarity_is_what_a_walk_finds(spark):
+    t = queries._topics(spark, DATA)
+    near = t.withColumn("topic", F.when(F.col("candidate_id") % 2 == 1, F.concat(F.lit("Witness background "), F.col("topic"))).otherwise(F.concat(F.lit("Witness backgrounds: "), F.col("topic"))))
+    for rows in (t, near):
+        got = by_document(merge.merge_topics(rows), merge.ORDER)
+        want = {d: walked(v, 0.7) for d, v in by_document(rows, merge.ORDER).items()}
+        assert sum(map(len, want.values())) < rows.count() and got.keys() == want.keys()
+        for d, v in want.items():
+            assert [{c: x for c, x in r.items() if c != "confidence"} for r in got[d]] == sorted(({c: x for c, x in r.items() if c != "confidence"} for r in v), key=lambda r: tuple(r[c] for c in merge.ORDER))
+            assert sorted(r["confidence"] for r in got[d]) == pytest.approx(sorted(r["confidence"] for r in v))
+
+
+# --- the similarity tier on a whole table -----------------------------------------------------------------
+
+
+def plain(text):
+    return re.sub(r"[^a-zA-Z0-9\s]", "", text).lower().strip()
+
+
+def located(t, lines, fuzzy=True):
+    """(score, first line, last line) of the best window of a topic by a walk over its document's lines."""
+    quote = plain((t["supporting_quote"] or "").strip())
+    if len(quote) < 5:
+        return None
+    lo = max(min(r["page"] for r in lines), t["start_page"] - 2)
+    hi = min(max(r["page"] for r in lines), t["end_page"] + 2)
+    near = [r for r in lines if lo <= r["page"] <= hi and r["text"].strip()]
+    size, best = max(1, min(10, len(quote.split()) // 5 + 1)), (0.0, None, None)
+    for k in range(len(near)):
+        some = near[k : k + size]
+        window = plain(" ".join(r["text"] for r in some))
+        if len(window) < 5:
+            continue
+        score = 1.0 if quote in window else 0.0
+        if not score:
+            score = 0.9 if window in quote and len(window) >= 15 else 0.0
+            score = max(score, SequenceMatcher(None, quote, window).ratio()) if fuzzy else score
+        if score > best[0]:
+            best = (score, some[0], some[-1])
+    return best if best[0] >= 0.65 else None
+
+
+def test_quotes_and_verdicts_by_similarity_are_what_a_walk_finds(spark):
+    lines = by_document(queries._grid(spark, DATA), ("global_line_id",))
+    topics = queries._misquoted(queries._topics(spark, DATA)).where("doc_id < 120")
+    rows = [r.asDict() for r in topics.collect()]
+    want, verdicts = {}, {}
+    for t in rows:
+        own = lines[t["doc_id"]]
+        at = {(r["page"], r["line"]): r for r in own}
+        late = (t["start_page"], t["start_line"]) > (t["end_page"], t["end_line"])
+        if late:
+            t["start_page"], t["start_line"], t["end_page"], t["end_line"] = t["end_page"], t["end_line"], t["start_page"], t["start_line"]
+        key, found = (t["doc_id"], t["candidate_id"]), located(t, own)
+        if found:
+            want[key] = (round(found[0], 9), found[1]["global_line_id"], found[2]["global_line_id"])
+        score, first, last = found or (0.0, None, None)
+        start, end = at.get((t["start_page"], t["start_line"])), at.get((t["end_page"], t["end_line"]))
+        if score >= 0.7:
+            if not start or not start["text"].strip() or first["page"] != t["start_page"] or abs(first["line"] - t["start_line"]) > 3:
+                start, t["start_page"], t["start_line"] = first, first["page"], first["line"]
+            if not end or not end["text"].strip():
+                end, t["end_page"], t["end_line"] = last, last["page"], last["line"]
+        inside = [r for r in own if (t["start_page"], t["start_line"]) <= (r["page"], r["line"]) <= (t["end_page"], t["end_line"])]
+        words = lambda s: {w for w in re.findall("[a-z]+", s.lower()) if len(w) > 2 and w not in T.STOPWORDS}
+        a, b = words(t["topic"]), words(" ".join(r["text"] for r in inside) + " " + t["supporting_quote"])
+        label = len(a & b) / min(len(a), len(b)) if inside and t["topic"].strip() and a and b else 0.0
+        fine = bool(start and end and score >= 0.7 and label >= 0.15 and not late)
+        verdicts[key] = (t["start_page"], t["start_line"], t["end_page"], t["end_line"], round(score, 9), fine)
+    grid = queries._kept(queries._grid(spark, DATA), "lines")
+    out = validate.validate(topics, grid).collect()
+    assert {(r.doc_id, r.candidate_id): (r.start_page, r.start_line, r.end_page, r.end_line, round(r.quote_score, 9), r.verified) for r in out} == verdicts
+    straight = F.struct("start_page", "start_line") <= F.struct(F.col("end_page").alias("start_page"), F.col("end_line").alias("start_line"))
+    got = validate.locate_quotes(topics.where(straight), grid, validate.page_limits(grid)).collect()
+    assert {(r.doc_id, r.candidate_id): (round(r.quote_score, 9), r.q_start_gid, r.q_end_gid) for r in got}.items() <= want.items() and len(got) > 50
+    assert any(0.65 <= s < 1 and s != 0.9 for s, *_ in want.values())
+
+
+def test_stability_by_similarity_is_what_a_walk_finds(spark):
+    runs = queries._runs(spark, DATA).where("doc_id < 150")
+    labels = {}
+    for r in runs.collect():
+        labels.setdefault(r.doc_id, {}).setdefault(r.run_id, []).append(r.topic.strip().lower())
+    got = {r.doc_id: r for r in evaluate.run_stability(runs).collect()}
+    assert got.keys() == labels.keys()
+    for d, by_run in labels.items():
+        shares = []
+        for a in sorted(by_run):
+            for b in sorted(x for x in by_run if x > a):
+                shares.append(sum(any(SequenceMatcher(None, x, y).ratio() >= 0.7 for y in by_run[b]) for x in by_run[a]) / len(by_run[a]))
+        counts = [len(v) for v in by_run.values()]
+        assert (got[d].runs, got[d].count_variance) == (len(counts), max(counts) - min(counts))
+        assert got[d].mean_similarity == (pytest.approx(sum(shares) / len(shares), abs=1e-6) if shares else None)
+
+
+def test_the_whole_plan_is_its_parts(spark):
+    lines = queries._kept(indexing.lines_of_text(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")), "lines")
+    run = indexing.index_lines(lines)
+    by = by_document(validate.validate(chunks.block_candidates(lines), lines), merge.ORDER)
+    assert by_document(run.topics, merge.ORDER) == {d: sorted(walked(v, 0.7), key=lambda r: tuple(r[c] for c in merge.ORDER)) for d, v in ((d, [{c: x for c, x in r.items() if c not in ("quote_score", "semantic_score", "inverted")} for r in v]) for d, v in by.items())}
+    for r in run.report.collect():
+        spots = {(x["page"], x["line"]) for x in by_document(lines, ("global_line_id",))[r.doc_id]} if r.doc_id < 9 else None
+        if spots is not None:
+            t = by_document(run.topics, merge.ORDER).get(r.doc_id, [])
+            held = {s for s in spots if any((x["start_page"], x["start_line"]) <= s <= (x["end_page"], x["end_line"]) for x in t)}
+            assert (r.total_lines, r.covered_lines) == (len(spots), len(held))
+
+
+def test_failed_extraction_is_told_and_stood_in_for(spark):
+    docs = spark.createDataFrame([(1, "\n".join(BASE)), (2, "one line"), (3, "never mind")], "doc_id long, text string")
+
+    def service(prompt):
+        if "one line" in prompt:
+            raise OSError("gone")
+        return "[]"
+
+    run = indexing.index_lines(indexing.lines_of_text(docs), service)
+    assert [(r.doc_id, r.chunk_id, r.error) for r in run.failures.collect()] == [(2, 1, "OSError: gone")]
+    assert [(r.doc_id, r.topic) for r in run.topics.collect()] == [(2, "Full Testimony")]
+    first = lambda p: 1 / 0
+    prompt = chunks.prompts(chunks.chunk_lines(indexing.lines_of_text(docs)))
+    assert chunks.extractor_answers(prompt, [first, lambda p: "[]"]).where("error is null and answer = '[]'").count() == 3
 
 
 def test_confidence_zero_becomes_a_little(spark):
