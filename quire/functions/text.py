@@ -148,8 +148,7 @@ def word_count(c: Column) -> Column:
 
 def keywords(c: Column) -> Column:
     """Runs of a-z of the lower-cased text, longer than two letters and no stop words, in order."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
 
 
 def keyword_overlap(a: Column, b: Column) -> Column:

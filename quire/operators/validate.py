@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 WINDOW_LINES = 10
+SHORTEST = 5
+FEW = 200
 BAND = 2
 QUOTE_LEAST, QUOTE_TRUSTED, LABEL_TRUSTED = 0.65, 0.70, 0.15
 
@@ -52,7 +54,7 @@ def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy:
     asks for. Topics meet lines by page, which is an equi-join; the pair joins these texts, and similarity is computed only
     where the lengths allow 0.65 and the quote isn't held.
     """
-    wanted = topics.select("doc_id", "candidate_id", "start_page", "end_page", T.normalized(T.stripped(F.col("supporting_quote"))).alias("quote")).where(F.length("quote") >= 5)
+    wanted = topics.select("doc_id", "candidate_id", "start_page", "end_page", T.normalized(T.stripped(F.col("supporting_quote"))).alias("quote")).where(F.length("quote") >= SHORTEST)
     wanted = wanted.join(limits, "doc_id").select(
         "doc_id",
         "candidate_id",
@@ -73,7 +75,7 @@ def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy:
     def judged(window: Column) -> Column:
         sure = F.when(window.contains(quote), F.lit(1.0)).when(quote.contains(window) & (F.length(window) >= 15), F.lit(0.9)).otherwise(F.lit(0.0))
         unsure = (T.ratio_bound(quote, window) >= QUOTE_LEAST) & ~window.contains(quote) if fuzzy else F.lit(False)
-        return F.when(F.length(window) >= 5, F.struct(sure.alias("sure"), F.when(unsure, window).alias("compared")))
+        return F.when(F.length(window) >= SHORTEST, F.struct(sure.alias("sure"), F.when(unsure, window).alias("compared")))
 
     def spoken(w: Column) -> Column:
         place = lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["global_line_id"].alias("global_line_id"))
@@ -111,6 +113,31 @@ def range_text(topics: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "candidate_id", "n_lines", F.array_join(F.transform("r", lambda r: r["text"]), " ").alias("text"))
 
 
+def containing(texts: DataFrame, items: DataFrame, few: int = FEW) -> DataFrame:
+    """(doc_id, item_id) of texts (doc_id, n) that hold an item (item_id, q), both normalised; items have ``SHORTEST`` characters or more.
+
+    They meet on the item's longest inner word, as that is whole in the text, too. Items without inner words are looked for in each
+    text as it is read if there are at most ``few`` of them, and meet on their first characters otherwise. Counting them is a Spark job.
+    """
+    words = F.split("q", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+    items = items.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keys = texts.select("doc_id", F.explode(F.array_distinct(F.split("n", r"\s+"))).alias("word"))
+    met = keys.join(items.where("word is not null").select("item_id", "word"), "word").select("doc_id", "item_id")
+    short = items.where("word is null").select("item_id", "q")
+    some = short.limit(few + 1).collect()
+    found = None
+    if 0 < len(some) <= few:
+        wanted = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["q"]).alias("q")) for r in some))
+        found = texts.select("doc_id", F.explode(F.filter(wanted, lambda w: F.col("n").contains(w["q"]))).alias("w")).select("doc_id", "w.item_id")
+    elif some:
+        starts = F.sequence(F.lit(1), F.length("n") - SHORTEST + 1)
+        grams = texts.where(F.length("n") >= SHORTEST).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substr("n", k, F.lit(SHORTEST))))).alias("gram"))
+        met = met.union(grams.join(short.select("item_id", F.substring("q", 1, SHORTEST).alias("gram")), "gram").select("doc_id", "item_id"))
+    sure = met.join(texts, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.col("n").contains(F.col("q"))).select("doc_id", "item_id")
+    return sure.union(found) if found is not None else sure
+
+
 def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``topics`` with snapped coordinates, line ids and verdict, and with ``quote_score``, ``semantic_score`` and ``inverted``.
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import audit, chunks, lines, merge, validate
 from quire.sources import transcripts
 from quire.storage import Scratch
@@ -30,8 +32,6 @@ class Indexed:
 def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: int | None = None, max_pages: int | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """Canonical lines of page texts and blocks; the range of pages is looked for in each document unless given."""
     about = metadata if metadata is not None else lines.document_metadata(pages)
-    from quire.functions import text as T
-
     names = about.select("doc_id", F.nullif(T.short_witness(F.col("witness")), F.lit("")).alias("witness"), F.nullif(T.short_attorney(F.col("attorney")), F.lit("")).alias("attorney"))
     bounds = lines.testimony_bounds(pages)
     bounds = bounds.select("doc_id", (F.lit(start_page) if start_page is not None else F.col("start_page")).alias("lo"), (F.lit(end_page) if end_page is not None else F.col("end_page")).alias("hi"))
@@ -85,7 +85,10 @@ def index_pages(pages: DataFrame, extractor: Callable[[str], str] | None = None,
 
 
 def structural_topic(canonical: DataFrame, name: str = "Full Testimony") -> DataFrame:
-    """One verified topic over all lines of each document: what stands in when a run has failed."""
-    g = F.col("global_line_id")
-    ends = canonical.groupBy("doc_id").agg(*(f(c, g).alias(f"{w}_{c}") for w, f in (("start", F.min_by), ("end", F.max_by)) for c in ("page", "line")), F.min(g).alias("start_global_id"), F.max(g).alias("end_global_id"))
-    return ends.select("doc_id", F.lit(0).cast("long").alias("candidate_id"), F.lit(name).alias("topic"), "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", F.lit("").alias("summary"), F.lit("").alias("supporting_quote"), F.lit(1.0).alias("confidence"), F.lit(True).alias("verified"), F.lit(False).alias("needs_human_review"))
+    """One verified topic from each document's first line with text to its last one (or over blank lines, if it has no others), quoting
+    the first: what stands in when a run has failed."""
+    said = F.when(T.not_blank(F.col("text")), F.col("global_line_id"))
+    some = canonical.withColumn("g", F.coalesce(said, F.when(F.max(said).over(W.partitionBy("doc_id")).isNull(), F.col("global_line_id"))))
+    g = F.col("g")
+    ends = some.groupBy("doc_id").agg(*(f(c, g).alias(f"{w}_{c}") for w, f in (("start", F.min_by), ("end", F.max_by)) for c in ("page", "line")), F.min(g).alias("start_global_id"), F.max(g).alias("end_global_id"), F.min_by("text", g).alias("supporting_quote"))
+    return ends.select("doc_id", F.lit(0).cast("long").alias("candidate_id"), F.lit(name).alias("topic"), "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", F.lit("").alias("summary"), "supporting_quote", F.lit(1.0).alias("confidence"), F.lit(True).alias("verified"), F.lit(False).alias("needs_human_review"))

@@ -380,19 +380,10 @@ def topic_search(spark, sf_dir):
 
 @query(_with("d AS (SELECT doc_id, " + _norm("text") + " AS n FROM documents)", "b AS (SELECT item_id, " + _norm("text") + " AS q FROM benchmark)", select="SELECT doc_id, item_id FROM d JOIN b ON contains(n, q) WHERE length(q) >= 5"))
 def quoted_items(spark, sf_dir):
-    """Which documents hold which benchmark item, word for word: they meet on the item's longest inner word, as that is whole in
-    the document too; items without inner words are few and looked for in all texts."""
+    """Which documents hold which benchmark item, word for word."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("n"))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", T.normalized(F.col("text")).alias("q")).where(F.length("q") >= 5)
-    words = F.split("q", r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = items.withColumn("word", longest)
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.split("n", r"\s+"))).alias("word"))
-    met = keys.join(items.where("word is not null").select("item_id", "word"), "word").select("doc_id", "item_id")
-    found = met.join(docs, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.col("n").contains(F.col("q"))).select("doc_id", "item_id")
-    few = docs.join(items.where("word is null").select("item_id", "q"), F.col("n").contains(F.col("q"))).select("doc_id", "item_id")
-    return found.union(few)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", T.normalized(F.col("text")).alias("q")).where(F.length("q") >= validate.SHORTEST)
+    return validate.containing(docs, items)
 
 
 # --- validation -----------------------------------------------------------------------------------------

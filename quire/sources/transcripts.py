@@ -37,8 +37,11 @@ def pdf_pages(files: DataFrame, extract) -> DataFrame:
 
 
 def grid_of_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, global_line_id, page, line, text): a text's lines on pages of 25, in order; null texts have none."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
+    """(doc_id, global_line_id, page, line, text): a text's lines on pages of 25, in order; null texts and ids have none.
+
+    An id has to be unique, as coordinates are within it; ``unique_documents`` makes it so.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
     return rows.select(
         "doc_id",
         (F.col("pos") + 1).cast("long").alias("global_line_id"),
@@ -48,10 +51,20 @@ def grid_of_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with an id, one for each: of several, one with the smallest text (nulls last)."""
+    order = W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    return docs.where(F.col(id_col).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def grid_of_turns(turns: DataFrame) -> DataFrame:
-    """(doc_id, global_line_id, page, line, new_speaker, text): turns' lines, the role on the first of each turn."""
-    rows = turns.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    gid = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "pos"))
+    """(doc_id, global_line_id, page, line, new_speaker, text): turns' lines, the role on the first of each turn.
+
+    Turns without a conversation have none; turns of one number follow each other by role and text.
+    """
+    turns = turns.where(F.col("conv_id").isNotNull())
+    rows = turns.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("whole", F.xxhash64("text")).select("whole", "conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    gid = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "whole", "pos"))
     rows = rows.withColumn("gid", gid)
     return rows.select(
         F.col("conv_id").alias("doc_id"),
@@ -115,6 +128,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "title", "witness", "date", "case_name", F.col("at").cast("long").alias("candidate_id"), "t.*")
 
 
+def read_viewer(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, witness, date, caseName, topics, lines) of viewer scripts: an assignment of one JSON object each."""
+    topic = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in TOPICS.split(", ")[2:])
+    line = "global_id: long, page: int, line: int, speaker: string, text: string, timestamp: string"
+    schema = f"title string, witness string, date string, caseName string, topics array<struct<{topic}>>, lines array<struct<{line}>>"
+    body = F.regexp_replace(F.regexp_replace("value", r"^\s*window\.[A-Za-z_]+\s*=\s*", ""), r";\s*$", "")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json(body, schema).alias("v")).select("path", "v.*")
+
+
 def safe_upload_name(name: Column) -> Column:
     """Letters, digits, and "._- " of a name, with ".pdf" at the end."""
     kept = F.regexp_replace(name, r"[^\p{L}\p{N}._\- ]", "")

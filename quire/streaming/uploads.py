@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.plans.indexing import Indexed, index_lines, lines_of_text
+from quire.plans.indexing import Indexed, index_lines, index_pages, lines_of_text
+from quire.sources.transcripts import pdf_pages, safe_upload_name
+
+QUICK_PAGES = 10
 
 
 def read_uploads(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -25,3 +28,30 @@ def index_uploads(uploads: DataFrame, checkpoint: str, write: Callable[[Indexed,
         write(index_lines(lines_of_text(batch), **options), number)
 
     return uploads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_binary_uploads(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Files of any kind as they arrive: path, modificationTime, length and content."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.schema(schema).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
+
+
+def page_limit(mode: str = "quick", max_pages: int | None = None) -> int | None:
+    """How many pages an upload is read for: all if ``full``, else the given number, and ten if ``quick`` has none."""
+    if mode == "full":
+        return None
+    if max_pages and max_pages > 0:
+        return max_pages
+    return QUICK_PAGES if mode == "quick" else None
+
+
+def index_binary_uploads(uploads: DataFrame, extract: Callable, checkpoint: str, write: Callable[[Indexed, DataFrame, int], None], mode: str = "quick", max_pages: int | None = None, **options) -> StreamingQuery:
+    """Indexes uploaded files, read by ``extract`` (see ``pdf_pages``), batch by batch; ``write`` gets a batch's tables, its names
+    (doc_id, path, filename) and its number, and may see a batch again after a failure. A file's id is its path's hash."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        names = batch.select(F.xxhash64("path").alias("doc_id"), "path", safe_upload_name(F.regexp_extract("path", "[^/]*$", 0)).alias("filename"))
+        pages = pdf_pages(batch, extract).withColumn("doc_id", F.xxhash64("path")).drop("path")
+        write(index_pages(pages, max_pages=page_limit(mode, max_pages), **options), names, number)
+
+    return uploads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

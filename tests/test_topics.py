@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.operators import audit, chunks, evaluate, export, merge, validate
 from quire.plans import indexing
 from quire.schemas import LINES, TOPICS
+from quire.sources import transcripts
 
 
 DATA = "/root/testdata/sf0.001"
@@ -453,3 +454,47 @@ def test_upload_stream(spark, tmp_path):
     q = uploads.index_uploads(uploads.read_uploads(spark, str(tmp_path / "in")), str(tmp_path / "ck"), lambda tables, n: seen.extend(tables.report.collect()))
     q.awaitTermination()
     assert sorted(r.total_lines for r in seen) == [1, 50]
+
+
+def test_binary_uploads(spark, tmp_path):
+    from quire.streaming import uploads
+
+    assert [uploads.page_limit(*x) for x in (("full", 3), ("quick",), ("quick", 4), ("other",), ("quick", 0))] == [None, 10, 4, None, 10]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a b.bin").write_bytes("|".join(f"1 Q. Name?\nPage {k + 2}" for k in range(14)).encode())
+    seen = []
+    read = lambda b: [(p, ["1\nQ. Name?", "2\nA. Ann"]) for p in b.decode().split("|")]
+
+    def write(tables, names, number):
+        seen.extend((r.total_lines, n.filename) for r in tables.report.collect() for n in names.collect())
+
+    for mode in ("quick", "full"):
+        uploads.index_binary_uploads(uploads.read_binary_uploads(spark, str(tmp_path / "in")), read, str(tmp_path / mode), write, mode).awaitTermination()
+    assert seen == [(250, "a b.bin.pdf"), (350, "a b.bin.pdf")]
+
+
+def test_containing_items_by_either_way(spark):
+    texts = ["alpha beta gamma delta", "xalpha betay", "alph", "one two three four alpha beta", "", "beta gammas"]
+    items = ["alpha beta", "alpha", "beta gamma delta", "two three four", "gamma"]
+    docs, wanted = spark.createDataFrame(list(enumerate(texts)), "doc_id long, n string"), spark.createDataFrame(list(enumerate(items)), "item_id long, q string")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, q in enumerate(items) if q in t)
+    for few in (200, 1):
+        assert sorted(tuple(r) for r in validate.containing(docs, wanted, few).collect()) == want
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a\nc"), (None, "x"), (2, None), (2, None)], "doc_id long, text string")
+    got = transcripts.unique_documents(docs)
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, "a\nc"), (2, "")]
+    assert [(r.doc_id, r.text) for r in transcripts.grid_of_text(got).orderBy("global_line_id").collect()] == [(1, "a"), (1, "c")]
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (None, 0, "user", "x"), (1, None, "user", None)], "conv_id long, turn long, role string, text string")
+    assert transcripts.grid_of_turns(turns).count() == 3
+
+
+def test_viewer_scripts_are_read_again(spark, tmp_path):
+    lines = make_lines(spark, BASE[:3])
+    t = make_topics(spark, topic(0, name="A", quote='x "y"; z'))
+    index = export.topic_index(t, lines, audit.omission_report(lines, t))
+    export.write_viewer(export.viewer_bundle(index, lines), 1, str(tmp_path / "v.js"))
+    r = transcripts.read_viewer(spark, str(tmp_path / "v.js")).first()
+    assert (r.title, [x.topic for x in r.topics], r.topics[0].supporting_quote, [x.text for x in r.lines]) == ("Deposition of unknown", ["A"], 'x "y"; z', BASE[:3])
