@@ -34,14 +34,17 @@ VECTORS = "vec_id long, label long, dim int, same binary, x binary"
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as doubles in binary; ``same`` is null where a vector can't link."""
     for batch in batches:
-        same, x, dim = [], [], []
-        for usable, item in zip(pc.is_valid(batch.column(1)).to_pylist(), batch.column(2), strict=True):
-            v = np.array([np.nan if y is None else y for y in item.as_py()] if item.values is not None and item.values.null_count else item.values, float) if usable and item.is_valid else np.zeros(0)
-            good = len(v) > 0 and np.isfinite(v).all() and v.any()
-            v = v + 0.0  # no negative zeros
-            same.append(blake2b(v.tobytes(), digest_size=16).digest() if good else None)
-            x.append(v.tobytes() if good else None)
-            dim.append(len(v))
+        lists = pc.if_else(pc.is_valid(batch.column(1)), batch.column(2), None)
+        dim = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = pc.fill_null(pc.list_flatten(lists), np.nan).to_numpy() + 0.0  # no negative zeros
+        start = np.cumsum(dim) - dim
+        some = np.flatnonzero(dim)
+        good = np.zeros(len(dim), bool)
+        if len(some):
+            good[some] = np.logical_and.reduceat(np.isfinite(flat), start[some]) & np.logical_or.reduceat(flat != 0, start[some])
+        raw = flat.tobytes()
+        x = [raw[8 * a : 8 * (a + n)] if ok else None for a, n, ok in zip(start.tolist(), dim.tolist(), good.tolist(), strict=True)]
+        same = [blake2b(v, digest_size=16).digest() if v is not None else None for v in x]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dim, pa.int32()), pa.array(same, pa.binary()), pa.array(x, pa.binary())], ["vec_id", "label", "dim", "same", "x"])
 
 
@@ -84,14 +87,18 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers the tiles of a partition sorted by (label, dim, lead)."""
     last, seen, tile = None, 0, -1
     for batch in batches:
-        out = np.empty(batch.num_rows, np.int64)
+        if not batch.num_rows:
+            continue
         label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-        for i, group in enumerate(zip(label, dim, strict=True)):
-            if group != last or seen == TILE:
-                last, seen, tile = group, 0, tile + 1
-            seen += 1
-            out[i] = tile
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "tile"])
+        new = np.ones(batch.num_rows, bool)
+        new[0] = (label[0], dim[0]) != last
+        new[1:] = (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])
+        row = np.arange(batch.num_rows)
+        begun = np.maximum.accumulate(np.where(new, row, -seen))  # where each row's group began, before the batch if it goes on
+        place = row - begun
+        out = tile + np.cumsum(place % TILE == 0)
+        last, seen, tile = (label[-1], dim[-1]), int(place[-1]) + 1, int(out[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.astype(np.int64))], [*batch.schema.names, "tile"])
 
 
 def linked_blocks(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cosine in double precision is ``threshold`` or more. Null or zero vectors, and those with null
     or non-finite components, link with nothing. Rows with equal ids count as vectors of their
     own. component_id is the smallest id that links reach, the row's own included; a null id has
-    a null component and is not kept. Other columns are not looked at.
+    a null component and is not kept. Other columns are not looked at. Spark jobs run when this is called.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embed")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,22 @@ def test_vectors_link_as_in_all_pairs(spark, monkeypatch):
     assert got[None].component_id is None and not got[None].kept
 
 
+def test_tiles_are_numbered_over_batches(monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 4)
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(4), rng.choice([2, 3])) for _ in range(90))
+    cuts = [0, 1, 5, 5, 30, 31, 70, 90]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a:b]], pa.int64()), pa.array([r[1] for r in rows[a:b]], pa.int32())], ["label", "dim"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    got = [x for b in embed_dedup._tiles(iter(batches)) for x in b.column("tile").to_pylist()]
+    want, last, seen, tile = [], None, 0, -1
+    for r in rows:
+        if r != last or seen == 4:
+            last, seen, tile = r, 0, tile + 1
+        seen += 1
+        want.append(tile)
+    assert got == want
+
+
 def test_suffix_bounds_lose_no_pair():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(700, 24)), rng.normal(size=(30, 24))
