@@ -64,10 +64,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With n_kept and text: the number of bytes left, and these as text (U+FFFD for characters that are cut)."""
     cut = suffix_dedup.remove_repeats(_docs(spark, sf_dir), length=400)
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("repeat_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -1,5 +1,7 @@
 """The pipeline stage by stage, and the queries of the subpackage."""
 
+import collections
+import hashlib
 import itertools
 
 import duckdb
@@ -105,6 +107,24 @@ def test_queries(spark, name):
         assert sorted(got) == sorted(c.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
 
 
+def test_repeats_of_a_whole_table_are_those_of_all_windows(spark):
+    """Each passage of 400 bytes or more that another place has goes, and nothing else."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    seen = collections.Counter(hash(b[p : p + 400]) for b in texts.values() for p in range(len(b) - 399))
+    cut = 0
+    for r in QUERIES["op5_suffix_array_dedup"](spark, DATA).collect():
+        b = texts[r.doc_id]
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 399):
+            if seen[hash(b[p : p + 400])] > 1:
+                gone[p : p + 400] = True
+        left = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        assert (r.n_bytes, r.n_removed, r.n_kept, r.n_spans) == (len(b), len(b) - len(left), len(left), int((gone[1:] < gone[:-1]).sum()))
+        assert r.kept_sha256 == hashlib.sha256(left).hexdigest() and r.text == left.decode("utf-8", "replace")
+        cut += gone.any()
+    assert cut > 20
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.select(F.sum("length")).first()[0] > 0
