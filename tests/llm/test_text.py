@@ -344,6 +344,44 @@ def test_languages(spark):
     assert langid.identify(frame(spark, ["a"]), langid.fit_languages(empty)).first().lang_pred == "und"
 
 
+def test_languages_are_decoded_as_by_hand(spark):
+    """Each text's n-grams, margins and losses in plain loops, for the registered query's model and its whole table."""
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit_languages(data)
+
+    def number(gram):
+        low = [48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in gram]
+        h = (low[0] * 257 + low[1]) if len(low) == 2 else ((low[0] * 257 + low[1]) * 65599 + low[2] + 77) % 2**32
+        return (h * 2654435761 % 2**32) >> 19
+
+    for r in langid.identify(data, model).collect():
+        raw = (r.text or "").encode()
+        if len(raw) < 3:
+            continue
+        grams = [raw[k : k + n] for n in (2, 3) for k in range(len(raw) - n + 1)]
+        margins = model.bias.copy()
+        for g in grams:
+            margins += model.weights[number(g)] / len(grams)
+        losses = [sum(np.log1p(np.exp(-m * b)) for m, b in zip(margins, word, strict=True)) for word in model.code]
+        shares = np.exp(-np.array(losses))
+        best = int(np.argmin(losses))
+        assert r.lang_pred == (model.langs[best] if any(c.isalpha() for c in r.text) else "und")
+        assert r.lang_pred == "und" or r.score == pytest.approx(shares[best] / shares.sum(), rel=1e-4)
+
+
+def test_quality_scores_are_sums_of_looked_up_values(spark):
+    data, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit_quality(data, labels)
+    assert model.pairs and all(np.ptp(t) > 0 for t in model.pairs.values())
+    for r in quality.score_quality(data.where("doc_id % 7 = 1"), model).collect():
+        x = quality.features(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))[0]
+        bins = [sum(c <= v for c in cuts) for v, cuts in zip(x, model.cuts, strict=True)]
+        total = model.base + sum(table[b] for table, b in zip(model.tables, bins, strict=True))
+        small = [b * quality.COARSE // (len(cuts) + 1) for b, cuts in zip(bins, model.cuts, strict=True)]
+        total += sum(table[small[a], small[b]] for (a, b), table in model.pairs.items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-9)
+
+
 def test_quality(spark):
     data, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit_quality(data, labels)
