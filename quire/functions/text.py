@@ -43,10 +43,12 @@ NOTE_PATTERNS = (
 
 #: Words that are no keywords.
 STOPWORDS = (
-    "i me my myself we our ours you your he she it its they them their this that is are was were be been being have has "
-    "had do does did will would could should may might shall can a an the and but or if in on at to for of with by "
-    "from as into about between through not no so than too very just also then there here when where how what which who whom"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "you", "your", "he", "she", "it", "its", "they", "them", "their", "this", "that", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "shall", "can", "a", "an", "the", "and", "but", "or", "if", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as",
+    "into", "about", "between", "through", "not", "no", "so", "than", "too", "very", "just", "also", "then", "there", "here", "when",
+    "where", "how", "what", "which", "who", "whom",
+)
 
 #: White space of any kind.
 WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
