@@ -193,7 +193,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096) -> DataFrame:
+def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096, bytes_per_range: int = 12 << 20) -> DataFrame:
     """Each text's fingerprint against those of its edited text and of the next document.
 
     The edited text has its last n // 4 characters replaced by the first as many (or all) of the next
@@ -201,21 +201,31 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     follows itself. Null texts count as empty. Other columns are not looked at.
 
     Rows of one id follow each other in the order of their texts' hashes. The ids' quantiles cut the rows
-    into ranges; only a range's first row goes to two places, its own and the end of the range before. The driver gets
-    a few numbers for each range, ``rows_per_range`` rows or more each.
+    into small ranges, and neighbours are put together up to ``rows_per_range`` rows and ``bytes_per_range`` bytes;
+    only a range's first row goes to two places, its own and the end of the range before. The driver gets
+    a few numbers for each small range, a quarter of ``rows_per_range`` rows or more each. Spark jobs run when this is called.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     n = rows.count()
     if not n:
         return docs.sparkSession.createDataFrame([], COMPARED)
-    parts = max(1, math.ceil(n / rows_per_range))
+    parts = max(1, math.ceil(4 * n / rows_per_range))
     cuts = rows.select(F.percentile_approx("key", [k / parts for k in range(parts)], 100 * parts).alias("q")).first()["q"]
     cuts = [-(2**63), *sorted(set(cuts) - {min(cuts), -(2**63)})]
+    sized = rows.select("key", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).withColumn("range", _range_number(F.col("key"), cuts))
+    small = sized.groupBy("range").agg(F.min(F.struct("key", "h")).alias("f"), F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    whole, held, size = [], 0, 0  # the small ranges with which ranges begin
+    for r in sorted(small, key=lambda r: r["range"]):
+        held, size = held + r["n"], size + r["size"]
+        if not whole or held > rows_per_range or size > bytes_per_range:
+            whole.append(r)
+            held, size = r["n"], r["size"]
+    cuts = [-(2**63), *(cuts[r["range"]] for r in whole[1:])]
     placed = rows.withColumns({"range": _range_number(F.col("key"), cuts), "h": F.xxhash64("text")})
-    firsts = sorted((r["range"], r["f"]["key"], r["f"]["h"]) for r in placed.groupBy("range").agg(F.min(F.struct("key", "h")).alias("f")).collect())
-    of = {r: (k, h, firsts[i - 1][0]) for i, (r, k, h) in enumerate(firsts)}
-    key, h, before = (F.element_at(F.lit(np.array([of.get(r, (0, 0, 0))[c] for r in range(len(cuts))], np.int64)), F.col("range") + 1) for c in range(3))
+    at = F.col("range") + 1
+    key, h = (F.element_at(F.lit(np.array([r["f"][c] for r in whole], np.int64)), at) for c in ("key", "h"))
+    before = F.when(F.col("range") == 0, len(cuts) - 1).otherwise(F.col("range") - 1).cast("long")
     own = F.struct(F.col("range").cast("long").alias("range"), F.lit(False).alias("tail"))
     to = F.when((F.col("key") == key) & (F.col("h") == h), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     dealt = placed.withColumn("to", F.explode(to)).select("doc_id", "text", "key", "h", "to.range", "to.tail")
