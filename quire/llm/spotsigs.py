@@ -20,7 +20,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import clusters, textbuf
@@ -229,10 +229,20 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.struct(F.col("range").cast("long").alias("range"), F.lit(False).alias("tail"))
     to = F.when((F.col("key") == key) & (F.col("h") == h), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     dealt = placed.withColumn("to", F.explode(to)).select("doc_id", "text", "key", "h", "to.range", "to.tail")
-    dealt = dealt.repartition(max(len(cuts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
+    partitions = max(len(cuts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # hashes of the ranges' numbers would send several to one partition
+    place = F.element_at(F.lit(np.array(_sent_to(docs.sparkSession, partitions)[: len(cuts)], np.int64)), (F.col("range") + 1).cast("int"))
+    dealt = dealt.withColumn("place", place).repartition(partitions, "place").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
     return dealt.mapInArrow(_with_next, COMPARED)
 
 
+def _sent_to(spark: SparkSession, partitions: int) -> list[int]:
+    """For each partition a number that hash partitioning sends there (or any, if the numbers tried have none)."""
+    tried = spark.range(40 * partitions).groupBy(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in tried.collect()}
+    return [found.get(p, p) for p in range(partitions)]
+
+
 def _range_number(key: Column, cuts: list[int]) -> Column:
     """How many of the sorted ``cuts`` but the first are not above ``key``: a search in two levels."""
     width = math.isqrt(len(cuts) - 1) + 1

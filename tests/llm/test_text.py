@@ -285,6 +285,12 @@ def test_fingerprints_edited_and_next(spark):
     assert len(twice) == 3
 
 
+def test_each_range_has_a_partition(spark):
+    sent = spotsigs._sent_to(spark, 37)
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sent)], "k long, place long").repartition(37, "place").withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.p for r in rows) == list(range(37)) and all(r.k == r.p for r in rows)
+
+
 def test_similar_classes_are_those_of_all_pairs(spark):
     rng = random.Random(6)
     vocabulary = ["the", "of", "is", "and"] + [f"w{k}" for k in range(60)]
