@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embed_dedup, langid, license_scan, minhash_dedup, packing, quality, spotsigs, suffix_dedup, token_count
+from quire.llm import bpe, embed_dedup, langid, license_scan, minhash_dedup, mixing, packing, quality, spotsigs, suffix_dedup, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,17 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of copies that the mix has of a document."""
+    mixed = mixing.mix_counts(_docs(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_quality_classifier, op5_suffix_array_dedup,
-        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, spotsigs_classes,
+        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, op11_source_mixing, spotsigs_classes,
     )
 }
 
@@ -115,5 +121,26 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op11_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) / 4503599627370496.0 :: DOUBLE AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] :: DOUBLE AS w FROM d GROUP BY source
+), filled AS (
+  SELECT sum(source_size) OVER () - 3 * sum(source_size) OVER o AS share, sum(w) OVER () - sum(w) OVER o AS weight
+  FROM s WINDOW o AS (ORDER BY source_size / w, source ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT sum(source_size), sum(w) FROM s
+), level AS (
+  SELECT CAST(share AS DOUBLE) AS share, weight FROM filled WHERE weight > 0 ORDER BY share / weight DESC LIMIT 1
+), t AS (
+  SELECT source, source_size, least(3.0 :: DOUBLE * source_size, w * share / weight) AS target FROM s, level
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3.0 :: DOUBLE, target / source_size) ELSE 0.0 END AS rate FROM t
+)
+SELECT doc_id, size, source_size, target, size * n AS taken, n AS copies
+FROM (SELECT d.*, r.source_size, r.target, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS n FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 """,
 }
