@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embed_dedup, langid, license_scan, minhash_dedup, mixing, packing, quality, spotsigs, suffix_dedup, token_count
+from quire.llm import bpe, embed_dedup, hard_negatives, langid, license_scan, minhash_dedup, mixing, packing, quality, spotsigs, suffix_dedup, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +82,18 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is one too high, so that some near rows count as negatives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved), "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_quality_classifier, op5_suffix_array_dedup,
-        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, op11_source_mixing, spotsigs_classes,
+        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, op11_source_mixing, op12_hard_negatives,
+        spotsigs_classes,
     )
 }
 
@@ -142,5 +149,20 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, size * n AS taken, n AS copies
 FROM (SELECT d.*, r.source_size, r.target, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS n FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), p AS (
+  SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+  n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
 """,
 }
