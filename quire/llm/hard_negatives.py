@@ -33,6 +33,8 @@ PIVOTS, SAMPLE, RUN, STRIP = 12, 1024, 16, 256
 LARGEST = 2.0**52  # of squared norms: below it, sums of products are exact in double precision
 FOUND = "a long, slot int, id long, score long"
 TABLE = [f"d{k}" for k in range(PIVOTS)]
+VECTORS = ["vec_id", "label", "dim", "x", "norm"]
+PLACED = "vec_id long, label long, dim int, x binary, norm double, " + ", ".join(f"{c} double" for c in TABLE) + ", home int, near double"
 
 
 def _scaled(scale: float):
@@ -81,9 +83,9 @@ def fit_pivots(rows: DataFrame, top: float) -> dict[int, np.ndarray]:
     return {d: farthest_first(augmented(np.stack([np.frombuffer(x) for x in xs]), top), PIVOTS) for d, xs in by_dim.items()}
 
 
-def _table(pivots: dict[int, np.ndarray], top: float):
-    """Rows with their distances to the pivots, the nearest pivot and its distance. A length that no sampled row has takes
-    points of the axes: any pivots give true brackets."""
+def _table(pivots: dict[int, np.ndarray], top: float, asked: bool = False):
+    """Rows with their distances to the pivots (of anchors, if ``asked``), the nearest pivot and its distance. A length that no
+    sampled row has takes points of the axes: any pivots give true brackets."""
 
     def of(d: int) -> np.ndarray:
         if d not in pivots:
@@ -95,10 +97,10 @@ def _table(pivots: dict[int, np.ndarray], top: float):
             dims, out = batch.column("dim").to_numpy(), np.zeros((batch.num_rows, PIVOTS))
             for d in np.unique(dims):
                 x = textbuf.binary_rows(batch.column("x").filter(pa.array(dims == d)), float, int(d))
-                out[dims == d] = distances(augmented(x, top), of(int(d)))
+                out[dims == d] = distances(np.pad(x, ((0, 0), (0, 1))) if asked else augmented(x, top), of(int(d)))
             near = out.min(1) if len(out) else np.zeros(0)
             home = out.argmin(1).astype(np.int32) if len(out) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, k]) for k in range(PIVOTS)), pa.array(home), pa.array(near)], [*batch.schema.names, *TABLE, "home", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in VECTORS), *(pa.array(out[:, k]) for k in range(PIVOTS)), pa.array(home), pa.array(near)], [*VECTORS, *TABLE, "home", "near"])
 
     return run
 
@@ -259,15 +261,18 @@ def mine_negatives(
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and label is not null and v is not null")
     rows = scratch.keep(given.mapInArrow(_scaled(scale), "vec_id long, label long, dim int, x binary, norm double"), "vectors")
     top = rows.agg(F.max("norm")).first()[0] or 0.0
-    table = rows.mapInArrow(_table(fit_pivots(rows, top), top), "vec_id long, label long, dim int, x binary, norm double, " + ", ".join(f"{c} double" for c in TABLE) + ", home int, near double")
+    pivots = fit_pivots(rows, top)
+    table = rows.mapInArrow(_table(pivots, top), PLACED)
     place = ["label", "dim", "home", "near", "vec_id"]
     tiled = _numbered(scratch, table.repartitionByRange(n, *place).sortWithinPartitions(*place), "tile")
     scratch.drop(rows)
     tiles = max(1, tiled.select("tile").distinct().count())
 
     chosen = F.expr(anchor) if isinstance(anchor, str) else anchor
-    first = tiled.where(chosen).withColumnRenamed("tile", "own_tile").dropDuplicates(["vec_id", "label", "dim", "x"])
+    own_tile = tiled.where(chosen).groupBy(*VECTORS).agg(F.min("tile").alias("own_tile"))
+    first = own_tile.select(VECTORS).mapInArrow(_table(pivots, top, True), PLACED)
     blocked = _numbered(scratch, first.repartitionByRange(max(1, n // 4), *place).sortWithinPartitions(*place), "block")
+    blocked = blocked.join(own_tile, VECTORS)
     least, most = -(1 << 53), 1 << 53
     whole = {"lo": F.array(F.lit(least).cast("long")), "hi": F.array(F.lit(most).cast("long"))}
     anchors = scratch.keep(blocked.withColumnRenamed("vec_id", "id").withColumn("a", F.monotonically_increasing_id()).withColumns(whole), "anchors")
