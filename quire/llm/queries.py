@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embed_dedup, hard_negatives, langid, license_scan, minhash_dedup, mixing, packing, quality, spotsigs, suffix_dedup, token_count
+from quire.llm import bpe, embed_dedup, hard_negatives, langid, license_scan, minhash_dedup, mixing, packing, quality, spelling, spotsigs, suffix_dedup, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved), "vec_id % 100 = 0")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run in 97 has lost a letter, so that there are variants to be found."""
+    return spelling.spelling_groups(_docs(spark, sf_dir), slips=spelling.SLIP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_quality_classifier, op5_suffix_array_dedup,
-        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, op11_source_mixing, op12_hard_negatives,
+        op6_token_counts, op7_license_scan, op8_spotsigs_fingerprints, op9_byte_bpe, op10_language_id, op11_source_mixing, op12_hard_negatives, op13_spelling_variants,
         spotsigs_classes,
     )
 }
@@ -164,5 +169,41 @@ SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION B
   n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
 FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
 QUALIFY rank <= 10
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE byte(i, c, k) AS (
+  SELECT i, i, 0 FROM generate_series(0, 255) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM byte WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM byte WHERE k = 8
+), runs AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT w, n, xor(list_reduce(
+    list_prepend(4294967295 :: BIGINT, list_transform(generate_series(1, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))),
+    lambda h, b: xor(h // 256, t[1 + xor(h % 256, b)])), 4294967295) AS h
+  FROM (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs), crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)
+), longer AS (
+  SELECT DISTINCT w.word, l.word AS other, w.n, l.n AS m FROM words w JOIN less l ON l.x = w.word
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+  UNION ALL SELECT word, other, m FROM longer UNION ALL SELECT other, word, n FROM longer
+), best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1
+), known AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), chain(word, root, k) AS (
+  SELECT word, word, 0 FROM known UNION ALL SELECT c.word, k.form, c.k + 1 FROM chain c JOIN known k ON k.word = c.root WHERE k.form IS NOT NULL
+)
+SELECT k.word, k.n, k.n_near, k.form, k.form_n, c.root FROM known k JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word) c ON c.word = k.word
 """,
 }
