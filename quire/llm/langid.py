@@ -9,18 +9,18 @@ codewords differ in half of the bits; more languages take the best of many rando
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbuf
 
 SIZE = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(k: int, seed: int = 5) -> np.ndarray:

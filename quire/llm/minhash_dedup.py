@@ -180,12 +180,13 @@ def first_of_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` with an id, less those whose text is a near duplicate of another row's.
 
     Of each component the row of the smallest id stays (of several texts under that id, the one of the smallest digest;
-    of equal rows one). Texts without shingles are duplicates only of the same text under the same id.
+    of equal rows one). All columns stay as they are, whatever their names. Texts without shingles are duplicates only of the same text under the same id.
     """
     found = _clustered(docs, id_col, text_col, words, percent, distance, chunk)
-    kept = found.where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": _digest(F.col(text_col))})
-    return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    kept = found.where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).select("doc_id", "digest")
+    # rows go whole, so that no column of theirs meets one of these names
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), _digest(F.col(text_col)).alias("digest"))
+    return rows.join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
 
 
 def _digest(text):

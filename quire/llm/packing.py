@@ -127,6 +127,8 @@ def pack_documents(docs: DataFrame, length, id_col: str = "doc_id", capacities:
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * top)
     pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(top), F.col("n") - F.col("start")).alias("length"))
-    # the length is hashed too, so that repeated ids spread
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    # pieces that are alike, as those of null or repeated ids, are counted and numbered, so that they spread over the groups, too
+    alike = pieces.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").cast("int").alias("n"))
+    pieces = alike.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "k"), F.lit(groups)))
+    pieces = pieces.select("doc_id", "piece", "start", "length", "group")
     return pieces.groupBy("group").applyInPandas(_packed(capacities), PACKED)

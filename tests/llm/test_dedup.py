@@ -326,3 +326,11 @@ def test_suffix_bounds_lose_no_pair():
     cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     for t in (0.3, 0.98):
         assert set(zip(*map(list, embed_dedup.linked_blocks(x, y, axes, t, False)), strict=True)) == set(zip(*np.nonzero(cos >= t), strict=True))
+
+
+def test_columns_of_any_name_stay_when_duplicates_go(spark):
+    text = "one two three four five six seven"
+    rows = [(5, text, "a", 1, "x", None), (3, text + " ", "b", 2, "y", 0), (4, "other words stand here and there", "c", 3, "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _digest int, digest string, row int")
+    got = minhash_dedup.first_of_duplicates(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[1], rows[2]]

@@ -1,6 +1,7 @@
 """Token counts, licenses, fingerprints, BPE, languages, quality and packing, with odd inputs."""
 
 import itertools
+import math
 import pathlib
 import random
 import re
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, langid, license_scan, packing, quality, spotsigs, textbuf, token_count
 
-ODD = [None, "", " ", "\n", "a", "é", "日本", "🙂", "\x00", "0 1 2", "a" * 5000, "word " * 3000, "...", "ﬁ x²", "\x1c b", "tail "]
+ODD = [None, "", " ", "\n", "a", "é", "日本", "🙂", "\x00", "0 1 2", "a" * 5000, "word " * 3000, "...", "ﬁ x²", "\x1c b", "tail ", "½ ² ①", "Ⅷ", "٣", "ª"]
 
 
 def frame(spark, texts):
@@ -446,3 +447,32 @@ def test_packing_opens_longer_bins_that_fill_better():
     # but of those that open bins are expected to take none is counted twice
     *_, size, used = packing.pack(np.array([700] * 40 + [324] * 10))
     assert sorted(set(size)) == [1024, 4096] and (used[size == 1024] == 1024).all() and (size == 1024).sum() == 10
+
+
+def test_packing_spreads_rows_that_are_alike(spark):
+    rows = spark.range(60000).selectExpr("cast(null as long) as doc_id", "700L as length", "'x' as n", "1 as k", "2 as `group`")
+    got = packing.pack_documents(rows, F.col("length")).select(F.substring_index("bin_id", "-", 1).alias("g"), "length").groupBy("g").agg(F.count("*").alias("n"), F.sum("length").alias("sum")).collect()
+    assert sum(r.n for r in got) == 60000 and sum(r["sum"] for r in got) == 700 * 60000
+    assert len(got) == 3 and max(r.n for r in got) < 21000
+
+
+def least_cost(lengths, capacities):
+    """The cost of the best packing, by trying all partitions."""
+    if not lengths:
+        return 0.0
+    first, rest, best = lengths[0], lengths[1:], math.inf
+    for mask in range(1 << len(rest)):
+        own = first + sum(n for k, n in enumerate(rest) if mask >> k & 1)
+        if own <= capacities[-1]:
+            held = packing.cost(min(c for c in capacities if c >= own))
+            best = min(best, held + least_cost([n for k, n in enumerate(rest) if not mask >> k & 1], capacities))
+    return best
+
+
+def test_packing_is_near_the_least_cost():
+    rng, ratios = random.Random(5), []
+    for _ in range(120):
+        lengths = [int(rng.choice([rng.randrange(1, 1024), rng.randrange(1, 3000), rng.randrange(1, 8192)])) for _ in range(rng.randrange(1, 8))]
+        *_, size, _ = packing.pack(np.array(lengths, np.int64))
+        ratios.append(sum(map(packing.cost, size)) / least_cost(lengths, packing.CAPACITIES))
+    assert max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.02
