@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.layout import WINDOW_LINES, Layout, of_lines, page_limits, pages_of
 
-WINDOW_LINES = 10
 SHORTEST = 5
 FEW = 200
 BAND = 2
@@ -29,20 +31,156 @@ def look_up(topics: DataFrame, index: DataFrame, which: str) -> DataFrame:
     return topics.join(at, ["doc_id", f"{which}_page", f"{which}_line"], "left")
 
 
-def page_limits(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("doc_id").agg(F.min("page").alias("min_page"), F.max("page").alias("max_page"))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _pages(first: Column, last: Column) -> Column:
-    return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+def _wanted(topics: DataFrame, limits: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, candidate_id, quote, size, from_page, to_page) of topics: the normalised quote (null if too short), how many lines its
+    windows have, and the pages within two of the topic's that its document has."""
+    quote = T.normalized(T.stripped(F.col("supporting_quote")))
+    rows = topics.select("doc_id", "candidate_id", "start_page", "end_page", *columns, F.when(F.length(quote) >= SHORTEST, quote).alias("quote")).join(limits, "doc_id")
+    size = F.greatest(F.lit(1), F.least(F.lit(WINDOW_LINES), F.floor(T.word_count(F.col("quote")) / 5) + 1)).cast("int")
+    return rows.withColumns({"size": size, "from_page": F.greatest(F.col("min_page"), F.col("start_page") - BAND), "to_page": F.least(F.col("max_page"), F.col("end_page") + BAND)})
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _met(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """``wanted`` with each run of lines on its pages; a join by page, which moves no lines if they are bucketed."""
+    return wanted.withColumn("page", pages_of(F.col("from_page"), F.col("to_page"))).join(runs, ["doc_id", "page"])
+
+
+def _place(x: Column) -> Column:
+    return F.struct(x["page"].alias("page"), x["line"].alias("line"), x["global_line_id"].alias("global_line_id"))
+
+
+def _held() -> Column:
+    """The best window that begins in a run and holds the quote (1) or is held by it (0.9), or null.
+
+    Whether the run has the quote at all is asked first, and whether the quote has one of the run's lines.
+    """
+    near = lambda x: x["page"].between(F.col("from_page"), F.col("to_page"))
+    ahead, quote = F.concat("said", "tail"), F.col("quote")
+
+    def windows(all_lines: Column) -> Column:
+        text = F.array_join(F.transform(F.filter(all_lines, near), lambda x: x["plain"]), " ")
+        some = F.exists("said", lambda x: quote.contains(T.stripped(x["plain"])))
+        each = F.transform(F.sequence(F.lit(1), F.size("said")), lambda k: _bound(F.filter(F.slice(all_lines, k, F.col("size")), near), judged))
+        return F.when((F.size("said") > 0) & (text.contains(quote) | some), F.array_max(F.filter(each, lambda w: w["score"] > 0)))
+
+    def judged(w: Column) -> Column:
+        return _bound(T.stripped(F.array_join(F.transform(w, lambda x: x["plain"]), " ")), lambda text: scored(w, text))
 
+    def scored(w: Column, text: Column) -> Column:
+        score = F.when(text.contains(quote), F.lit(1.0)).when(quote.contains(text) & (F.length(text) >= 15), F.lit(0.9)).otherwise(F.lit(0.0))
+        first, last = F.element_at(w, 1), F.element_at(w, -1)
+        return F.struct(F.when(F.length(text) >= SHORTEST, score).otherwise(F.lit(0.0)).alias("score"), (-first["global_line_id"]).alias("order"), _place(first).alias("first"), _place(last).alias("last"))
 
-def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy: bool = True) -> DataFrame:
+    return _bound(ahead, windows)
+
+
+_PLACE = "struct<page:int,line:int,global_line_id:bigint>"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best window of each topic by similarity, of rows (topic, quote, size, pages, said, tail) in the order of topics.
+
+    A window's similarity can't exceed twice the letters that both have in common over the letters of both, whatever their
+    order. Windows are tried by falling bound, until none can be as good as the best so far of all the topic's runs.
+    """
+    now, best = None, None
+    for batch in batches:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "candidate_id", "quote", "size", "from_page", "to_page", "said", "tail")]
+        for doc_id, candidate_id, quote, size, lo, hi, said, tail in zip(*columns, strict=True):
+            if (doc_id, candidate_id) != now:
+                out += [best] if best else []
+                now, best = (doc_id, candidate_id), None
+            best = _best_window(now, quote, size, lo, hi, said, tail, best)
+        if out:
+            yield pa.RecordBatch.from_pylist([_located(b) for b in out], schema=_LOCATED)
+    if best:
+        yield pa.RecordBatch.from_pylist([_located(best)], schema=_LOCATED)
+
+
+_PLACED = pa.struct([("page", pa.int32()), ("line", pa.int32()), ("global_line_id", pa.int64())])
+_LOCATED = pa.schema([("doc_id", pa.int64()), ("candidate_id", pa.int64()), ("score", pa.float64()), ("order", pa.int64()), ("first", _PLACED), ("last", _PLACED)])
+
+
+def _located(best: tuple) -> dict:
+    (doc_id, candidate_id), score, order, first, last = best
+    keep = lambda x: {c: x[c] for c in ("page", "line", "global_line_id")}
+    return {"doc_id": doc_id, "candidate_id": candidate_id, "score": score, "order": order, "first": keep(first), "last": keep(last)}
+
+
+def _letters(lines: list[str]) -> np.ndarray:
+    """How often each character occurs in each line; those beyond ASCII count as one."""
+    out = np.zeros((len(lines), 128), np.int64)
+    for k, s in enumerate(lines):
+        if s:
+            codes = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
+            out[k] = np.bincount(codes, minlength=128)
+    return out
+
+
+def _best_window(topic: tuple, quote: str, size: int, lo: int, hi: int, said: list[dict], tail: list[dict], best: tuple | None) -> tuple | None:
+    ahead = said + tail
+    near = [lo <= x["page"] <= hi for x in ahead]
+    counts = _letters([x["plain"] if ok else "" for x, ok in zip(ahead, near, strict=True)])
+    counts[:, 32] += near  # a space for each line joined, one more than there are
+    sums = np.concatenate([np.zeros((1, 128), np.int64), np.cumsum(counts, 0)])
+    own = _letters([quote])[0]
+    ends = np.minimum(np.arange(len(said)) + size, len(ahead))
+    common = np.minimum(sums[ends] - sums[: len(said)], own).sum(1)
+    tried = []
+    for k in range(len(said)):
+        window = [x for x, ok in zip(ahead[k : ends[k]], near[k : ends[k]], strict=True) if ok]
+        text = " ".join(x["plain"] for x in window).strip(T.WHITE_SPACE)
+        if len(text) < SHORTEST:
+            continue
+        held = 0.9 if len(text) >= 15 and text in quote else 0.0
+        shortest = min(len(text), len(quote))
+        bound = max(held, 2.0 * min(shortest, int(common[k])) / (len(text) + len(quote)))
+        tried.append((-bound, window[0]["global_line_id"], held, text, window))
+    for less, gid, held, text, window in sorted(tried, key=lambda x: x[:2]):
+        if -less < (best[1] if best else QUOTE_LEAST):
+            break
+        score = max(held, SequenceMatcher(None, quote, text).ratio())
+        if score >= QUOTE_LEAST and (best is None or (score, -gid) > best[1:3]):
+            best = (topic, score, -gid, window[0], window[-1])
+    return best
+
+
+def _by_similarity(open_topics: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, candidate_id, score, order, first, last) of topics that no window decides by containment."""
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _met(open_topics, runs).where(F.size("said") > 0).select("doc_id", "candidate_id", "quote", "size", "from_page", "to_page", "said", "tail", F.abs(F.col("page") - F.col("start_page")).alias("off"))
+    rows = rows.repartition(n, "doc_id", "candidate_id").sortWithinPartitions("doc_id", "candidate_id", "off").drop("off")
+    return rows.mapInArrow(_compared, f"doc_id long, candidate_id long, score double, order long, first {_PLACE}, last {_PLACE}")
+
+
+def _seen(topics: DataFrame, layout: Layout, fuzzy: bool, *columns: str) -> DataFrame:
+    """Each topic whose document has lines, with ``best``: its best window from ``QUOTE_LEAST`` on (score, order, first, last); with the cells
+    at its ``start`` and ``end`` (gid, blank), if ``columns`` names their lines; and with its pages and those of its document."""
+    wanted = _wanted(topics, layout.limits, *columns)
+    ends = [w for w in ("start", "end") if f"{w}_line" in columns]
+    found = [F.max(_held()).alias("best")]
+    for which in ends:
+        wanted_line = F.col(f"{which}_line")
+        own = F.filter("cells", lambda c: c["line"] == wanted_line)
+        at = F.when(F.col("page") == F.col(f"{which}_page"), F.array_max(F.transform(own, lambda c: F.struct(c["global_line_id"].alias("gid"), c["blank"].alias("blank")))))
+        found.append(F.max(at).alias(which))
+    carried = ("quote", "size", "from_page", "to_page", "min_page", "max_page", "start_page", "end_page", *columns)
+    seen = _met(wanted, layout.runs).groupBy("doc_id", "candidate_id").agg(*found, *(F.any_value(c).alias(c) for c in carried))
+    if fuzzy:
+        unsure = F.col("quote").isNotNull() & (F.coalesce("best.score", F.lit(0.0)) < 1)
+        near = _by_similarity(seen.where(unsure).select("doc_id", "candidate_id", "quote", "size", "from_page", "to_page", "start_page"), layout.runs)
+        near = near.select("doc_id", "candidate_id", F.struct("score", "order", "first", "last").alias("near"))
+        seen = seen.join(near, ["doc_id", "candidate_id"], "left").withColumn("best", F.greatest("best", "near"))
+    return seen.select("doc_id", "candidate_id", "best", *ends, "start_page", "end_page", *columns, "min_page", "max_page")
+
+
+def locate_quotes(topics: DataFrame, lines: DataFrame | Layout, fuzzy: bool = True) -> DataFrame:
     """(doc_id, candidate_id, score, and the page, line and gid of the window's first and last line) of quotes that are found.
 
     Each line that isn't blank begins a window of as many such lines as the quote's length asks for, within two pages
@@ -50,55 +188,19 @@ def locate_quotes(topics: DataFrame, lines: DataFrame, limits: DataFrame, fuzzy:
     0.9 at least, any other its similarity to the quote, if ``fuzzy``. The first of the best windows
     counts, from 0.65 on.
 
-    Lines are normalised once, and each takes along as many lines after it as the longest quote of its document
-    asks for. Topics meet lines by page, which is an equi-join; the pair joins these texts, and similarity is computed only
-    where the lengths allow 0.65 and the quote isn't held.
+    Topics meet runs of lines by page, and all windows of a run are judged where they are; only topics whose quote nothing holds
+    go on to the search by similarity, which stops at a bound (see ``_compared``).
     """
-    wanted = topics.select("doc_id", "candidate_id", "start_page", "end_page", T.normalized(T.stripped(F.col("supporting_quote"))).alias("quote")).where(F.length("quote") >= SHORTEST)
-    wanted = wanted.join(limits, "doc_id").select(
-        "doc_id",
-        "candidate_id",
-        "quote",
-        F.greatest(F.lit(1), F.least(F.lit(WINDOW_LINES), F.floor(T.word_count(F.col("quote")) / 5) + 1)).cast("int").alias("size"),
-        F.greatest(F.col("min_page"), F.col("start_page") - BAND).alias("from_page"),
-        F.least(F.col("max_page"), F.col("end_page") + BAND).alias("to_page"),
-    )
-    most = wanted.groupBy("doc_id").agg(F.max("size").alias("most"))
-    ahead = W.partitionBy("doc_id").orderBy("global_line_id").rowsBetween(0, WINDOW_LINES - 1)
-    # only lines 1 to 25 are looked at
-    said = lines.where(T.not_blank(F.col("text")) & F.col("line").between(1, 25)).select("doc_id", "page", "line", "global_line_id", T.plain(F.col("text")).alias("plain"))
-    said = said.withColumn("ahead", F.collect_list(F.struct("page", "line", "global_line_id", "plain")).over(ahead))
-    said = said.join(most, "doc_id").select("doc_id", "page", F.slice("ahead", F.lit(1), F.col("most")).alias("ahead"))
-    wanted = wanted.withColumn("page", _pages(F.col("from_page"), F.col("to_page")))
-    quote = F.col("quote")
-
-    def judged(window: Column) -> Column:
-        sure = F.when(window.contains(quote), F.lit(1.0)).when(quote.contains(window) & (F.length(window) >= 15), F.lit(0.9)).otherwise(F.lit(0.0))
-        unsure = (T.ratio_bound(quote, window) >= QUOTE_LEAST) & ~window.contains(quote) if fuzzy else F.lit(False)
-        return F.when(F.length(window) >= SHORTEST, F.struct(sure.alias("sure"), F.when(unsure, window).alias("compared")))
-
-    def spoken(w: Column) -> Column:
-        place = lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["global_line_id"].alias("global_line_id"))
-        text = T.stripped(F.array_join(F.transform(w, lambda x: x["plain"]), " "))
-        return F.struct(place(F.element_at(w, 1)).alias("first"), place(F.element_at(w, -1)).alias("last"), _bound(text, judged).alias("j"))
-
-    inside = F.filter(F.slice("ahead", F.lit(1), F.col("size")), lambda x: x["page"].between(F.col("from_page"), F.col("to_page")))
-    seen = wanted.join(said, ["doc_id", "page"]).select("doc_id", "candidate_id", "quote", _bound(inside, spoken).alias("s"))
-    seen = seen.select("doc_id", "candidate_id", "quote", "s.first", "s.last", F.col("s.j.sure").alias("sure"), F.col("s.j.compared").alias("compared"))
-    seen = seen.where((F.col("sure") > 0) | F.col("compared").isNotNull())
-    score = F.col("sure")
-    if fuzzy:
-        score = F.greatest(score, T.matched_ratio(F.when(F.col("compared").isNotNull(), quote), F.col("compared")))
-    scored = seen.select("doc_id", "candidate_id", "first", "last", score.alias("score")).where(F.col("score") >= QUOTE_LEAST)
-    best = scored.groupBy("doc_id", "candidate_id").agg(F.max(F.struct("score", (-F.col("first.global_line_id")).alias("order"), "first", "last")).alias("b"))
-    at = [F.col(f"b.{end}.{c}").alias(f"q_{which}_{short}") for which, end in (("start", "first"), ("end", "last")) for c, short in (("page", "page"), ("line", "line"), ("global_line_id", "gid"))]
-    return best.select("doc_id", "candidate_id", F.col("b.score").alias("quote_score"), *at)
+    layout = lines if isinstance(lines, Layout) else of_lines(lines)
+    best = _seen(topics, layout, fuzzy).where("best is not null")
+    at = [F.col(f"best.{end}.{c}").alias(f"q_{which}_{short}") for which, end in (("start", "first"), ("end", "last")) for c, short in (("page", "page"), ("line", "line"), ("global_line_id", "gid"))]
+    return best.select("doc_id", "candidate_id", F.col("best.score").alias("quote_score"), *at)
 
 
 def lines_of_topics(topics: DataFrame, lines: DataFrame, limits: DataFrame, of_line: str = "text") -> DataFrame:
     """(doc_id, candidate_id, global_line_id, page, line and ``of_line``) of the lines in each topic's closed range, joined by page."""
     ranges = topics.select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line").join(limits, "doc_id")
-    ranges = ranges.withColumn("page", _pages(F.greatest("start_page", "min_page"), F.least("end_page", "max_page"))).drop("min_page", "max_page")
+    ranges = ranges.withColumn("page", pages_of(F.greatest("start_page", "min_page"), F.least("end_page", "max_page"))).drop("min_page", "max_page")
     both = ranges.join(lines.select("doc_id", "page", "line", "global_line_id", of_line), ["doc_id", "page"])
     after = (F.col("page") > F.col("start_page")) | (F.col("line") >= F.col("start_line"))
     before = (F.col("page") < F.col("end_page")) | (F.col("line") <= F.col("end_line"))
@@ -147,30 +249,49 @@ def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFra
     3. The label's keywords are compared with those of the range, as it is now, and the quote.
     4. A topic is verified if both coordinates exist, the quote scores 0.7, the label 0.15, and nothing was inverted.
 
-    ``lines`` and ``topics`` are read several times each, so they should be tables and no long plans.
+    ``lines`` are canonical lines or a layout of them. The layout is read twice: for coordinates and quotes together, and for the
+    words of the range as it is then; ``topics`` are read where they are exploded to pages and where verdicts come back to them.
     """
-    index, limits = line_index(lines), page_limits(lines)
+    layout = lines if isinstance(lines, Layout) else of_lines(lines)
     late = (F.col("start_page") > F.col("end_page")) | ((F.col("start_page") == F.col("end_page")) & (F.col("start_line") > F.col("end_line")))
-    t = topics.withColumn("inverted", late)
+    given = topics.withColumn("inverted", late)
     swap = lambda a, b: F.when(F.col("inverted"), F.col(b)).otherwise(F.col(a))
-    t = t.withColumns({"start_page": swap("start_page", "end_page"), "end_page": swap("end_page", "start_page"), "start_line": swap("start_line", "end_line"), "end_line": swap("end_line", "start_line")})
-    t = look_up(look_up(t, index, "start"), index, "end").join(locate_quotes(t, lines, limits, fuzzy), ["doc_id", "candidate_id"], "left")
-    score = F.coalesce("quote_score", F.lit(0.0))
-    good = score >= QUOTE_TRUSTED
-    gone = lambda which: F.col(f"{which}_gid").isNull() | ~T.not_blank(F.col(f"{which}_text"))
-    drift = (F.col("q_start_page") != F.col("start_page")) | (F.abs(F.col("q_start_line") - F.col("start_line")) > 3)
-    move_start, move_end = F.coalesce(good & (gone("start") | drift), F.lit(False)), F.coalesce(good & gone("end"), F.lit(False))
-    moved = {}
-    for which, move in (("start", move_start), ("end", move_end)):
-        moved |= {f"{which}_{c}": F.when(move, F.col(f"q_{which}_{c}")).otherwise(F.col(f"{which}_{c}")) for c in ("page", "line", "gid")}
-    t = t.withColumns(moved | {"quote_score": score})
-    t = t.withColumns({"start_global_id": F.coalesce("start_gid", "start_global_id"), "end_global_id": F.coalesce("end_gid", "end_global_id")})
-    worded = lines.withColumn("keywords", F.array_distinct(T.keywords(F.col("text"))))  # once a line, not once a topic
-    said = lines_of_topics(t, worded, limits, "keywords").groupBy("doc_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("said"))
-    t = t.join(said, ["doc_id", "candidate_id"], "left")
-    all_said = F.array_union("said", T.keywords(F.coalesce("supporting_quote", F.lit(""))))
-    label = F.when(F.col("said").isNull() | ~T.not_blank(F.col("topic")), F.lit(0.0)).otherwise(T.keyword_overlap(T.keywords(F.col("topic")), all_said))
+    given = given.withColumns({"start_page": swap("start_page", "end_page"), "end_page": swap("end_page", "start_page"), "start_line": swap("start_line", "end_line"), "end_line": swap("end_line", "start_line")})
+    seen = _snapped(_seen(given, layout, fuzzy, "start_line", "end_line"))
+    seen = seen.join(_range_words(seen, layout.runs), ["doc_id", "candidate_id"], "left").drop("min_page", "max_page")
+    own = [c for c in seen.columns if c not in ("doc_id", "candidate_id")]
+    t = given.join(seen.select("doc_id", "candidate_id", F.struct(*own).alias("seen")), ["doc_id", "candidate_id"], "left")
+    known = F.col("seen").isNotNull()
+    t = t.withColumns({c: F.when(known, F.col(f"seen.{c}")).otherwise(F.col(c)) for c in ("start_page", "start_line", "end_page", "end_line")} | {"quote_score": F.coalesce("seen.quote_score", F.lit(0.0))})
+    t = t.withColumns({"start_global_id": F.coalesce("seen.start_gid", "start_global_id"), "end_global_id": F.coalesce("seen.end_gid", "end_global_id")})
+    all_said = F.array_union("seen.said", T.keywords(F.coalesce("supporting_quote", F.lit(""))))
+    label = F.when(F.col("seen.said").isNull() | ~T.not_blank(F.col("topic")), F.lit(0.0)).otherwise(T.keyword_overlap(T.keywords(F.col("topic")), all_said))
     t = t.withColumn("semantic_score", label)
-    fine = F.col("start_gid").isNotNull() & F.col("end_gid").isNotNull() & good & (F.col("semantic_score") >= LABEL_TRUSTED) & ~F.col("inverted")
+    placed = F.col("seen.start_gid").isNotNull() & F.col("seen.end_gid").isNotNull()
+    fine = F.coalesce(placed & (F.col("quote_score") >= QUOTE_TRUSTED) & (F.col("semantic_score") >= LABEL_TRUSTED) & ~F.col("inverted"), F.lit(False))
     t = t.withColumns({"verified": fine, "confidence": F.when(fine, F.lit(1.0)).otherwise(F.lit(0.0)), "needs_human_review": ~fine})
     return t.select(*topics.columns, "quote_score", "semantic_score", "inverted")
+
+
+def _snapped(seen: DataFrame) -> DataFrame:
+    """Coordinates as they are after the quote was found, the line ids there, and the quote's score."""
+    good = F.coalesce("best.score", F.lit(0.0)) >= QUOTE_TRUSTED
+    gone = lambda which: F.coalesce(F.col(f"{which}.blank"), F.lit(True))
+    drift = (F.col("best.first.page") != F.col("start_page")) | (F.abs(F.col("best.first.line") - F.col("start_line")) > 3)
+    moved = {}
+    for which, end, move in (("start", "first", gone("start") | drift), ("end", "last", gone("end"))):
+        move = F.coalesce(good & move, F.lit(False))
+        moved |= {f"{which}_{c}": F.when(move, F.col(f"best.{end}.{c}")).otherwise(F.col(f"{which}_{c}")) for c in ("page", "line")}
+        moved[f"{which}_gid"] = F.when(move, F.col(f"best.{end}.global_line_id")).otherwise(F.col(f"{which}.gid"))
+    return seen.withColumns(moved | {"quote_score": F.coalesce("best.score", F.lit(0.0))}).drop("best", "start", "end")
+
+
+def _range_words(topics: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, candidate_id, said): the distinct keywords of each topic's range, if there are lines in it."""
+    ranges = topics.select("doc_id", "candidate_id", "start_page", "start_line", "end_page", "end_line", pages_of(F.greatest("start_page", "min_page"), F.least("end_page", "max_page")).alias("page"))
+    after = lambda c: (F.col("page") > F.col("start_page")) | (c["line"] >= F.col("start_line"))
+    before = lambda c: (F.col("page") < F.col("end_page")) | (c["line"] <= F.col("end_line"))
+    own = F.transform(F.filter("cells", lambda c: after(c) & before(c)), lambda c: c["keywords"])
+    rows = ranges.join(runs, ["doc_id", "page"]).select("doc_id", "candidate_id", own.alias("own")).where(F.size("own") > 0)
+    rows = rows.select("doc_id", "candidate_id", F.array_distinct(F.flatten("own")).alias("own"))
+    return rows.groupBy("doc_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("said"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import audit, chunks, evaluate, export, lines, merge, validate
+from quire.operators import audit, chunks, evaluate, export, layout, lines, merge, validate
 from quire.plans import indexing
 from quire.sources import transcripts
 from quire.storage import Scratch
@@ -415,7 +415,7 @@ def quote_exact(spark, sf_dir):
     t = _topics(spark, sf_dir, grid)
     late = F.struct("start_page", "start_line") > F.struct(F.col("end_page").alias("start_page"), F.col("end_line").alias("start_line"))
     t = t.select("doc_id", "candidate_id", "supporting_quote", F.when(late, F.col("end_page")).otherwise(F.col("start_page")).alias("start_page"), F.when(late, F.col("start_page")).otherwise(F.col("end_page")).alias("end_page"))
-    return validate.locate_quotes(t, grid, validate.page_limits(grid), fuzzy=False).select("doc_id", "candidate_id", "quote_score", "q_start_gid", "q_end_gid")
+    return validate.locate_quotes(t, grid, fuzzy=False).select("doc_id", "candidate_id", "quote_score", "q_start_gid", "q_end_gid")
 
 
 _VERDICT = f"""looked AS (
@@ -444,7 +444,7 @@ def _misquoted(t: DataFrame) -> DataFrame:
 def _validated(spark, sf_dir, fuzzy: bool) -> DataFrame:
     grid = _kept(_grid(spark, sf_dir), "lines")
     t = _kept(_topics(spark, sf_dir, grid), "topics")
-    return validate.validate(_misquoted(t) if fuzzy else t, grid, fuzzy)
+    return validate.validate(_misquoted(t) if fuzzy else t, layout.shared(Scratch(spark, "query"), grid), fuzzy)
 
 
 @query(_with(GRID, TOPICS, _LOCATED, _VERDICT, select="SELECT doc_id, candidate_id, start_page, start_line, end_page, end_line, sg AS start_global_id, eg AS end_global_id, score AS quote_score, semantic AS semantic_score, inverted, verified, CASE WHEN verified THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, NOT verified AS needs_human_review FROM verdicts"))
@@ -469,7 +469,7 @@ def verdict_fuzzy(spark, sf_dir):
 def quote_fuzzy(spark, sf_dir):
     grid = _kept(_grid(spark, sf_dir), "lines")
     t = _misquoted(_topics(spark, sf_dir, grid))
-    return validate.locate_quotes(t, grid, validate.page_limits(grid)).select("doc_id", "candidate_id", F.round("quote_score", 9).alias("quote_score"), "q_start_gid", "q_end_gid")
+    return validate.locate_quotes(t, layout.shared(Scratch(spark, "query"), grid)).select("doc_id", "candidate_id", F.round("quote_score", 9).alias("quote_score"), "q_start_gid", "q_end_gid")
 
 
 # --- merging --------------------------------------------------------------------------------------------

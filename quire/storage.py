@@ -37,6 +37,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
+        self.tables: list[str] = []
         self.n = 0
         atexit.register(self.clear)
 
@@ -49,6 +50,19 @@ class Scratch:
         out._quire_path = path  # keeps the id in use as long as the path may be dropped
         return out
 
+    def keep_bucketed(self, df: DataFrame, by: list[str], name: str = "t", buckets: int | None = None) -> DataFrame:
+        """``keep``, in buckets of the columns ``by`` and sorted by them, so that equi-joins on these don't shuffle it.
+
+        The table is registered in the session's catalog under a name of its own, and removed with the others.
+        """
+        self.n += 1
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, table = f"{self.root}/{self.n:03d}-{name}", f"quire_{name}_{uuid.uuid4().hex[:12]}"
+        dealt = df.repartition(n, *by).sortWithinPartitions(*by)
+        dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *by).sortBy(*by).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             path = self.paths.pop(id(frame), None)
@@ -62,6 +76,8 @@ class Scratch:
 
     def clear(self) -> None:
         try:
+            while self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
             self._delete(self.root)
         except Exception:  # the driver ends and its JVM may be gone; nothing else can be done then
             pass

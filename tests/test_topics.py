@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quire import queries
 from quire.functions import text as T
-from quire.operators import audit, chunks, evaluate, export, merge, validate
+from quire.operators import audit, chunks, evaluate, export, layout, merge, validate
 from quire.plans import indexing
 from quire.schemas import LINES, TOPICS
 from quire.sources import transcripts
+from quire.storage import Scratch
 
 
 DATA = "/root/testdata/sf0.001"
@@ -269,7 +270,7 @@ def located(t, lines, fuzzy=True):
 
 def test_quotes_and_verdicts_by_similarity_are_what_a_walk_finds(spark):
     lines = by_document(queries._grid(spark, DATA), ("global_line_id",))
-    topics = queries._misquoted(queries._topics(spark, DATA)).where("doc_id < 120")
+    topics = queries._misquoted(queries._topics(spark, DATA))
     rows = [r.asDict() for r in topics.collect()]
     want, verdicts = {}, {}
     for t in rows:
@@ -294,15 +295,43 @@ def test_quotes_and_verdicts_by_similarity_are_what_a_walk_finds(spark):
         label = len(a & b) / min(len(a), len(b)) if inside and t["topic"].strip() and a and b else 0.0
         fine = bool(start and end and score >= 0.7 and label >= 0.15 and not late)
         verdicts[key] = (t["start_page"], t["start_line"], t["end_page"], t["end_line"], round(score, 9), fine)
-    grid = queries._kept(queries._grid(spark, DATA), "lines")
+    grid = layout.shared(Scratch(spark, "test"), queries._grid(spark, DATA))
     out = validate.validate(topics, grid).collect()
     assert {(r.doc_id, r.candidate_id): (r.start_page, r.start_line, r.end_page, r.end_line, round(r.quote_score, 9), r.verified) for r in out} == verdicts
-    straight = F.struct("start_page", "start_line") <= F.struct(F.col("end_page").alias("start_page"), F.col("end_line").alias("start_line"))
-    got = validate.locate_quotes(topics.where(straight), grid, validate.page_limits(grid)).collect()
-    assert {(r.doc_id, r.candidate_id): (round(r.quote_score, 9), r.q_start_gid, r.q_end_gid) for r in got}.items() <= want.items() and len(got) > 50
+    late = F.struct("start_page", "start_line") > F.struct(F.col("end_page").alias("start_page"), F.col("end_line").alias("start_line"))
+    straight = topics.withColumns({"start_page": F.when(late, F.col("end_page")).otherwise(F.col("start_page")), "end_page": F.when(late, F.col("start_page")).otherwise(F.col("end_page"))})
+    got = validate.locate_quotes(straight, grid).collect()
+    assert {(r.doc_id, r.candidate_id): (round(r.quote_score, 9), r.q_start_gid, r.q_end_gid) for r in got} == want and len(got) > 50
     assert any(0.65 <= s < 1 and s != 0.9 for s, *_ in want.values())
 
 
+def test_runs_cut_pages_and_keep_what_follows(spark, monkeypatch):
+    """A page of many lines is several runs, a page that comes twice too, and windows go on over blank pages."""
+    monkeypatch.setattr(layout, "LONGEST", 3)
+    rows = [(1, g + 1, p, n, t) for g, (p, n, t) in enumerate([(7, 1, "a"), (7, 2, ""), (7, 3, "b"), (7, 4, "c"), (8, 1, ""), (8, 2, " "), (7, 5, "d"), (9, 1, "e"), (9, 26, "f")])] + [(2, 1, 7, 1, "x"), (3, 1, None, None, None)]
+    runs = layout.page_runs(spark.createDataFrame(rows, "doc_id long, global_line_id long, page int, line int, text string")).orderBy("doc_id", "run").collect()
+    got = [(r.doc_id, r.page, [c.line for c in r.cells], [s.plain for s in r.said], [s.plain for s in r.tail]) for r in runs]
+    assert got == [(1, 7, [1, 2, 3], ["a", "b"], ["c", "d", "e"]), (1, 7, [4], ["c"], ["d", "e"]), (1, 8, [1, 2], [], []), (1, 7, [5], ["d"], ["e"]), (1, 9, [1, 26], ["e"], []), (2, 7, [1], ["x"], []), (3, None, [None], [], [])]
+
+
+def test_verdicts_read_the_layout_twice_and_move_no_lines(spark):
+    """Lines are in buckets: no exchange is above them, and there are few scans and shuffles in all."""
+    scratch = Scratch(spark, "test")
+    grid = scratch.keep(queries._grid(spark, DATA), "lines")
+    topics, pages = scratch.keep(queries._topics(spark, DATA, grid), "topics"), layout.shared(scratch, grid)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = validate.validate(topics, pages, fuzzy=False)._jdf.queryExecution().sparkPlan().toString()
+        full = validate.validate(topics, pages, fuzzy=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan") < 10 and full.count("Exchange") < 10
+    for k, line in enumerate(lines := full.splitlines()):
+        if "FileScan" in line and "cells" in line.split("]")[0]:
+            above = [x for x in reversed(lines[:k]) if "+-" in x or ":-" in x]
+            assert not any("Exchange" in x for x in above[:3])
+
+
 def test_stability_by_similarity_is_what_a_walk_finds(spark):
     runs = queries._runs(spark, DATA).where("doc_id < 150")
     labels = {}
