@@ -1,7 +1,9 @@
 """Chunks, cleaning, validation, merging, audit, evaluation and export on small cases."""
 
 import json
+import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -238,6 +240,51 @@ def test_merge_by_similarity_is_what_a_walk_finds(spark):
             assert sorted(r["confidence"] for r in got[d]) == pytest.approx(sorted(r["confidence"] for r in v))
 
 
+def test_segments_fold_as_whole_documents_do(spark):
+    """Many small documents of topics that nearly touch, invert, digress or lack a coordinate, against the fold of each as a whole."""
+    rng = random.Random(11)
+    names = ["a", "b", "loan", "loans", "Objection", "break"]
+    rows = []
+    for d in range(400):
+        for k in range(rng.randrange(1, 9)):
+            sp, sl = rng.randrange(1, 6), rng.choice([1, 2, 3, 4, 20, 22, 23, 25, 30])
+            ep, el = max(1, sp + rng.choice([-1, 0, 0, 0, 1, 2])), rng.choice([-30, 1, 3, 5, 19, 22, 23, 25, 40])
+            rows.append(topic(k, doc_id=d, name=rng.choice(names), sp=None if rng.random() < 0.05 else sp, sl=sl, ep=ep, el=None if rng.random() < 0.03 else el))
+    df = make_topics(spark, *rows)
+    got = Counter((r.doc_id, r.candidate_id, r.end_page, r.end_line) for r in merge.merge_topics(df, 1.1).collect())
+    whole = df.withColumn("brief", F.coalesce((T.line_span(F.col("start_page"), F.col("start_line"), F.col("end_page"), F.col("end_line")) <= 4) & (F.upper("topic").contains("OBJECTION") | F.upper("topic").contains("BREAK")), F.lit(False)))
+    docs, want = {}, Counter()
+    for r in whole.orderBy("doc_id", *merge.ORDER).collect():
+        docs.setdefault(r.doc_id, []).append(r)
+    for d, own in docs.items():
+        places = [p if None not in p else None for p in ((r.start_page, r.start_line, r.end_page, r.end_line) for r in own)]
+        for g in merge.grouped([r.topic.lower() for r in own], places, [r.brief for r in own], merge.similar(1.1)):
+            head = own[g.at]
+            want[d, head.candidate_id, *(g.end or (head.end_page, head.end_line))] += 1
+    assert got == want
+    n = merge.segments(whole, []).select("doc_id", "segment").distinct().count()
+    assert len(docs) < n <= sum(want.values())
+
+
+def test_adjacency_and_overlap_have_one_meaning(spark):
+    """The fold's tests of two topics as they stand are the column functions'."""
+    places = [(p, a, q, b) for p in (1, 2, 3) for q in (1, 2, 4) for a in (1, 3, 12, 25) for b in (2, 11, 22, 23, 25)]
+    df = spark.createDataFrame([(*x, *y) for x in places[::2] for y in places[::3]], "a int, b int, c int, d int, e int, f int, g int, h int")
+    c = F.col
+    over = T.overlap_ratio(T.linear(c("a"), c("b")), T.linear(c("c"), c("d")), T.linear(c("e"), c("f")), T.linear(c("g"), c("h")))
+    for r in df.withColumns({"touches": T.touches(*map(c, "abcdefgh")), "most": over > 0.5}).collect():
+        now = merge._Open(0, "", (r.a, r.b), (r.c, r.d))
+        assert (now.within_reach((r.e, r.f), (r.g, r.h)), now.shares_most((r.e, r.f), (r.g, r.h))) == (r.touches, r.most), r
+
+
+def test_a_document_of_many_topics_is_many_segments(spark):
+    n = 100000
+    rows = spark.range(n).selectExpr("7L as doc_id", "id as candidate_id", "concat('t', id % 7) as topic", "cast(1 + id div 2 as int) as start_page", "cast(1 + 12 * (id % 2) as int) as start_line", "cast(1 + id div 2 as int) as end_page", "cast(4 + 12 * (id % 2) as int) as end_line")
+    rows = rows.selectExpr("*", "cast(null as long) as start_global_id", "cast(null as long) as end_global_id", "'s' as summary", "'' as supporting_quote", "0.5D as confidence", "false as verified", "true as needs_human_review")
+    assert merge.segments(rows.withColumn("brief", F.lit(False)), []).groupBy("segment").count().agg(F.max("count")).first()[0] == 1
+    assert merge.merge_topics(rows).count() == n
+
+
 # --- the similarity tier on a whole table -----------------------------------------------------------------
 
 
