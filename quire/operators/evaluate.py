@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.validate import look_up
+from quire.storage import Scratch
 
 
 def search(topics: DataFrame, query: str) -> DataFrame:
@@ -87,27 +90,82 @@ def redundancy(topics: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_topics", "n_verified", F.round(100.0 * (1 - F.col("d") / F.col("n_topics")), 1).alias("redundancy_pct"))
 
 
+#: How often letters come in English text, in percent, about; the rest is rarer than any.
+LETTER_SHARES = {
+    " ": 18.0, "e": 10.3, "t": 7.5, "a": 6.5, "o": 6.2, "n": 5.7, "i": 5.7, "s": 5.3, "r": 5.0, "h": 5.0, "l": 3.3, "d": 3.3, "u": 2.3,
+    "c": 2.2, "m": 2.0, "f": 2.0, "w": 1.7, "g": 1.6, "p": 1.5, "y": 1.4, "b": 1.3, "v": 0.8, "k": 0.6, "x": 0.1, "j": 0.1, "q": 0.1, "z": 0.1,
+}
+
+
+def letters(label: Column) -> Column:
+    """Each letter of a label with the number of its occurrence, the rarest first: two labels share as many of them as they have
+    letters in common."""
+    rarity = F.create_map(*(F.lit(x) for c, share in LETTER_SHARES.items() for x in (c, math.log(share / 100))))
+
+    def token(i: Column) -> Column:
+        c = F.substr(label, i, F.lit(1))
+        seen = F.substr(label, F.lit(1), i)
+        k = F.length(seen) - F.length(F.replace(seen, c, F.lit("")))
+        return F.struct((k * F.coalesce(F.try_element_at(rarity, c), F.lit(-8.0))).alias("rarity"), F.concat(c, k.cast("string")).alias("token"))
+
+    places = F.when(F.length(label) > 0, F.sequence(F.lit(1), F.length(label))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array_sort(F.transform(places, token)), lambda x: x["token"])
+
+
+def _labels_met(asked: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, run_b, x) of the rows of ``asked`` (doc_id, run_b, x) of which a label (doc_id, run_b, y) is alike.
+
+    Likeness of ``threshold`` needs a number of common letters. So labels meet only if they share one of their rarest letters, as many of
+    these as could be spared and one more; of the pairs that meet, those with too few common letters are dropped, and the
+    similarity of the others is computed. A pair counts under its first shared letter only.
+    """
+    def prefixed(rows: DataFrame, label: str, name: str) -> DataFrame:
+        spared = F.length(label) - F.ceil(F.length(label) * (threshold / (2 - threshold)) - 1e-9)
+        rows = rows.withColumn(name, letters(F.col(label))).withColumn(f"{name}_rare", F.slice(name, F.lit(1), (spared + 1).cast("int")))
+        return rows.withColumn("letter", F.explode(f"{name}_rare"))
+
+    met = prefixed(asked, "x", "p").join(prefixed(labels, "y", "q"), ["doc_id", "run_b", "letter"])
+    first = F.col("letter") == F.element_at(F.array_intersect("p_rare", "q_rare"), 1)
+    enough = 2.0 * F.size(F.array_intersect("p", "q")) >= threshold * (F.size("p") + F.size("q")) - 1e-9
+    return met.where(first & enough).where(T.matched_ratio(F.col("x"), F.col("y")) >= threshold).select("doc_id", "run_b", "x").distinct()
+
+
+def _met_runs(runs: DataFrame) -> DataFrame:
+    """(doc_id, label, own, runs): each label of a document, the runs that have it with how often, and all runs of the document; written once."""
+    scratch = Scratch(runs.sparkSession, "stability")
+    labels = runs.groupBy("doc_id", F.lower(T.stripped(F.col("topic"))).alias("label"), "run_id").agg(F.count("*").alias("n"))
+    labels = scratch.keep(labels, "labels")
+    known = labels.groupBy("doc_id").agg(F.collect_set("run_id").alias("runs")).withColumnRenamed("doc_id", "d")
+    rows = labels.groupBy("doc_id", "label").agg(F.collect_list(F.struct("run_id", "n")).alias("own"))
+    return scratch.keep(rows.join(known, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d"), "met")
+
+
+def _similarity(met: DataFrame, threshold: float) -> DataFrame:
+    own = F.transform("own", lambda o: o["run_id"])
+    rows = met.where("doc_id is not null").withColumn("runs_with", own)
+    asked = rows.select("doc_id", F.col("label").alias("x"), "own", "runs_with", F.explode("runs").alias("run_b")).where(F.array_min("runs_with") < F.col("run_b"))
+    asked = asked.withColumn("same", F.col("x").isNotNull() & F.array_contains("runs_with", F.col("run_b")))
+    if threshold <= 1:
+        others = rows.where("label is not null").select("doc_id", F.col("label").alias("y"), F.explode("runs_with").alias("run_b"))
+        alike = _labels_met(asked.where("not same").select("doc_id", "run_b", "x"), others, threshold).withColumn("alike", F.lit(True))
+        asked = asked.join(alike, ["doc_id", "run_b", "x"], "left").withColumn("same", F.col("same") | F.coalesce("alike", F.lit(False)))
+    each = asked.select("doc_id", "run_b", "same", F.explode("own").alias("o")).where(F.col("o.run_id") < F.col("run_b"))
+    found = F.sum(F.when(F.col("same"), F.col("o.n")).otherwise(0)) / F.sum("o.n")
+    return each.groupBy("doc_id", F.col("o.run_id").alias("run_a"), "run_b").agg(found.alias("similarity"))
+
+
 def label_similarity(runs: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(doc_id, run_a, run_b, similarity): of the labels of one run, the share with a like one in the other; not symmetric.
 
-    Over 1, only equal labels are alike. Runs and labels of one document meet, never those of different ones.
+    ``threshold`` is more than 0; over 1, only equal labels are alike. Runs and labels of one document meet, never those of
+    different ones; a null label is like no other. Two tables are written when this is called.
     """
-    labels = runs.select("doc_id", "run_id", "candidate_id", F.lower(T.stripped(F.col("topic"))).alias("label"))
-    a = labels.withColumnsRenamed({"run_id": "run_a", "label": "x"})
-    b = labels.select("doc_id", F.col("run_id").alias("run_b"), F.col("label").alias("y")).distinct()
-    later = runs.select("doc_id", F.col("run_id").alias("run_b")).distinct()
-    a = a.join(later, "doc_id").where("run_a < run_b").select("doc_id", "run_a", "run_b", "candidate_id", "x")
-    same = a.join(b.withColumnRenamed("y", "x").withColumn("same", F.lit(True)), ["doc_id", "run_b", "x"], "left").withColumn("found", F.coalesce("same", F.lit(False))).drop("same")
-    if threshold <= 1:
-        # only distinct labels without an equal one are compared, once each, with those whose length allows the threshold
-        open_ = same.where("not found").select("doc_id", "run_b", "x").distinct().join(b, ["doc_id", "run_b"]).where(T.ratio_bound(F.col("x"), F.col("y")) >= threshold)
-        alike = open_.where(T.matched_ratio(F.col("x"), F.col("y")) >= threshold).select("doc_id", "run_b", "x").distinct().withColumn("alike", F.lit(True))
-        same = same.join(alike, ["doc_id", "run_b", "x"], "left").withColumn("found", F.col("found") | F.coalesce("alike", F.lit(False)))
-    return same.groupBy("doc_id", "run_a", "run_b").agg((F.count_if("found") / F.count("*")).alias("similarity"))
+    return _similarity(_met_runs(runs), threshold)
 
 
 def run_stability(runs: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(doc_id, runs, count_variance, mean_similarity): the spread of topic counts and the mean over pairs of runs."""
-    counts = runs.groupBy("doc_id", "run_id").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("runs"), (F.max("n") - F.min("n")).alias("count_variance"))
-    mean = label_similarity(runs, threshold).groupBy("doc_id").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"))
+    met = _met_runs(runs)
+    counts = met.select("doc_id", F.explode("own").alias("o")).groupBy("doc_id", "o.run_id").agg(F.sum("o.n").alias("n")).groupBy("doc_id").agg(F.count("*").alias("runs"), (F.max("n") - F.min("n")).alias("count_variance"))
+    mean = _similarity(met, threshold).groupBy("doc_id").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"))
     return counts.join(mean, "doc_id", "left")

@@ -592,7 +592,7 @@ def redundancy(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     """Three runs: as it is, without every fourth topic, and with other titles for every third."""
-    t, k = _topics(spark, sf_dir), F.col("candidate_id")
+    t, k = _kept(_topics(spark, sf_dir).select("doc_id", "candidate_id", "topic"), "topics"), F.col("candidate_id")
     three = (t.withColumn("run_id", F.lit(1)), t.where(k % 4 != 3).withColumn("run_id", F.lit(2)), t.withColumn("run_id", F.lit(3)).withColumn("topic", F.when(k % 3 == 2, F.concat("topic", F.lit(" again"))).otherwise(F.col("topic"))))
     return three[0].unionByName(three[1]).unionByName(three[2])
 

@@ -380,7 +380,7 @@ def test_verdicts_read_the_layout_twice_and_move_no_lines(spark):
 
 
 def test_stability_by_similarity_is_what_a_walk_finds(spark):
-    runs = queries._runs(spark, DATA).where("doc_id < 150")
+    runs = queries._runs(spark, DATA)
     labels = {}
     for r in runs.collect():
         labels.setdefault(r.doc_id, {}).setdefault(r.run_id, []).append(r.topic.strip().lower())
@@ -396,6 +396,28 @@ def test_stability_by_similarity_is_what_a_walk_finds(spark):
         assert got[d].mean_similarity == (pytest.approx(sum(shares) / len(shares), abs=1e-6) if shares else None)
 
 
+def test_labels_meet_by_their_rarest_letters(spark):
+    rng, runs = random.Random(2), []
+    words = ["witness", "background", "loan", "servicing", "zéro", "retainer", "note", "q", ""]
+    for d in range(12):
+        for run in range(3):
+            for k in range(rng.randrange(0, 14)):
+                label = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+                cut = rng.randrange(len(label) + 1)
+                runs.append((d, run, k, None if rng.random() < 0.05 else label[:cut] + rng.choice(["", "x", " Z"]) + label[cut + rng.randrange(2) :]))
+    got = {(r.doc_id, r.run_a, r.run_b): r.similarity for r in evaluate.label_similarity(spark.createDataFrame(runs, "doc_id long, run_id int, candidate_id long, topic string")).collect()}
+    own = {}
+    for d, run, _, label in runs:
+        own.setdefault((d, run), []).append(None if label is None else label.strip().lower())
+    want = {}
+    for d, a in own:
+        for e, b in own:
+            if d == e and a < b:
+                alike = lambda x: x is not None and any(y is not None and SequenceMatcher(None, x, y).ratio() >= 0.7 for y in own[d, b])  # noqa: B023, E731
+                want[d, a, b] = sum(map(alike, own[d, a])) / len(own[d, a])
+    assert got == pytest.approx(want) and any(0 < x < 1 for x in want.values())
+
+
 def test_the_whole_plan_is_its_parts(spark):
     lines = queries._kept(indexing.lines_of_text(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")), "lines")
     run = indexing.index_lines(lines)
