@@ -1,16 +1,19 @@
-"""Results as JSON, Markdown, HTML, a viewer bundle and reports. Rows are made by Spark; only one document's file is
-put together on the driver."""
+"""Results as JSON, Markdown, HTML, a viewer bundle and reports. Rows and files are made by Spark, and written by its executors."""
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions import text as T
 from quire.operators.evaluate import numbered
+from quire.sources.files import write_files
 
 TOPIC_FIELDS = ("topic", "start_page", "start_line", "end_page", "end_line", "start_global_id", "end_global_id", "summary", "supporting_quote", "confidence", "verified", "needs_human_review")
 
@@ -85,39 +88,74 @@ def api_response(index: DataFrame, lines: DataFrame, filename: Column) -> DataFr
     return rows.select("doc_id", F.concat(F.regexp_replace(head, r"\}$", ","), F.substring(F.col("bundle"), 2, 2**31 - 1)).alias("response"))
 
 
-def pruned(row) -> dict:
-    return {k: v for k, v in row.asDict(recursive=True).items() if k != "doc_id"}
+@F.pandas_udf(StringType())
+def indented(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON text again, two spaces a level and in ASCII."""
+    for v in values:
+        yield v.map(lambda s: None if s is None else json.dumps(json.loads(s), indent=2))
+
+
+#: The style and the columns of the HTML page.
+STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse;width:100%}td,th{border-bottom:1px solid #ddd;padding:8px;text-align:left}.badge-verified{background:lightcyan}.badge-unverified{background:mistyrose}"
+HTML_COLUMNS = ("#", "Topic", "Start", "End", "Summary", "Supporting Quote", "Status")
+
+
+def document_files(topics: DataFrame, index: DataFrame, base: str = "topic_index", raw: DataFrame | None = None) -> DataFrame:
+    """(doc_id, name, content): each document's JSON, Markdown and HTML, and its ``raw`` candidates if given, as files of one base name."""
+    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(UNKNOWN))
+    gathered = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("num", "row"))), lambda r: r["row"]).alias(name))
+    rows = index.join(gathered(markdown_rows(topics), "md"), "doc_id", "left").join(gathered(html_rows(topics), "html"), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    md, html = F.coalesce("md", none), F.coalesce("html", none)
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    pages, lines = F.col("total_pages"), F.col("total_lines")
+    head = [
+        text("# ", F.col("title")), text("**Deponent / Witness:** ", known("witness"), "  "), text("**Date:** ", known("date"), "  "),
+        text("**Total Substantive Pages:** ", pages, " (Total Lines: ", lines, ")  "), text("**Total Topics Identified:** ", F.size(md), "  "),
+        *map(F.lit, ("", "---", "", *MARKDOWN_HEAD)),
+    ]
+    names = "".join(f"<th>{n}</th>" for n in HTML_COLUMNS)
+    page = text(
+        '<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>', F.col("title"), f"</title><style>{STYLE}</style></head><body><h1>", F.col("title"), "</h1><p>Witness: ", known("witness"), " | Date: ", known("date"),
+        " | Pages: ", pages, " (Lines: ", lines, ") | Topics: ", F.size(html), f"</p><table><thead><tr>{names}</tr></thead><tbody>\n", F.array_join(html, "\n"), "\n</tbody></table></body></html>\n",
+    )
+    fields = [c for c in index.columns if c != "doc_id"]
+    found = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    files = [(f"{base}.json", indented(found)), (f"{base}.md", F.array_join(F.concat(F.array(*head), md), "\n")), (f"{base}.html", page)]
+    out = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in files))).alias("f")).select("doc_id", "f.*")
+    if raw is not None:
+        kept = raw.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("candidate_id", F.struct(*TOPIC_FIELDS).alias("t")))).alias("r"))
+        listed = F.to_json(F.transform("r", lambda r: r["t"]), {"ignoreNullFields": "false"})
+        out = out.union(kept.select("doc_id", F.lit(f"{base}_raw.json"), indented(listed)))
+    return out
 
 
-def _page(index: dict, rows: list[str]) -> str:
-    head = f"<h1>{index['title']}</h1><p>Witness: {index['witness'] or UNKNOWN} | Date: {index['date'] or UNKNOWN} | Pages: {index['total_pages']} (Lines: {index['total_lines']}) | Topics: {len(rows)}</p>"
-    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse;width:100%}td,th{border-bottom:1px solid #ddd;padding:8px;text-align:left}.badge-verified{background:lightcyan}.badge-unverified{background:mistyrose}"
-    names = "".join(f"<th>{n}</th>" for n in ("#", "Topic", "Start", "End", "Summary", "Supporting Quote", "Status"))
-    return f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>{index["title"]}</title><style>{style}</style></head><body>{head}<table><thead><tr>{names}</tr></thead><tbody>\n' + "\n".join(rows) + "\n</tbody></table></body></html>\n"
+def export_documents(topics: DataFrame, index: DataFrame, folder: str, base: str = "topic_index", raw: DataFrame | None = None) -> None:
+    """Writes the files of all documents, each in the folder of its id, from the executors (see ``quire.sources.files``)."""
+    files = document_files(topics, index, base, raw)
+    write_files(files.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("name")).alias("path"), "content"), folder)
 
 
 def export_document(topics: DataFrame, index: DataFrame, doc_id: int, folder: str, base: str = "topic_index", raw: DataFrame | None = None) -> list[str]:
-    """Writes one document's JSON, Markdown and HTML (and raw candidates) under a base name; returns the paths."""
-    os.makedirs(folder, exist_ok=True)
-    one = topics.where(F.col("doc_id") == doc_id)
-    found = pruned(index.where(F.col("doc_id") == doc_id).first())
-    rows = lambda df: [r["row"] for r in df.orderBy("num").collect()]  # noqa: E731  one document's topics
-    md = rows(markdown_rows(one))
-    head = [f"# {found['title']}", f"**Deponent / Witness:** {found['witness'] or UNKNOWN}  ", f"**Date:** {found['date'] or UNKNOWN}  ", f"**Total Substantive Pages:** {found['total_pages']} (Total Lines: {found['total_lines']})  ", f"**Total Topics Identified:** {len(md)}  ", "", "---", "", *MARKDOWN_HEAD]
-    files = {f"{base}.json": json.dumps(found, indent=2), f"{base}.md": "\n".join([*head, *md]), f"{base}.html": _page(found, rows(html_rows(one)))}
-    if raw is not None:
-        candidates = numbered(raw.where(F.col("doc_id") == doc_id)).orderBy("candidate_id").select(*TOPIC_FIELDS).collect()
-        files[f"{base}_raw.json"] = json.dumps([r.asDict() for r in candidates], indent=2)
-    for name, text in files.items():
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(text)
-    return [os.path.join(folder, name) for name in files]
+    """Writes one document's files into a folder; returns the paths."""
+    one = lambda df: df.where(F.col("doc_id") == doc_id)
+    files = document_files(one(topics), one(index), base, None if raw is None else one(raw))
+    write_files(files.select(F.col("name").alias("path"), "content"), folder)
+    return [os.path.join(folder, f"{base}{end}") for end in (".json", ".md", ".html", *([] if raw is None else ["_raw.json"]))]
+
+
+def export_viewers(bundle: DataFrame, folder: str) -> None:
+    """Writes each document's viewer script, named by its id."""
+    write_files(bundle.select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), _script()), folder)
+
+
+def _script() -> Column:
+    return F.concat(F.lit("window.DEPOSITION_DATA = "), F.col("bundle"), F.lit(";\n")).alias("content")
 
 
 def write_viewer(bundle: DataFrame, doc_id: int, path: str) -> None:
-    text = bundle.where(F.col("doc_id") == doc_id).first()["bundle"]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"window.DEPOSITION_DATA = {text};\n")
+    folder, name = os.path.split(path)
+    write_files(bundle.where(F.col("doc_id") == doc_id).select(F.lit(name).alias("path"), _script()), folder)
 
 
 def evaluation_report(matrix: DataFrame, means: DataFrame, doc_id: int) -> str:

@@ -1,6 +1,7 @@
 """Chunks, cleaning, validation, merging, audit, evaluation and export on small cases."""
 
 import json
+import pathlib
 import random
 import re
 from collections import Counter
@@ -16,7 +17,7 @@ from quire.functions import text as T
 from quire.operators import audit, chunks, evaluate, export, layout, merge, validate
 from quire.plans import indexing
 from quire.schemas import LINES, TOPICS
-from quire.sources import transcripts
+from quire.sources import files, transcripts
 from quire.storage import Scratch
 
 
@@ -533,6 +534,36 @@ def test_export_files(spark, tmp_path):
     assert "Location accuracy: 100.0 %" in export.evaluation_report(matrix, evaluate.quality_means(matrix), 1)
 
 
+def test_files_of_all_documents(spark, tmp_path):
+    """A folder for each document, by the executors; what one document's call writes is the same."""
+    lines = queries._kept(indexing.lines_of_text(spark.read.parquet(f"{DATA}/documents.parquet")), "lines")
+    t = queries._kept(queries._topics(spark, DATA, lines), "topics")
+    index = queries._kept(export.topic_index(t, lines, audit.omission_report(lines, t)), "index")
+    export.export_documents(t, index, str(tmp_path / "all"), raw=t)
+    docs = {r.doc_id for r in index.select("doc_id").collect()}
+    with_topics = {r.doc_id for r in t.select("doc_id").distinct().collect()}
+    got = {str(p.relative_to(tmp_path / "all")) for p in (tmp_path / "all").rglob("*") if p.is_file()}
+    want = {f"{d}/topic_index{end}" for d in docs for end in (".json", ".md", ".html")} | {f"{d}/topic_index_raw.json" for d in with_topics}
+    assert len(docs) == 200 and got == want | {files.DONE} and (tmp_path / "all" / files.DONE).read_text() == str(len(want))
+    for d in (1, 7):
+        for path in export.export_document(t, index, d, str(tmp_path / "one"), raw=t):
+            assert pathlib.Path(path).read_text() == (tmp_path / "all" / str(d) / pathlib.Path(path).name).read_text()
+    found = json.loads((tmp_path / "all/1/topic_index.json").read_text())
+    assert [x["topic"] for x in found["topics"]] == [r.topic for r in evaluate.numbered(t.where("doc_id = 1")).orderBy("num").collect()]
+
+
+def test_a_failed_task_leaves_no_half_file(spark, tmp_path):
+    rows = spark.range(40).repartition(4, "id").selectExpr("concat('d', id, '/x.txt') as path", "if(id = 17, raise_error('lost'), repeat('y', 100000)) as content")
+    with pytest.raises(Exception, match="lost"):
+        files.write_files(rows, str(tmp_path / "out"))
+    left = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert all(p.stat().st_size == 100000 for p in left) and not list((tmp_path / "out").glob("_*"))
+    files.write_files(spark.createDataFrame([("a/b.txt", "é"), ("c", None)], "path string, content string"), str(tmp_path / "out"))
+    assert (tmp_path / "out/a/b.txt").read_text() == "é" and (tmp_path / "out/c").read_text() == "" and (tmp_path / "out" / files.DONE).read_text() == "2"
+    with pytest.raises(Exception, match="outside"):
+        files.write_files(spark.createDataFrame([("../b", "x")], "path string, content string"), str(tmp_path / "out"))
+
+
 def test_whole_plan_and_stand_in(spark):
     docs = spark.createDataFrame([(1, "\n".join(BASE)), (2, "one line")], "doc_id long, text string")
     lines = indexing.lines_of_text(docs)
