@@ -6,13 +6,15 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.lines import compact_text
 from quire.schemas import TOPICS
+from quire.storage import Scratch
 
 
 def chunk_lines(lines: DataFrame, pages_per_chunk: int = 12, overlap: int = 2) -> DataFrame:
@@ -74,6 +76,12 @@ def line_keywords(lines: DataFrame) -> DataFrame:
 #: Fixed value: the extractor's instructions.
 INSTRUCTIONS = "Return a JSON array of objects with topic, start_page, start_line, end_page, end_line, summary and supporting_quote, for the distinct topics of the testimony in order. Coordinates are those of the tags [P07:L12]; quotes are verbatim; short objections belong to the topic around them."
 
+#: The sentences and labels of a prompt.
+PROMPT_CONTEXT = "DEPOSITION CONTEXT:"
+PROMPT_LABELS = (("Witness/Deponent", "witness"), ("Case/Matter", "case_name"), ("Examining Attorney", "attorney"), ("Date", "date"))
+PROMPT_HEAD = "Analyze this deposition transcript segment (Pages %d to %d):"
+PROMPT_END = "Extract all chronological topic segments according to the specified JSON schema."
+
 
 def prompts(chunked: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_id, start_page, end_page, prompt) of each chunk; empty metadata has no line."""
@@ -83,10 +91,9 @@ def prompts(chunked: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     head = F.lit("")
     if metadata is not None:
         rows = rows.join(metadata, "doc_id", "left")
-        named = (("Witness/Deponent", "witness"), ("Case/Matter", "case_name"), ("Examining Attorney", "attorney"), ("Date", "date"))
-        parts = [F.when(F.col(c) != "", F.concat(F.lit(f"  {label}: "), F.col(c))) for label, c in named]
-        head = F.concat(F.concat_ws("\n", F.lit("DEPOSITION CONTEXT:"), *parts), F.lit("\n\n"))
-    body = F.concat(head, F.format_string("Analyze this deposition transcript segment (Pages %d to %d):\n\n", "start_page", "end_page"), F.coalesce("compact", F.lit("")), F.lit("\n\nExtract all chronological topic segments according to the specified JSON schema."))
+        parts = [F.when(F.col(c) != "", F.concat(F.lit(f"  {label}: "), F.col(c))) for label, c in PROMPT_LABELS]
+        head = F.concat(F.concat_ws("\n", F.lit(PROMPT_CONTEXT), *parts), F.lit("\n\n"))
+    body = F.concat(head, F.format_string(PROMPT_HEAD + "\n\n", "start_page", "end_page"), F.coalesce("compact", F.lit("")), F.lit("\n\n" + PROMPT_END))
     return rows.select("doc_id", "chunk_id", "start_page", "end_page", body.alias("prompt"))
 
 
@@ -151,6 +158,38 @@ def extractor_answers(prompted: DataFrame, extractor: Callable[[str], str] | Seq
     return prompted.mapInPandas(answered, schema)
 
 
+def prompt_key(prompt: Column) -> Column:
+    return F.sha2(prompt, 256)
+
+
+def known_answers(spark: SparkSession, table: str) -> DataFrame:
+    """(key, answer) of the prompts that were answered in earlier runs; of several answers to one, the least."""
+    try:
+        kept = spark.read.schema("key string, answer string").parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = spark.createDataFrame([], "key string, answer string")
+    return kept.groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def resumed_answers(scratch: Scratch, prompted: DataFrame, extractor: Callable[[str], str] | Sequence[Callable[[str], str]], table: str, attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """As ``extractor_answers``, but only prompts without an answer in ``table`` are asked, each once, and their answers are added to it.
+
+    The table (Parquet: the prompt's hash and the answer) outlives the run, so that one that failed asks for what is missing only, and
+    documents that repeat are asked for once. Failures aren't kept. New answers are written before this returns.
+    """
+    keyed = scratch.keep(prompted.withColumn("key", prompt_key(F.col("prompt"))), "prompts")
+    before = known_answers(scratch.spark, table)
+    asked = keyed.select("key", "prompt").dropDuplicates(["key"]).join(before.select("key"), "key", "left_anti")
+    made = scratch.keep(extractor_answers(asked, extractor, attempts, pause), "made")
+    made.where("error is null and answer is not null").select("key", "answer").write.mode("append").parquet(table)
+    both = before.select("key", "answer", F.lit(None).cast("string").alias("error")).union(made.select("key", "answer", "error"))
+    once = both.groupBy("key").agg(F.min("answer").alias("answer"), F.min("error").alias("error"))
+    error = F.when(F.col("answer").isNull(), F.col("error"))
+    return keyed.drop("prompt").join(once, "key", "left").drop("key").withColumn("error", error)
+
+
 def extract_candidates(prompted: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
     """Candidates by an extractor: prompt in, JSON text out. Chunks whose calls fail have no candidates; ``extractor_answers`` tells which."""
     return decode_candidates(extractor_answers(prompted, extractor))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import audit, chunks, lines, merge, validate
+from quire.operators import audit, chunks, layout, lines, merge, validate
 from quire.sources import transcripts
 from quire.storage import Scratch
 
@@ -27,6 +27,11 @@ class Indexed:
     topics: DataFrame
     report: DataFrame
     failures: DataFrame
+    scratch: Scratch
+
+    def close(self) -> None:
+        """Removes what was written for the run; its tables can't be read after that."""
+        self.scratch.clear()
 
 
 def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: int | None = None, max_pages: int | None = None, metadata: DataFrame | None = None) -> DataFrame:
@@ -49,9 +54,11 @@ def lines_of_text(docs: DataFrame) -> DataFrame:
     return grid.select("doc_id", "global_line_id", "page", "line", speaker.alias("speaker"), "text", F.lit(None).cast("string").alias("timestamp"), F.col("text").alias("raw_text"))
 
 
-def index_lines(canonical: DataFrame, extractor: Callable[[str], str] | None = None, metadata: DataFrame | None = None, pages_per_chunk: int = 12, overlap: int = 2, fuzzy: bool = True, similarity: float = 0.70, stand_in: bool = True, pause: float = 0.0) -> Indexed:
+def index_lines(canonical: DataFrame, extractor: Callable[[str], str] | None = None, metadata: DataFrame | None = None, pages_per_chunk: int = 12, overlap: int = 2, fuzzy: bool = True, similarity: float = 0.70, stand_in: bool = True, pause: float = 0.0, answers_table: str | None = None) -> Indexed:
     """All stages after parsing. Extraction sees the cleaned chunks, checks the lines as they are.
 
+    With ``answers_table``, a folder that outlives the run, only prompts that no earlier run got an answer to are asked.
+
     Without an extractor each block of lines is a candidate. With one, ``failures`` has the chunks for which it gave no answer, and
     ``pause`` is how many seconds it rests between calls; a document all of whose chunks failed is one topic over
     all its lines, if ``stand_in``. Lines, candidates, verdicts and topics are written once to shared storage, as later
@@ -63,19 +70,21 @@ def index_lines(canonical: DataFrame, extractor: Callable[[str], str] | None = N
     cleaned = chunks.clean_chunks(chunked)
     none = canonical.sparkSession.createDataFrame([], "doc_id long, chunk_id int, error string")
     if extractor:
-        answers = scratch.keep(chunks.extractor_answers(chunks.prompts(cleaned, metadata), extractor, pause=pause), "answers")
+        asked = chunks.prompts(cleaned, metadata)
+        answers = chunks.resumed_answers(scratch, asked, extractor, answers_table, pause=pause) if answers_table else chunks.extractor_answers(asked, extractor, pause=pause)
+        answers = scratch.keep(answers, "answers")
         failures = answers.where("error is not null").select("doc_id", "chunk_id", "error")
         candidates = chunks.decode_candidates(answers)
     else:
         failures, candidates = none, chunks.block_candidates(canonical)
     candidates = scratch.keep(candidates, "candidates")
-    validated = scratch.keep(validate.validate(candidates, canonical, fuzzy), "verdicts")
+    validated = scratch.keep(validate.validate(candidates, layout.shared(scratch, canonical), fuzzy), "verdicts")
     topics = merge.merge_topics(validated, similarity)
     if extractor and stand_in:
         lost = answers.groupBy("doc_id").agg(F.bool_and(F.col("error").isNotNull()).alias("lost")).where("lost").select("doc_id")
         topics = topics.unionByName(structural_topic(canonical.join(lost, "doc_id", "left_semi")))
     topics = scratch.keep(topics, "topics")
-    return Indexed(canonical, chunked, cleaned, candidates, validated, topics, audit.omission_report(canonical, topics), failures)
+    return Indexed(canonical, chunked, cleaned, candidates, validated, topics, audit.omission_report(canonical, topics), failures, scratch)
 
 
 def index_pages(pages: DataFrame, extractor: Callable[[str], str] | None = None, max_pages: int | None = None, **options) -> Indexed:

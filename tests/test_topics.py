@@ -4,6 +4,7 @@ import json
 import pathlib
 import random
 import re
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -564,6 +565,37 @@ def test_a_failed_task_leaves_no_half_file(spark, tmp_path):
         files.write_files(spark.createDataFrame([("../b", "x")], "path string, content string"), str(tmp_path / "out"))
 
 
+def test_a_second_run_asks_only_what_failed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "\n".join(BASE * 3)), (2, "one line"), (3, "one line")], "doc_id long, text string")
+    lines, calls, table = indexing.lines_of_text(docs), tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+
+    def ask(fails):
+        def call(prompt):
+            (calls / f"{hash(prompt)}-{time.time_ns()}").write_text("")
+            if fails and "(Pages 1 to 1)" in prompt:
+                raise ValueError("down")
+            return json.dumps([{"topic": prompt[:20], "summary": str(len(prompt))}])
+
+        return call
+
+    def run(fails, **more):
+        for p in calls.iterdir():
+            p.unlink()
+        out = indexing.index_lines(lines, ask(fails), pages_per_chunk=2, overlap=0, **more)
+        rows = sorted((r.doc_id, r.candidate_id, r.summary) for r in out.candidates.collect())
+        failed = sorted(r.doc_id for r in out.failures.collect())
+        out.close()
+        return rows, failed, len(list(calls.iterdir()))
+
+    first, failed, n = run(True, answers_table=table)
+    assert (len(first), failed, n) == (3, [2, 3], 3 + 3)  # the prompt of both short documents is one, tried three times
+    second, failed, n = run(False, answers_table=table)
+    assert (len(second), failed, n) == (5, [], 1) and set(first) < set(second)
+    assert run(False, answers_table=table) == (second, [], 0)
+    assert run(False)[0] == second
+
+
 def test_whole_plan_and_stand_in(spark):
     docs = spark.createDataFrame([(1, "\n".join(BASE)), (2, "one line")], "doc_id long, text string")
     lines = indexing.lines_of_text(docs)
