@@ -71,7 +71,7 @@ class Model:
         code = codewords(len(names))
         if len(names) < 2:
             return cls(names, code, np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1]))
-        x = x.astype(np.float32) * 100
+        x = np.multiply(x, 100, dtype=np.float32)
         which = np.array([names.index(v) for v in langs])
         share = np.bincount(which, minlength=len(names))
         y, weight = code[which].astype(np.float32), (len(which) / len(names) / share[which]).astype(np.float32)[:, None]
@@ -147,8 +147,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(batch.num_rows):
             share = features(text[lo].as_py() or "")
             at = np.flatnonzero(share)
-            one = np.array([len(at)])
-            yield textbuf.batch(*(c.slice(lo, 1) for c in given), textbuf.lists(at.astype(np.int16), one), textbuf.lists(share[at].astype(np.float32), one))
+            yield textbuf.batch(*(c.slice(lo, 1) for c in given), textbuf.pack_rows(at.astype(np.int16)[None]), textbuf.pack_rows(share[at].astype(np.float32)[None]))
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000) -> Model:
@@ -158,11 +157,11 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = rows.select("h").distinct().orderBy("h").limit(sample)
-    picked = textbuf.with_columns(rows.join(F.broadcast(ids), "h", "left_semi"), "text", _shares, {"at": "array<short>", "share": "array<float>"}).select("h", "lang", "at", "share").limit(sample).collect()
-    picked.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["share"]))
+    picked = textbuf.with_columns(rows.join(F.broadcast(ids), "h", "left_semi"), "text", _shares, {"at": "binary", "share": "binary"}).select("h", "lang", "at", "share").limit(sample).collect()
+    picked.sort(key=lambda r: (r["h"], r["lang"], bytes(r["at"]), bytes(r["share"])))
     x = np.zeros((len(picked), SIZE), np.float32)
-    for row, r in zip(x, picked, strict=True):
-        row[r["at"]] = r["share"]
+    for row, r in zip(x, picked, strict=True):  # bytes and no lists of numbers, which take ten times the memory
+        row[np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["share"], np.float32)
     return Model.fit(x, [r["lang"] for r in picked])
 
 
