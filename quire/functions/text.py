@@ -73,29 +73,35 @@ def timestamp_of(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, STAMP, 1), F.lit(""))
 
 
-def without_timestamp(content: Column) -> Column:
-    return F.when(timestamp_of(content).isNotNull(), stripped(F.regexp_replace(content, STAMP, ""))).otherwise(stripped(content))
+def without_timestamp(content: Column, stamp: Column) -> Column:
+    return F.when(stamp.isNotNull(), stripped(F.regexp_replace(content, STAMP, ""))).otherwise(stripped(content))
 
 
-def speaker_of(content: Column, attorney: Column, witness: Column) -> Column:
-    """The speaker that a line names at its start, in a standard form, or null.
+# \b for letters of any script, as a one-letter tag before an accented letter is none
+_NAMED = rf"(?i)^(?:BY\s+)?({SPEAKERS}|[QA](?![\p{{L}}\p{{N}}_]))[\.:\s]*(.*)"
 
-    A continuation that begins with the article "a" is taken for an answer, as the letter is. A null name isn't shown.
+
+def tag_of(content: Column) -> Column:
+    """The name or letter with which a line begins, in capitals, or an empty text.
+
+    A continuation that begins with the article "a" is taken for an answer, as the letter is.
     """
-    # \b for letters of any script, as a one-letter tag before an accented letter is none
-    named = F.upper(F.regexp_extract(content, rf"(?i)^(?:BY\s+)?({SPEAKERS}|[QA](?![\p{{L}}\p{{N}}_]))[\.:\s]*(.*)", 1))
+    return F.upper(F.regexp_extract(content, _NAMED, 1))
+
+
+def speaker_named(tag: Column, attorney: Column, witness: Column) -> Column:
+    """The speaker of a tag in a standard form, or null if it is empty. A null name isn't shown."""
     return (
-        F.when(named == "", F.lit(None))
-        .when(named == "Q", F.concat(F.lit("QUESTION"), F.coalesce(F.concat(F.lit(" ("), attorney, F.lit(")")), F.lit(""))))
-        .when(named == "A", F.concat(F.lit("ANSWER"), F.coalesce(F.concat(F.lit(" ("), witness, F.lit(")")), F.lit(""))))
-        .otherwise(named)
+        F.when(tag == "", F.lit(None))
+        .when(tag == "Q", F.concat(F.lit("QUESTION"), F.coalesce(F.concat(F.lit(" ("), attorney, F.lit(")")), F.lit(""))))
+        .when(tag == "A", F.concat(F.lit("ANSWER"), F.coalesce(F.concat(F.lit(" ("), witness, F.lit(")")), F.lit(""))))
+        .otherwise(tag)
     )
 
 
-def spoken(content: Column) -> Column:
-    """What follows the speaker's name; the whole content if it names none."""
-    pattern = rf"(?i)^(?:BY\s+)?({SPEAKERS}|[QA](?![\p{{L}}\p{{N}}_]))[\.:\s]*(.*)"
-    return F.when(content.rlike(pattern), stripped(F.regexp_extract(content, pattern, 2))).otherwise(content)
+def spoken(content: Column, tag: Column) -> Column:
+    """What follows the speaker's name; the whole content if its tag is empty."""
+    return F.when(tag != "", stripped(F.regexp_extract(content, _NAMED, 2))).otherwise(content)
 
 
 def short_witness(name: Column) -> Column:

@@ -31,15 +31,18 @@ def parse_cells(cells: DataFrame, attorney: Column | str | None = None, witness:
     ``attorney`` and ``witness`` are short names in capitals, or columns of ``cells``; where they are null, questions and answers name nobody.
     """
     attorney, witness = (c if isinstance(c, Column) else F.lit(c).cast("string") for c in (attorney, witness))
-    plain = T.without_timestamp(F.col("content"))
-    rows = cells.select(
+    # one step each, so that no pattern is tried twice on a line
+    rows = cells.select("doc_id", "page_idx", "page", "line", "content", attorney.alias("attorney"), witness.alias("witness"), T.timestamp_of(F.col("content")).alias("timestamp"))
+    rows = rows.withColumn("plain", T.without_timestamp(F.col("content"), F.col("timestamp")))
+    rows = rows.withColumn("tag", T.tag_of(F.col("plain")))
+    rows = rows.select(
         "doc_id",
         F.row_number().over(W.partitionBy("doc_id").orderBy("page_idx", "line")).cast("long").alias("global_line_id"),
         "page",
         "line",
-        T.speaker_of(plain, attorney, witness).alias("new_speaker"),
-        T.spoken(plain).alias("text"),
-        T.timestamp_of(F.col("content")).alias("timestamp"),
+        T.speaker_named(F.col("tag"), F.col("attorney"), F.col("witness")).alias("new_speaker"),
+        T.spoken(F.col("plain"), F.col("tag")).alias("text"),
+        "timestamp",
         F.col("content").alias("raw_text"),
     )
     speaker = continued_speaker(F.col("new_speaker"), F.col("text"))

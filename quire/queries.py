@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -307,11 +308,12 @@ def keywords(spark, sf_dir):
     return chunks.line_keywords(_grid(spark, sf_dir)).select("doc_id", "global_line_id", F.array_join("keywords", " ").alias("keywords"))
 
 
-@query(_with(GRID, f"""k AS (SELECT doc_id, arg_min(text, global_line_id) AS a, arg_max(text, global_line_id) AS b FROM grid GROUP BY doc_id), s AS (SELECT doc_id, list_distinct({_kw("a")}) AS x, list_distinct({_kw("b")}) AS y FROM k)""", select="SELECT doc_id, CASE WHEN least(len(x), len(y)) > 0 THEN CAST(len(list_intersect(x, y)) AS DOUBLE) / least(len(x), len(y)) ELSE 0.0 END AS overlap FROM s"))
+@query(_with(GRID, f"""k AS (SELECT doc_id, global_line_id, list_distinct({_kw("text")}) AS x, list_distinct({_kw("coalesce(lead(text) OVER (PARTITION BY doc_id ORDER BY global_line_id), '')")}) AS y FROM grid)""", select="SELECT doc_id, global_line_id, CASE WHEN least(len(x), len(y)) > 0 THEN CAST(len(list_intersect(x, y)) AS DOUBLE) / least(len(x), len(y)) ELSE 0.0 END AS overlap FROM k"))
 def keyword_overlap(spark, sf_dir):
-    g = F.col("global_line_id")
-    ends = _grid(spark, sf_dir).groupBy("doc_id").agg(F.min_by("text", g).alias("a"), F.max_by("text", g).alias("b"))
-    return ends.select("doc_id", T.keyword_overlap(T.keywords(F.col("a")), T.keywords(F.col("b"))).alias("overlap"))
+    """Of each line and the next."""
+    after = F.lead("text").over(W.partitionBy("doc_id").orderBy("global_line_id"))
+    rows = _grid(spark, sf_dir).withColumn("after", F.coalesce(after, F.lit("")))
+    return rows.select("doc_id", "global_line_id", T.keyword_overlap(T.keywords(F.col("text")), T.keywords(F.col("after"))).alias("overlap"))
 
 
 _SAID = "said AS (SELECT *, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY global_line_id) = 1 THEN 'EXAMINATION' ELSE '' END AS speaker FROM grid)"

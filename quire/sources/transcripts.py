@@ -53,8 +53,9 @@ def grid_of_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with an id, one for each: of several, one with the smallest text (nulls last)."""
-    order = W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return docs.where(F.col(id_col).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    order = W.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def grid_of_turns(turns: DataFrame) -> DataFrame:
