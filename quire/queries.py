@@ -714,6 +714,14 @@ _PAGE_LINES = r"""bound AS (
 )"""
 
 
+@query(_with(GRID, PAGES, _PAGE_LINES.replace("), scanned AS (", "), capped AS (SELECT doc_id, lo, least(hi, lo + 2) AS hi FROM bound\n), scanned AS (").replace("JOIN bound USING", "JOIN capped USING"), select="SELECT doc_id, page, count(*) AS n_lines, count(CASE WHEN content <> '' THEN 1 END) AS n_filled FROM dense GROUP BY doc_id, page"))
+def page_cap(spark, sf_dir):
+    """Three pages of each document at most, from where its testimony begins."""
+    rows = indexing.lines_of_pages(_pages(spark, sf_dir), max_pages=3)
+    return rows.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.count_if(F.col("raw_text") != "").alias("n_filled"))
+
+
+
 @query(_with(GRID, PAGES, _METADATA, _PAGE_LINES, rf"""tagged AS (
   SELECT n.doc_id, gid, page, line, stamp,
     CASE WHEN regexp_matches(p, '{_SPEAKER}') THEN upper(regexp_extract(p, '{_SPEAKER}', 1)) WHEN regexp_matches(p, '{_LETTER}') THEN

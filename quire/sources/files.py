@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 FORMAT, DONE = "quire_files", "_SUCCESS"
 
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
@@ -34,7 +34,7 @@ class FilesWriter(DataSourceWriter):
         self.folder, self.staging = folder.rstrip("/"), f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         staged, made, n = posixpath.join(root, self.staging, uuid.uuid4().hex), set(), 0
         system.create_dir(staged, recursive=True)
         for row in iterator:
@@ -53,7 +53,7 @@ class FilesWriter(DataSourceWriter):
         return Written(n)
 
     def _clear(self) -> tuple[fs.FileSystem, str]:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         staging = posixpath.join(root, self.staging)
         if system.get_file_info(staging).type != fs.FileType.NotFound:
             system.delete_dir(staging)

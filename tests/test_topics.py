@@ -18,7 +18,7 @@ from quire.functions import text as T
 from quire.operators import audit, chunks, evaluate, export, layout, merge, validate
 from quire.plans import indexing
 from quire.schemas import LINES, TOPICS
-from quire.sources import files, transcripts
+from quire.sources import files, paged, transcripts
 from quire.storage import Scratch
 
 
@@ -553,6 +553,37 @@ def test_files_of_all_documents(spark, tmp_path):
     assert [x["topic"] for x in found["topics"]] == [r.topic for r in evaluate.numbered(t.where("doc_id = 1")).orderBy("num").collect()]
 
 
+def test_only_wanted_pages_are_read(spark, tmp_path):
+    taken = tmp_path / "taken"
+    for d in ("in/sub", "taken"):
+        (tmp_path / d).mkdir(parents=True)
+    for name, n in (("in/a.bin", 40), ("in/sub/b.bin", 5), ("in/empty.bin", 0), ("in/_skipped", 9)):
+        (tmp_path / name).write_bytes(b"|".join(b"page %d" % k for k in range(n)))
+
+    class Opened(list):
+        def __getitem__(self, k):
+            (taken / f"{len(self)}-{k}").write_text("")
+            return super().__getitem__(k)
+
+    def open_pages(content):
+        return Opened((t, [t, "1\nx"]) for t in content.decode().split("|") if t)
+
+    def read(condition):
+        for p in taken.iterdir():
+            p.unlink()
+        rows = paged.page_files(spark, str(tmp_path / "in"), open_pages).where(condition).collect()
+        assert all(r.text == f"page {r.page_idx}" and r.blocks == [r.text, "1\nx"] for r in rows)
+        return sorted((pathlib.Path(r.path).name, r.page_idx) for r in rows), len(list(taken.iterdir()))
+
+    assert read("page_idx >= 3 and page_idx < 6") == ([("a.bin", 3), ("a.bin", 4), ("a.bin", 5), ("b.bin", 3), ("b.bin", 4)], 5)
+    assert read("page_idx in (0, 39)") == ([("a.bin", 0), ("a.bin", 39), ("b.bin", 0)], 3)
+    assert read("page_idx = 4 and text like '%4'") == ([("a.bin", 4), ("b.bin", 4)], 2)
+    assert read("page_idx > 38 or text = 'page 1'")[0] == [("a.bin", 1), ("a.bin", 39), ("b.bin", 1)]
+    assert len(read("true")[0]) == 45
+    with pytest.raises(Exception, match="FileNotFoundError|nowhere"):
+        paged.page_files(spark, str(tmp_path / "nowhere"), open_pages).count()
+
+
 def test_a_failed_task_leaves_no_half_file(spark, tmp_path):
     rows = spark.range(40).repartition(4, "id").selectExpr("concat('d', id, '/x.txt') as path", "if(id = 17, raise_error('lost'), repeat('y', 100000)) as content")
     with pytest.raises(Exception, match="lost"):
