@@ -17,11 +17,38 @@ def search(topics: DataFrame, query: str) -> DataFrame:
     """Topics whose title, summary or quote holds the query, whatever the case; a blank query finds all."""
     q = query.lower().strip()
     held = F.lit(not q)
-    for c in ("topic", "summary", "supporting_quote"):
+    for c in SEARCHED:
         held = held | F.lower(c).contains(q)
     return topics.where(held)
 
 
+SEARCHED = ("topic", "summary", "supporting_quote")
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text in lower case."""
+    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda k: F.substr(text, k, F.lit(GRAM))))
+
+
+def search_index(scratch: Scratch, topics: DataFrame) -> DataFrame:
+    """(gram, doc_id, candidate_id) of the searched fields of ``topics``, written in buckets of the gram and sorted by it."""
+    grams = F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(F.lower(c)), F.array().cast("array<string>")) for c in SEARCHED))))
+    return scratch.keep_bucketed(topics.select("doc_id", "candidate_id", F.explode(grams).alias("gram")), ["gram"], "grams")
+
+
+def search_indexed(topics: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """``search`` by an index: of topics that have all of the query's runs of three letters, those that hold it. A query
+    of fewer letters is looked for in all topics. Ids of topics have to be unique and not null."""
+    q = query.lower().strip()
+    wanted = sorted({q[k : k + GRAM] for k in range(len(q) - GRAM + 1)})
+    if not wanted:
+        return search(topics, query)
+    held = index.where(F.col("gram").isin(wanted)).groupBy("doc_id", "candidate_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
+    return search(topics.join(held.drop("n"), ["doc_id", "candidate_id"], "left_semi"), query)
+
+
 def fully_verified() -> Column:
     return (F.col("confidence") == 1) & ~F.col("needs_human_review")
 

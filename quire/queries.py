@@ -380,6 +380,13 @@ def topic_search(spark, sf_dir):
     return evaluate.search(_topics(spark, sf_dir), " Tion ").select("doc_id", "candidate_id", "topic")
 
 
+@query(_with(GRID, TOPICS, select="SELECT doc_id, candidate_id, topic FROM topics WHERE contains(lower(topic), 'ation') OR contains(lower(summary), 'ation') OR contains(lower(supporting_quote), 'ation')"))
+def topic_search_indexed(spark, sf_dir):
+    topics = _kept(_topics(spark, sf_dir), "topics")
+    index = evaluate.search_index(Scratch(spark, "query"), topics)
+    return evaluate.search_indexed(topics, index, " Ation ").select("doc_id", "candidate_id", "topic")
+
+
 @query(_with("d AS (SELECT doc_id, " + _norm("text") + " AS n FROM documents)", "b AS (SELECT item_id, " + _norm("text") + " AS q FROM benchmark)", select="SELECT doc_id, item_id FROM d JOIN b ON contains(n, q) WHERE length(q) >= 5"))
 def quoted_items(spark, sf_dir):
     """Which documents hold which benchmark item, word for word."""

@@ -648,6 +648,47 @@ def test_upload_stream(spark, tmp_path):
     assert sorted(r.total_lines for r in seen) == [1, 50]
 
 
+def test_a_ledger_passes_over_what_was_written(spark, tmp_path):
+    """Files sent twice, a batch that runs again, and one that fails before its entry."""
+    from quire.streaming import uploads
+
+    ledger, rows = str(tmp_path / "ledger"), [("p1", "same"), ("p2", "same"), ("p3", "other"), ("p4", None)]
+    batch = spark.createDataFrame(rows, "path string, text string")
+    wrote = []
+    each = uploads._each(spark, ledger, "text", lambda b, n: wrote.append((n, sorted(map(tuple, b.collect()), key=str))))
+    each(batch, 0)
+    each(batch, 0)
+    each(batch.union(spark.createDataFrame([("p5", "new"), ("p6", "other")], batch.schema)), 1)
+    assert wrote == [(0, [("p1", "same"), ("p3", "other"), ("p4", None)]), (1, [("p5", "new")])]
+
+    def fails(b, n):
+        raise OSError("full")
+
+    late = spark.createDataFrame([("p7", "late")], batch.schema)
+    with pytest.raises(OSError, match="full"):
+        uploads._each(spark, ledger, "text", fails)(late, 2)
+    each(late, 2)
+    assert wrote[-1] == (2, [("p7", "late")]) and len(wrote) == 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one\ntwo")
+    (tmp_path / "in/b.txt").write_text("one\ntwo")
+    for ck in ("c1", "c2"):  # a new checkpoint sends all files again
+        seen = []
+        q = uploads.index_uploads(uploads.read_uploads(spark, str(tmp_path / "in")), str(tmp_path / ck), lambda t, n: seen.extend(t.report.collect()), ledger=ledger)  # noqa: B023
+        q.awaitTermination()
+        assert [r.total_lines for r in seen] == ([2] if ck == "c1" else [])
+
+
+def test_search_by_postings_is_the_search(spark):
+    topics = queries._kept(queries._topics(spark, DATA), "topics")
+    index = evaluate.search_index(Scratch(spark, "test"), topics)
+    for q in ("tion", " ATTORNEY obj", "é", "", "ab", "no such words here", "lines 1 to", "aaa"):
+        found = evaluate.search_indexed(topics, index, q)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, evaluate.search(topics, q).collect()))
+        reads = "gram#" in found._jdf.queryExecution().executedPlan().toString()
+        assert reads == (len(q.strip()) >= 3)
+
+
 def test_binary_uploads(spark, tmp_path):
     from quire.streaming import uploads
 
