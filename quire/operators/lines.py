@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.schemas import LINES_PER_PAGE
+from quire.storage import Scratch
 
 #: What a document is searched for.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -25,28 +26,51 @@ def continued_speaker(new_speaker: Column, text: Column, by: str = "doc_id", ord
     return F.coalesce(F.last(new_speaker, ignorenulls=True).over(w), F.when(F.max(text != "").over(w), F.lit("EXAMINATION")), F.lit(""))
 
 
-def parse_cells(cells: DataFrame, attorney: Column | str | None = None, witness: Column | str | None = None) -> DataFrame:
+def scanned_in_ranges(scratch: Scratch, rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` (doc_id, new_speaker, text and the columns of ``order``) with ``global_line_id`` and ``speaker``, as windows over whole
+    documents give them, but for documents of any size: no task has more than a range of one.
+
+    Rows are written in ranges of (doc_id, order). In each range a document's lines are numbered and speakers carried on by
+    themselves; a row for each range and document then says how many lines, which last speaker and whether a text came
+    before it, and that is joined back.
+    """
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.keep(rows.repartitionByRange(n, "doc_id", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    by = W.partitionBy("range", "doc_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = ranged.withColumns({"nth": F.count(F.lit(1)).over(by), "named": F.last("new_speaker", ignorenulls=True).over(by), "said": F.coalesce(F.max(F.col("text") != "").over(by), F.lit(False))})
+    place = F.struct(*order)
+    ends = ranged.groupBy("range", "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("new_speaker", F.when(F.col("new_speaker").isNotNull(), place)).alias("last"), F.coalesce(F.bool_or(F.col("text") != ""), F.lit(False)).alias("any"),
+    )
+    before = W.partitionBy("doc_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(
+        F.col("range").alias("r"), F.col("doc_id").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
+        F.last("last", ignorenulls=True).over(before).alias("named_before"), F.coalesce(F.max("any").over(before), F.lit(False)).alias("said_before"),
+    )
+    both = here.join(ends, (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    speaker = F.coalesce("named", "named_before", F.when(F.col("said") | F.col("said_before"), F.lit("EXAMINATION")), F.lit(""))
+    return both.select(*rows.columns, (F.col("nth") + F.col("lines_before")).cast("long").alias("global_line_id"), speaker.alias("speaker"))
+
+
+def parse_cells(cells: DataFrame, attorney: Column | str | None = None, witness: Column | str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Canonical lines of cells (doc_id, page_idx, page, line, content), numbered in file order.
 
     ``attorney`` and ``witness`` are short names in capitals, or columns of ``cells``; where they are null, questions and answers name nobody.
+    With ``scratch``, documents that are too large for a task are scanned in ranges (see ``scanned_in_ranges``).
     """
     attorney, witness = (c if isinstance(c, Column) else F.lit(c).cast("string") for c in (attorney, witness))
     # one step each, so that no pattern is tried twice on a line
     rows = cells.select("doc_id", "page_idx", "page", "line", "content", attorney.alias("attorney"), witness.alias("witness"), T.timestamp_of(F.col("content")).alias("timestamp"))
     rows = rows.withColumn("plain", T.without_timestamp(F.col("content"), F.col("timestamp")))
     rows = rows.withColumn("tag", T.tag_of(F.col("plain")))
-    rows = rows.select(
-        "doc_id",
-        F.row_number().over(W.partitionBy("doc_id").orderBy("page_idx", "line")).cast("long").alias("global_line_id"),
-        "page",
-        "line",
-        T.speaker_named(F.col("tag"), F.col("attorney"), F.col("witness")).alias("new_speaker"),
-        T.spoken(F.col("plain"), F.col("tag")).alias("text"),
-        "timestamp",
-        F.col("content").alias("raw_text"),
-    )
-    speaker = continued_speaker(F.col("new_speaker"), F.col("text"))
-    return rows.select("doc_id", "global_line_id", "page", "line", speaker.alias("speaker"), "text", "timestamp", "raw_text")
+    named = T.speaker_named(F.col("tag"), F.col("attorney"), F.col("witness"))
+    rows = rows.select("doc_id", "page_idx", "page", "line", named.alias("new_speaker"), T.spoken(F.col("plain"), F.col("tag")).alias("text"), "timestamp", F.col("content").alias("raw_text"))
+    if scratch:
+        rows = scanned_in_ranges(scratch, rows, ["page_idx", "line"])
+    else:
+        number = F.row_number().over(W.partitionBy("doc_id").orderBy("page_idx", "line")).cast("long")
+        rows = rows.withColumn("global_line_id", number).withColumn("speaker", continued_speaker(F.col("new_speaker"), F.col("text")))
+    return rows.select("doc_id", "global_line_id", "page", "line", "speaker", "text", "timestamp", "raw_text")
 
 
 def _found(text: Column, *patterns: str) -> Column:

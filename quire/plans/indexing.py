@@ -34,8 +34,9 @@ class Indexed:
         self.scratch.clear()
 
 
-def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: int | None = None, max_pages: int | None = None, metadata: DataFrame | None = None) -> DataFrame:
-    """Canonical lines of page texts and blocks; the range of pages is looked for in each document unless given."""
+def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: int | None = None, max_pages: int | None = None, metadata: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Canonical lines of page texts and blocks; the range of pages is looked for in each document unless given. ``scratch`` is as in
+    ``operators.lines.parse_cells``."""
     about = metadata if metadata is not None else lines.document_metadata(pages)
     names = about.select("doc_id", F.nullif(T.short_witness(F.col("witness")), F.lit("")).alias("witness"), F.nullif(T.short_attorney(F.col("attorney")), F.lit("")).alias("attorney"))
     bounds = lines.testimony_bounds(pages)
@@ -44,7 +45,7 @@ def lines_of_pages(pages: DataFrame, start_page: int | None = None, end_page: in
         bounds = bounds.withColumn("hi", F.least("hi", F.col("lo") + max_pages - 1))
     seen = transcripts.scan_pages(pages.join(bounds, "doc_id"), F.col("lo"), F.col("hi"))
     cells = transcripts.densify(seen, transcripts.block_lines(seen)).join(names, "doc_id")
-    return lines.parse_cells(cells, F.col("attorney"), F.col("witness"))
+    return lines.parse_cells(cells, F.col("attorney"), F.col("witness"), scratch)
 
 
 def lines_of_text(docs: DataFrame) -> DataFrame:

@@ -193,6 +193,12 @@ def line_parse(spark, sf_dir):
     return lines.parse_cells(_cells(spark, sf_dir), "LEE", "DOE").select("doc_id", "global_line_id", "speaker", "text", "timestamp")
 
 
+@query(_with(_TURNS, _PARSE, select="SELECT doc_id, gid AS global_line_id, coalesce(last_value(new_speaker IGNORE NULLS) OVER w, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER w = 1 THEN 'EXAMINATION' END, '') AS speaker, text, timestamp FROM parsed WINDOW w AS (PARTITION BY doc_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+def line_parse_ranges(spark, sf_dir):
+    """As ``line_parse``, in ranges that cut documents."""
+    return lines.parse_cells(_cells(spark, sf_dir), "LEE", "DOE", Scratch(spark, "query")).select("doc_id", "global_line_id", "speaker", "text", "timestamp")
+
+
 @query(_with(_TURNS, select="SELECT conv_id AS doc_id, gid AS global_line_id, coalesce(last_value(CASE WHEN i = 1 AND role <> 'system' THEN upper(role) END IGNORE NULLS) OVER w, CASE WHEN max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER w = 1 THEN 'EXAMINATION' END, '') AS speaker FROM turn_lines WINDOW w AS (PARTITION BY conv_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def speaker_fill(spark, sf_dir):
     turns = transcripts.grid_of_turns(_table(spark, sf_dir, "conversations"))

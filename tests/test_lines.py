@@ -6,6 +6,7 @@ from quire.functions import text as T
 from quire.operators import lines
 from quire.plans import indexing
 from quire.sources import transcripts
+from quire.storage import Scratch
 
 PAGES = "doc_id long, page_idx int, text string, blocks array<string>"
 
@@ -90,3 +91,18 @@ def test_pdf_pages_by_any_reader(spark, tmp_path):
     files = transcripts.read_binary(spark, str(tmp_path))
     got = transcripts.pdf_pages(files, lambda b: [(p, [p, p]) for p in b.decode().split("|")]).orderBy("page_idx").collect()
     assert [(r.page_idx, r.text, r.blocks) for r in got] == [(0, "one", ["one", "one"]), (1, "two", ["two", "two"])]
+
+
+def test_a_document_over_many_ranges_is_numbered_and_carried_on(spark):
+    """One huge document beside small ones and one without an id: ranges cut it, and lines and speakers go on over the cuts."""
+    n = 200000
+    big = spark.range(n).selectExpr("5L as doc_id", "cast(id div 25 as int) as page_idx", "cast(id % 25 + 1 as int) as line", "case when id < 70000 then '' when id % 60011 = 3 then concat('MR. ', char(65 + id % 26), ': hello') else 'words' end as content")
+    small = spark.createDataFrame([(d, 0, k, c) for d in (1, 2, None) for k, c in enumerate(["", "x", "Q. why?", "so"], 1)], "doc_id long, page_idx int, line int, content string")
+    cells = big.union(small).withColumn("page", F.col("page_idx") + 1)
+    scratch = Scratch(spark, "test")
+    got, want = scratch.keep(lines.parse_cells(cells, "LEE", "DOE", scratch), "got"), lines.parse_cells(cells, "LEE", "DOE")
+    assert got.columns == want.columns and got.count() == n + 12
+    assert got.exceptAll(want).count() == 0
+    assert got.where("doc_id = 5").select("speaker").distinct().count() == 4
+    ranges = spark.read.parquet(next(iter(scratch.paths.values()))) if scratch.paths else None
+    assert ranges is not None and ranges.where("doc_id = 5").select("range").distinct().count() > 1
