@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 CAPACITIES = (1024, 2048, 4096, 8192)
 ATTENTION, FIXED = 32768.0, 16.0
+#: What ends a document in a sequence of bytes; no UTF-8 text has it.
+END = b"\xff"
 PACKED = "doc_id long, piece int, start long, length long, bin_id string, capacity long, offset long, bin_used long"
 
 
@@ -132,3 +134,19 @@ def pack_documents(docs: DataFrame, length, id_col: str = "doc_id", capacities:
     pieces = alike.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "k"), F.lit(groups)))
     pieces = pieces.select("doc_id", "piece", "start", "length", "group")
     return pieces.groupBy("group").applyInPandas(_packed(capacities), PACKED)
+
+
+def sequences(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The training sequences of ``packed`` (see ``pack_documents``, with a text's bytes and one mark as its length): bin_id, capacity, used, tokens
+    (the bytes of its pieces in order, an ``END`` byte after each document), and doc_ids and starts, one of each piece.
+
+    Ids of ``docs`` have to be unique; the places of pieces without an id, whose text can't be looked up, are filled with zeros. A
+    sequence has no more than the largest capacity, so it is put together in one row.
+    """
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.concat(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"), F.lit(END)).alias("bytes"))
+    own = F.substring(F.col("bytes"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    own = F.coalesce(own, F.encode(F.repeat(F.lit("\0"), F.col("length").cast("int")), "UTF-8"))
+    rows = packed.join(whole, "doc_id", "left").select("bin_id", "capacity", "bin_used", F.struct("offset", "doc_id", own.alias("own")).alias("p"))
+    bins = rows.groupBy("bin_id").agg(F.any_value("capacity").alias("capacity"), F.any_value("bin_used").alias("used"), F.array_sort(F.collect_list("p")).alias("p"))
+    tokens = F.reduce("p", F.lit(b""), lambda done, p: F.concat(done, p["own"]))
+    return bins.select("bin_id", "capacity", "used", tokens.alias("tokens"), F.transform("p", lambda p: p["doc_id"]).alias("doc_ids"), F.transform("p", lambda p: p["offset"]).alias("starts"))

@@ -476,3 +476,39 @@ def test_packing_is_near_the_least_cost():
         *_, size, _ = packing.pack(np.array(lengths, np.int64))
         ratios.append(sum(map(packing.cost, size)) / least_cost(lengths, packing.CAPACITIES))
     assert max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.02
+
+
+def test_sequences_hold_the_texts(spark):
+    rows = [(k, t) for k, t in enumerate([*ODD, "é" * 9000, "x" * 8191, "x" * 8192])] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack_documents(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    got = packing.sequences(packed, docs).collect()
+    found = {}
+    for r in got:
+        tokens = bytes(r.tokens)
+        assert len(tokens) == r.used <= r.capacity
+        for k, (d, at) in enumerate(zip(r.doc_ids, r.starts, strict=True)):
+            found.setdefault(d, []).append(tokens[at : r.starts[k + 1] if k + 1 < len(r.starts) else None])
+    assert found.pop(None) == [bytes(6)]
+    for d, t in rows[:-1]:
+        parts = found[d]
+        assert sorted(map(len, parts), reverse=True)[:-1] == [8192] * (len(parts) - 1)
+        assert sum(map(len, parts)) == len((t or "").encode()) + 1 and b"".join(sorted(parts, key=lambda x: x.endswith(packing.END))) == (t or "").encode() + packing.END
+
+
+@pytest.mark.parametrize("name", ["op6_token_counts", "op7_license_scan", "op9_byte_bpe", "op11_source_mixing", "op12_hard_negatives", "op13_spelling_variants", "spotsigs_classes", "pipeline"])
+def test_queries_on_empty_tables(spark, tmp_path, name):
+    import __spark_entry__
+
+    for table in ("documents", "labels", "embeddings", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    df = __spark_entry__.queries()[name](spark, str(tmp_path))
+    assert df.collect() == [] and df.columns
+
+
+def test_scores_of_no_documents(spark):
+    docs = spark.createDataFrame([(k, "good words here", "en") for k in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    none = docs.limit(0)
+    assert quality.score_quality(none, quality.fit_quality(docs, labels)).collect() == []
+    assert langid.identify(none, langid.fit_languages(docs)).collect() == []
