@@ -566,6 +566,7 @@ _COVERAGE = "cover AS (SELECT doc_id, count(*) AS total_lines, count(DISTINCT CA
 
 @query(_with(GRID, TOPICS, _SPARSE, _MARKED, _COVERAGE, select="SELECT *, round(100.0 * covered_lines / greatest(1, total_lines), 2) AS coverage_percentage FROM cover"))
 def coverage(spark, sf_dir):
+    """All lines; every third document's topics are cut to their first line, so that there are gaps to find (also in the next two)."""
     return audit.coverage(audit.mark_covered(_grid(spark, sf_dir), _thin(spark, sf_dir)))
 
 
@@ -602,6 +603,7 @@ def quality_means(spark, sf_dir):
 
 @query(_with(GRID, TOPICS, select="SELECT doc_id, count(*) AS n_topics, CAST(0 AS BIGINT) AS n_verified, round(100.0 * (1 - CAST(count(DISTINCT {'p': start_page, 'l': start_line // 5}) AS DOUBLE) / count(*)), 1) AS redundancy_pct FROM topics GROUP BY doc_id"))
 def redundancy(spark, sf_dir):
+    """All topics; their start lines are folded by five, so that some begin at one place."""
     return evaluate.redundancy(_topics(spark, sf_dir).withColumn("start_line", F.floor(F.col("start_line") / 5)))
 
 
