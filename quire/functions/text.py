@@ -161,9 +161,14 @@ def keywords(c: Column) -> Column:
 
 def keyword_overlap(a: Column, b: Column) -> Column:
     """The share of the smaller set of keywords that the other has, too; 0 if either is empty."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+    def share(p: Column) -> Column:
+        least = F.least(F.size(p["a"]), F.size(p["b"]))
+        return F.when(least > 0, F.size(F.array_intersect(p["a"], p["b"])) / least).otherwise(F.lit(0.0))
+
+    # bound to a name, so that both are computed once
+    both = F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b"))
+    return F.element_at(F.transform(F.array(both), share), 1)
 
 
 def plain(c: Column) -> Column:

@@ -22,10 +22,11 @@ WINDOW_LINES, LONGEST = 10, 256
 
 @dataclass
 class Layout:
-    """Runs of lines (doc_id, page, run, cells, said, tail), and each document's least and largest page."""
+    """Runs of lines (doc_id, page, run, cells, said, tail), each document's least and largest page, and where what is found may be kept."""
 
     runs: DataFrame
     limits: DataFrame
+    scratch: Scratch | None = None
 
 
 def page_limits(lines: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def of_lines(lines: DataFrame) -> Layout:
 def shared(scratch: Scratch, lines: DataFrame) -> Layout:
     """The layout as a bucketed table, for what reads it several times."""
     runs = scratch.keep_bucketed(page_runs(lines), ["doc_id", "page"], "runs")
-    return Layout(runs, scratch.keep_bucketed(page_limits(runs), ["doc_id"], "limits"))
+    return Layout(runs, scratch.keep_bucketed(page_limits(runs), ["doc_id"], "limits"), scratch)
 
 
 def pages_of(first: Column, last: Column) -> Column:

@@ -57,26 +57,45 @@ def _place(x: Column) -> Column:
 def _held() -> Column:
     """The best window that begins in a run and holds the quote (1) or is held by it (0.9), or null.
 
-    Whether the run has the quote at all is asked first, and whether the quote has one of the run's lines.
+    The run is searched for the quote as one text. If it is there, the first windows that reach over its place are judged, and all
+    of them only if it takes more lines than a window has; if it isn't, the windows whose first line the quote holds.
     """
+    quote, size = F.col("quote"), F.col("size")
     near = lambda x: x["page"].between(F.col("from_page"), F.col("to_page"))
-    ahead, quote = F.concat("said", "tail"), F.col("quote")
-
-    def windows(all_lines: Column) -> Column:
-        text = F.array_join(F.transform(F.filter(all_lines, near), lambda x: x["plain"]), " ")
-        some = F.exists("said", lambda x: quote.contains(T.stripped(x["plain"])))
-        each = F.transform(F.sequence(F.lit(1), F.size("said")), lambda k: _bound(F.filter(F.slice(all_lines, k, F.col("size")), near), judged))
-        return F.when((F.size("said") > 0) & (text.contains(quote) | some), F.array_max(F.filter(each, lambda w: w["score"] > 0)))
+    joined = lambda w: F.array_join(F.transform(w, lambda x: x["plain"]), " ")
+    whole = F.size("said") > 0
 
     def judged(w: Column) -> Column:
-        return _bound(T.stripped(F.array_join(F.transform(w, lambda x: x["plain"]), " ")), lambda text: scored(w, text))
+        return _bound(T.stripped(joined(w)), lambda text: scored(w, text))
 
     def scored(w: Column, text: Column) -> Column:
         score = F.when(text.contains(quote), F.lit(1.0)).when(quote.contains(text) & (F.length(text) >= 15), F.lit(0.9)).otherwise(F.lit(0.0))
         first, last = F.element_at(w, 1), F.element_at(w, -1)
         return F.struct(F.when(F.length(text) >= SHORTEST, score).otherwise(F.lit(0.0)).alias("score"), (-first["global_line_id"]).alias("order"), _place(first).alias("first"), _place(last).alias("last"))
 
-    return _bound(ahead, windows)
+    def best(lines: Column, starts: Column) -> Column:
+        each = F.transform(starts, lambda k: _bound(F.slice(lines, k, size), lambda w: judged(F.filter(w, near))))
+        return F.array_max(F.filter(each, lambda w: w["score"] > 0))
+
+    def at_place(lines: Column, place: Column) -> Column:
+        """``place``: where in the joined lines the quote begins, from 1, or 0."""
+        walked = F.aggregate(
+            F.filter(lines, near), F.struct(F.lit(0).alias("at"), F.lit(1).alias("line")),
+            lambda s, x: F.struct((s["at"] + F.length(x["plain"]) + 1).alias("at"), (s["line"] + F.when(s["at"] + F.length(x["plain"]) + 1 < place, 1).otherwise(0)).alias("line")),
+        )["line"]
+        return _bound(walked, lambda line: best(lines, _range(F.greatest(F.lit(1), line - size + 1), F.least(F.size("said"), line))))
+
+    def found(lines: Column, place: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size("said"))
+        over = _bound(at_place(lines, place), lambda b: F.when(b["score"] == 1, b).otherwise(best(lines, every)))
+        held = best(lines, F.filter(every, lambda k: quote.contains(T.stripped(F.element_at("said", k)["plain"]))))
+        return F.when(whole & (place > 0), over).when(whole, held)
+
+    return _bound(F.concat("said", "tail"), lambda lines: _bound(F.instr(joined(F.filter(lines, near)), quote), lambda place: found(lines, place)))
+
+
+def _range(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
 _PLACE = "struct<page:int,line:int,global_line_id:bigint>"
@@ -249,7 +268,7 @@ def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFra
     3. The label's keywords are compared with those of the range, as it is now, and the quote.
     4. A topic is verified if both coordinates exist, the quote scores 0.7, the label 0.15, and nothing was inverted.
 
-    ``lines`` are canonical lines or a layout of them. The layout is read twice: for coordinates and quotes together, and for the
+    ``lines`` are canonical lines or a layout of them; with a shared layout Spark jobs run when this is called. The layout is read twice: for coordinates and quotes together, and for the
     words of the range as it is then; ``topics`` are read where they are exploded to pages and where verdicts come back to them.
     """
     layout = lines if isinstance(lines, Layout) else of_lines(lines)
@@ -258,6 +277,7 @@ def validate(topics: DataFrame, lines: DataFrame, fuzzy: bool = True) -> DataFra
     swap = lambda a, b: F.when(F.col("inverted"), F.col(b)).otherwise(F.col(a))
     given = given.withColumns({"start_page": swap("start_page", "end_page"), "end_page": swap("end_page", "start_page"), "start_line": swap("start_line", "end_line"), "end_line": swap("end_line", "start_line")})
     seen = _snapped(_seen(given, layout, fuzzy, "start_line", "end_line"))
+    seen = layout.scratch.keep(seen, "seen") if layout.scratch else seen  # read twice, and a few numbers a topic
     seen = seen.join(_range_words(seen, layout.runs), ["doc_id", "candidate_id"], "left").drop("min_page", "max_page")
     own = [c for c in seen.columns if c not in ("doc_id", "candidate_id")]
     t = given.join(seen.select("doc_id", "candidate_id", F.struct(*own).alias("seen")), ["doc_id", "candidate_id"], "left")
