@@ -27,9 +27,8 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    """The distinct runs of ``GRAM`` characters of a text in lower case."""
-    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda k: F.substr(text, k, F.lit(GRAM))))
+    """The distinct runs of ``GRAM`` characters of a text in lower case: what is ahead of each of its places."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def search_index(scratch: Scratch, topics: DataFrame) -> DataFrame:
@@ -127,54 +126,56 @@ LETTER_SHARES = {
 def letters(label: Column) -> Column:
     """Each letter of a label with the number of its occurrence, the rarest first: two labels share as many of them as they have
     letters in common."""
-    rarity = F.create_map(*(F.lit(x) for c, share in LETTER_SHARES.items() for x in (c, math.log(share / 100))))
+    rarity = F.lit([-8.0, *(math.log(share / 100) for share in LETTER_SHARES.values())])
+    known = F.lit("".join(LETTER_SHARES))
 
-    def token(i: Column) -> Column:
-        c = F.substr(label, i, F.lit(1))
-        seen = F.substr(label, F.lit(1), i)
-        k = F.length(seen) - F.length(F.replace(seen, c, F.lit("")))
-        return F.struct((k * F.coalesce(F.try_element_at(rarity, c), F.lit(-8.0))).alias("rarity"), F.concat(c, k.cast("string")).alias("token"))
+    def token(chars: Column, c: Column, i: Column) -> Column:
+        k = i + 2 - F.array_position(chars, c)  # the letters are sorted, so like ones are in a row
+        return F.struct((k * F.element_at(rarity, F.instr(known, c) + 1)).alias("rarity"), F.concat(c, k.cast("string")).alias("token"))
 
-    places = F.when(F.length(label) > 0, F.sequence(F.lit(1), F.length(label))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.array_sort(F.transform(places, token)), lambda x: x["token"])
+    own = F.sort_array(F.when(F.length(label) > 0, F.split(label, "")).otherwise(F.array().cast("array<string>")))
+    each = F.element_at(F.transform(F.array(own), lambda chars: F.transform(chars, lambda c, i: token(chars, c, i))), 1)
+    return F.transform(F.sort_array(each), lambda x: x["token"])
 
 
 def _labels_met(asked: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, run_b, x) of the rows of ``asked`` (doc_id, run_b, x) of which a label (doc_id, run_b, y) is alike.
+    """(doc_id, run_b, x) of the rows of ``asked`` (doc_id, run_b, x, p) of which a label (doc_id, run_b, y, q) is alike; p and q are ``letters``.
 
     Likeness of ``threshold`` needs a number of common letters. So labels meet only if they share one of their rarest letters, as many of
     these as could be spared and one more; of the pairs that meet, those with too few common letters are dropped, and the
     similarity of the others is computed. A pair counts under its first shared letter only.
     """
-    def prefixed(rows: DataFrame, label: str, name: str) -> DataFrame:
-        spared = F.length(label) - F.ceil(F.length(label) * (threshold / (2 - threshold)) - 1e-9)
-        rows = rows.withColumn(name, letters(F.col(label))).withColumn(f"{name}_rare", F.slice(name, F.lit(1), (spared + 1).cast("int")))
+    def prefixed(rows: DataFrame, name: str) -> DataFrame:
+        spared = F.size(name) - F.ceil(F.size(name) * (threshold / (2 - threshold)) - 1e-9)
+        rows = rows.withColumn(f"{name}_rare", F.slice(name, F.lit(1), (spared + 1).cast("int")))
         return rows.withColumn("letter", F.explode(f"{name}_rare"))
 
-    met = prefixed(asked, "x", "p").join(prefixed(labels, "y", "q"), ["doc_id", "run_b", "letter"])
+    met = prefixed(asked, "p").join(prefixed(labels, "q"), ["doc_id", "run_b", "letter"])
     first = F.col("letter") == F.element_at(F.array_intersect("p_rare", "q_rare"), 1)
     enough = 2.0 * F.size(F.array_intersect("p", "q")) >= threshold * (F.size("p") + F.size("q")) - 1e-9
     return met.where(first & enough).where(T.matched_ratio(F.col("x"), F.col("y")) >= threshold).select("doc_id", "run_b", "x").distinct()
 
 
 def _met_runs(runs: DataFrame) -> DataFrame:
-    """(doc_id, label, own, runs): each label of a document, the runs that have it with how often, and all runs of the document; written once."""
+    """(doc_id, label, own, letters, runs): each label of a document, the runs that have it with how often, its letters, and all runs of the
+    document; written once, in as many parts as shuffles have, as what reads it computes more than it moves."""
     scratch = Scratch(runs.sparkSession, "stability")
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = runs.groupBy("doc_id", F.lower(T.stripped(F.col("topic"))).alias("label"), "run_id").agg(F.count("*").alias("n"))
     labels = scratch.keep(labels, "labels")
     known = labels.groupBy("doc_id").agg(F.collect_set("run_id").alias("runs")).withColumnRenamed("doc_id", "d")
-    rows = labels.groupBy("doc_id", "label").agg(F.collect_list(F.struct("run_id", "n")).alias("own"))
+    rows = labels.repartition(n, "doc_id", "label").groupBy("doc_id", "label").agg(F.collect_list(F.struct("run_id", "n")).alias("own")).withColumn("letters", letters(F.col("label")))
     return scratch.keep(rows.join(known, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d"), "met")
 
 
 def _similarity(met: DataFrame, threshold: float) -> DataFrame:
     own = F.transform("own", lambda o: o["run_id"])
     rows = met.where("doc_id is not null").withColumn("runs_with", own)
-    asked = rows.select("doc_id", F.col("label").alias("x"), "own", "runs_with", F.explode("runs").alias("run_b")).where(F.array_min("runs_with") < F.col("run_b"))
+    asked = rows.select("doc_id", F.col("label").alias("x"), F.col("letters").alias("p"), "own", "runs_with", F.explode("runs").alias("run_b")).where(F.array_min("runs_with") < F.col("run_b"))
     asked = asked.withColumn("same", F.col("x").isNotNull() & F.array_contains("runs_with", F.col("run_b")))
     if threshold <= 1:
-        others = rows.where("label is not null").select("doc_id", F.col("label").alias("y"), F.explode("runs_with").alias("run_b"))
-        alike = _labels_met(asked.where("not same").select("doc_id", "run_b", "x"), others, threshold).withColumn("alike", F.lit(True))
+        others = rows.where("label is not null").select("doc_id", F.col("label").alias("y"), F.col("letters").alias("q"), F.explode("runs_with").alias("run_b"))
+        alike = _labels_met(asked.where("not same").select("doc_id", "run_b", "x", "p"), others, threshold).withColumn("alike", F.lit(True))
         asked = asked.join(alike, ["doc_id", "run_b", "x"], "left").withColumn("same", F.col("same") | F.coalesce("alike", F.lit(False)))
     each = asked.select("doc_id", "run_b", "same", F.explode("own").alias("o")).where(F.col("o.run_id") < F.col("run_b"))
     found = F.sum(F.when(F.col("same"), F.col("o.n")).otherwise(0)) / F.sum("o.n")
