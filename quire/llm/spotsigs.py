@@ -20,7 +20,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import clusters, textbuf
@@ -193,59 +193,83 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096, bytes_per_range: int = 12 << 20) -> DataFrame:
+def _begins(rows_per_range: int, bytes_per_range: int):
+    """The first rows of ranges, of partitions (key, h, size) sorted by key and h: where a grid over rows or bytes is crossed.
+
+    Rows alike in key and h stay in one range, so it then begins with the next other row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, size, due = None, 0, 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, h, sizes = (batch.column(c).to_numpy() for c in range(3))
+            other = np.ones(len(key), bool)
+            other[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+            other[0] = (key[0], h[0]) != last
+            place = n + np.arange(-1, len(key))
+            ends = size + np.concatenate([[0], np.cumsum(sizes)])
+            wanted = (place[1:] // rows_per_range != place[:-1] // rows_per_range) | (ends[1:] // bytes_per_range != ends[:-1] // bytes_per_range)
+            wanted[0] |= due
+            may = np.flatnonzero(other)
+            at = np.searchsorted(may, np.flatnonzero(wanted))
+            due = bool(len(at)) and at[-1] == len(may)
+            at = may[np.unique(at[at < len(may)])]
+            last, n, size = (key[-1], h[-1]), n + len(key), int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(h[at])], ["key", "h"])
+
+    return run
+
+
+def _ranges(scratch: Scratch, rows: DataFrame, rows_per_range: int, bytes_per_range: int, most: int) -> np.ndarray:
+    """The first row (key, h) of each range, in order; about ``most`` at the most, and one more a shuffle partition."""
+    light = scratch.keep(rows.select("key", "h", (F.octet_length("text") + 16).cast("long").alias("size")), "places")
+    n, size = light.agg(F.count("*"), F.sum("size")).first()
+    if not n:
+        return np.zeros((0, 2), np.int64)
+    rows_per_range, bytes_per_range = max(rows_per_range, 2 * n // most), max(bytes_per_range, 2 * size // most)
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    found = light.repartitionByRange(parts, "key", "h").sortWithinPartitions("key", "h").mapInArrow(_begins(rows_per_range, bytes_per_range), "key long, h long").toArrow()
+    scratch.drop(light)
+    cuts = np.stack([found.column(c).to_numpy() for c in ("key", "h")], 1)
+    return cuts[np.lexsort((cuts[:, 1], cuts[:, 0]))]
+
+
+def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096, bytes_per_range: int = 12 << 20, most_ranges: int = 100_000) -> DataFrame:
     """Each text's fingerprint against those of its edited text and of the next document.
 
     The edited text has its last n // 4 characters replaced by the first as many (or all) of the next
     document, in the order of id (null first) and text; the first follows the last. A single row
     follows itself. Null texts count as empty. Other columns are not looked at.
 
-    Rows of one id follow each other in the order of their texts' hashes. The ids' quantiles cut the rows
-    into small ranges, and neighbours are put together up to ``rows_per_range`` rows and ``bytes_per_range`` bytes;
-    only a range's first row goes to two places, its own and the end of the range before. The driver gets
-    a few numbers for each small range, a quarter of ``rows_per_range`` rows or more each. Spark jobs run when this is called.
+    Rows of one id follow each other in the order of their texts' hashes. Ids and hashes, without texts, are sorted to find where
+    ranges of ``rows_per_range`` rows or ``bytes_per_range`` bytes begin, whatever id they have; then each text goes to
+    the partition of its range, and a range's first row to the end of the range before, too. The driver gets a pair of numbers a range,
+    as for a shuffle of as many partitions; beyond ``most_ranges`` ranges become longer instead, and tasks hold a row
+    at a time. Only rows alike in id and text are never cut apart. Spark jobs run when this is called.
     """
+    scratch = Scratch(docs.sparkSession, "next")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = rows.count()
-    if not n:
+    rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
+    cuts = _ranges(scratch, rows, rows_per_range, bytes_per_range, most_ranges)
+    if not len(cuts):
         return docs.sparkSession.createDataFrame([], COMPARED)
-    parts = max(1, math.ceil(4 * n / rows_per_range))
-    cuts = rows.select(F.percentile_approx("key", [k / parts for k in range(parts)], 100 * parts).alias("q")).first()["q"]
-    cuts = [-(2**63), *sorted(set(cuts) - {min(cuts), -(2**63)})]
-    sized = rows.select("key", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).withColumn("range", _range_number(F.col("key"), cuts))
-    small = sized.groupBy("range").agg(F.min(F.struct("key", "h")).alias("f"), F.count("*").alias("n"), F.sum("size").alias("size")).collect()
-    whole, held, size = [], 0, 0  # the small ranges with which ranges begin
-    for r in sorted(small, key=lambda r: r["range"]):
-        held, size = held + r["n"], size + r["size"]
-        if not whole or held > rows_per_range or size > bytes_per_range:
-            whole.append(r)
-            held, size = r["n"], r["size"]
-    cuts = [-(2**63), *(cuts[r["range"]] for r in whole[1:])]
-    placed = rows.withColumns({"range": _range_number(F.col("key"), cuts), "h": F.xxhash64("text")})
-    at = F.col("range") + 1
-    key, h = (F.element_at(F.lit(np.array([r["f"][c] for r in whole], np.int64)), at) for c in ("key", "h"))
-    before = F.when(F.col("range") == 0, len(cuts) - 1).otherwise(F.col("range") - 1).cast("long")
-    own = F.struct(F.col("range").cast("long").alias("range"), F.lit(False).alias("tail"))
+    placed = rows.withColumn("range", _range_number(F.col("key"), F.col("h"), cuts))
+    key, h = (F.element_at(F.lit(cuts[:, c].copy()), F.col("range") + 1) for c in (0, 1))
+    before = F.when(F.col("range") == 0, len(cuts) - 1).otherwise(F.col("range") - 1)
+    own = F.struct(F.col("range"), F.lit(False).alias("tail"))
     to = F.when((F.col("key") == key) & (F.col("h") == h), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     dealt = placed.withColumn("to", F.explode(to)).select("doc_id", "text", "key", "h", "to.range", "to.tail")
-    partitions = max(len(cuts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # hashes of the ranges' numbers would send several to one partition
-    place = F.element_at(F.lit(np.array(_sent_to(docs.sparkSession, partitions)[: len(cuts)], np.int64)), (F.col("range") + 1).cast("int"))
-    dealt = dealt.withColumn("place", place).repartition(partitions, "place").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
+    dealt = dealt.repartitionById(len(cuts), "range").sortWithinPartitions("range", "tail", "key", "h").select("doc_id", "text", "tail", "range")
     return dealt.mapInArrow(_with_next, COMPARED)
 
 
-def _sent_to(spark: SparkSession, partitions: int) -> list[int]:
-    """For each partition a number that hash partitioning sends there (or any, if the numbers tried have none)."""
-    tried = spark.range(40 * partitions).groupBy(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).agg(F.min("id").alias("id"))
-    found = {r["p"]: r["id"] for r in tried.collect()}
-    return [found.get(p, p) for p in range(partitions)]
-
-
-def _range_number(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted ``cuts`` but the first are not above ``key``: a search in two levels."""
+def _range_number(key: Column, h: Column, cuts: np.ndarray) -> Column:
+    """How many of the sorted ``cuts`` (key, h) but the first are not above a row: a search in two levels."""
     width = math.isqrt(len(cuts) - 1) + 1
-    rough = F.size(F.filter(F.lit(np.array(cuts[::width], np.int64)), lambda c: c <= key))
-    fine = F.array(*(F.lit(np.array(cuts[k : k + width], np.int64)) for k in range(0, len(cuts), width)))
-    return (rough - 1) * width + F.size(F.filter(F.element_at(fine, rough), lambda c: c <= key)) - 1
+    pairs = lambda c: F.arrays_zip(F.lit(c[:, 0].copy()).alias("key"), F.lit(c[:, 1].copy()).alias("h"))
+    below = lambda c: (c["key"] < key) | ((c["key"] == key) & (c["h"] <= h))
+    rough = F.greatest(F.lit(1), F.size(F.filter(pairs(cuts[::width]), below)))
+    fine = F.array(*(pairs(cuts[k : k + width]) for k in range(0, len(cuts), width)))
+    return F.greatest(F.lit(0), (rough - 1) * width + F.size(F.filter(F.element_at(fine, rough), below)) - 1).cast("int")

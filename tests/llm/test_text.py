@@ -6,6 +6,7 @@ import pathlib
 import random
 import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -286,10 +287,30 @@ def test_fingerprints_edited_and_next(spark):
     assert len(twice) == 3
 
 
-def test_each_range_has_a_partition(spark):
-    sent = spotsigs._sent_to(spark, 37)
-    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sent)], "k long, place long").repartition(37, "place").withColumn("p", F.spark_partition_id()).collect()
-    assert sorted(r.p for r in rows) == list(range(37)) and all(r.k == r.p for r in rows)
+def test_a_hot_id_is_cut_into_ranges(spark):
+    from quire.llm.scratch import Scratch
+
+    rng = random.Random(5)
+    rows = [(None if k % 3 else k, f"text {rng.random()}" * rng.randrange(1, 9)) for k in range(900)] + [(7, "alike")] * 200
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for most in (100_000, 20):  # ranges become longer where they would be too many
+        placed = df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "text", F.xxhash64("text").alias("h"))
+        cuts = spotsigs._ranges(Scratch(spark, "test"), placed, 50, 2000, most)
+        assert len({tuple(c) for c in cuts}) == len(cuts) <= most + 4
+        n = placed.select(spotsigs._range_number(F.col("key"), F.col("h"), cuts).alias("r"), "key", "h").collect()
+        want = [sum(tuple(c) <= (r.key, r.h) for c in cuts.tolist()) - 1 for r in n]
+        assert [r.r for r in n] == want and set(want) == set(range(len(cuts)))
+        if most > 20:
+            assert max(Counter(r.r for r in n if r.key != 7).values()) <= 51
+    got = spotsigs.edited_and_next(df, rows_per_range=50)
+    assert got.count() == len(rows)
+    order = sorted((r.key, r.h, r.text) for r in placed.collect())
+    want = Counter()
+    for (key, _, text), (_, _, after) in zip(order, order[1:] + order[:1]):
+        k = len(text) // 4
+        want[None if key == -(2**63) else key, sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
 
 
 def test_similar_classes_are_those_of_all_pairs(spark):
