@@ -150,7 +150,8 @@ def _labels_met(asked: DataFrame, labels: DataFrame, threshold: float) -> DataFr
         rows = rows.withColumn(f"{name}_rare", F.slice(name, F.lit(1), (spared + 1).cast("int")))
         return rows.withColumn("letter", F.explode(f"{name}_rare"))
 
-    met = prefixed(asked, "p").join(prefixed(labels, "q"), ["doc_id", "run_b", "letter"])
+    # the tables are small as files and many times larger once their letters are exploded: neither side may be broadcast by its file's size
+    met = prefixed(asked, "p").join(prefixed(labels, "q").hint("merge"), ["doc_id", "run_b", "letter"])
     first = F.col("letter") == F.element_at(F.array_intersect("p_rare", "q_rare"), 1)
     enough = 2.0 * F.size(F.array_intersect("p", "q")) >= threshold * (F.size("p") + F.size("q")) - 1e-9
     return met.where(first & enough).where(T.matched_ratio(F.col("x"), F.col("y")) >= threshold).select("doc_id", "run_b", "x").distinct()
@@ -165,7 +166,7 @@ def _met_runs(runs: DataFrame) -> DataFrame:
     labels = scratch.keep(labels, "labels")
     known = labels.groupBy("doc_id").agg(F.collect_set("run_id").alias("runs")).withColumnRenamed("doc_id", "d")
     rows = labels.repartition(n, "doc_id", "label").groupBy("doc_id", "label").agg(F.collect_list(F.struct("run_id", "n")).alias("own")).withColumn("letters", letters(F.col("label")))
-    return scratch.keep(rows.join(known, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d"), "met")
+    return scratch.keep(rows.join(known.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d"), "met")  # a row a document
 
 
 def _similarity(met: DataFrame, threshold: float) -> DataFrame:

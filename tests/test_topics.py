@@ -509,6 +509,15 @@ def test_sample_is_systematic(spark):
     assert evaluate.systematic_sample(t.where("candidate_id < 3")).count() == 3
 
 
+def test_exploded_letters_of_labels_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "abc", ["a", "b", "c"])], "doc_id long, run_b int, x string, p array<string>").write.parquet(f"{tmp_path}/labels")
+    labels = spark.read.parquet(f"{tmp_path}/labels")
+    met = evaluate._labels_met(labels, labels.toDF("doc_id", "run_b", "y", "q"), 0.7)
+    joins = [row for row in met._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in row and "letter" in row]
+    assert joins and all("SortMergeJoin" in row for row in joins)
+    assert [tuple(r) for r in met.collect()] == [(1, 1, "abc")]
+
+
 def test_search_redundancy_and_stability(spark):
     t = make_topics(spark, topic(0, name="Loan A"), topic(1, name="B", quote="the LOAN"), topic(2, name="C", sl=2))
     assert evaluate.search(t, " loan ").count() == 2 and evaluate.search(t, "  ").count() == 3
