@@ -317,6 +317,33 @@ def located(t, lines, fuzzy=True):
     return best if best[0] >= 0.65 else None
 
 
+def test_windows_that_cannot_be_alike_are_not_compared(spark, monkeypatch):
+    rng, compared = random.Random(5), []
+    words = ["witness", "loan", "retainer", "note", "paid", "march", "he", "went"]
+    said = [{"page": 1, "line": k, "global_line_id": k, "plain": " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 9, 40])))} for k in range(1, 26)]
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            compared.append(self.b)
+            return super().ratio()
+
+    monkeypatch.setattr(validate, "SequenceMatcher", Counted)
+    for at in range(0, 20, 3):
+        quote = " ".join(said[at]["plain"][::-1].split()) if at % 2 else said[at]["plain"][2:].replace("e", "")
+        for size in (1, 3) if len(quote) >= validate.SHORTEST else ():
+            texts = {k: " ".join(x["plain"] for x in said[k : k + size]).strip() for k in range(25)}
+            scores = [(max(0.9 if len(t) >= 15 and t in quote else 0.0, SequenceMatcher(None, quote, t).ratio()), -said[k]["global_line_id"]) for k, t in texts.items() if len(t) >= validate.SHORTEST]
+            want = max((s for s in scores if s[0] >= validate.QUOTE_LEAST), default=None)
+            before = len(compared)
+            got = validate._best_window((1, 1), quote, size, 1, 9, said, [], None)
+            assert (got and got[1:3]) == want
+            assert len(compared) - before <= 4
+    df = spark.createDataFrame([("x" * 40, 1, 1, 1, said[:1], said[:0])], "quote string, size int, from_page int, to_page int, said array<struct<page:int,line:int,global_line_id:long,plain:string>>, tail array<struct<page:int,line:int,global_line_id:long,plain:string>>")
+    for length, fits in ((18, False), (20, True), (83, True), (84, False)):
+        line = F.array(F.struct(F.lit(1).alias("page"), F.lit(1).alias("line"), F.lit(1).cast("long").alias("global_line_id"), F.lit("y" * length).alias("plain")))
+        assert df.withColumn("said", line).select(validate._comparable()).first()[0] is fits
+
+
 def test_quotes_and_verdicts_by_similarity_are_what_a_walk_finds(spark):
     lines = by_document(queries._grid(spark, DATA), ("global_line_id",))
     topics = queries._misquoted(queries._topics(spark, DATA))
