@@ -767,3 +767,18 @@ def test_viewer_scripts_are_read_again(spark, tmp_path):
     export.write_viewer(export.viewer_bundle(index, lines), 1, str(tmp_path / "v.js"))
     r = transcripts.read_viewer(spark, str(tmp_path / "v.js")).first()
     assert (r.title, [x.topic for x in r.topics], r.topics[0].supporting_quote, [x.text for x in r.lines]) == ("Deposition of unknown", ["A"], 'x "y"; z', BASE[:3])
+
+
+def test_lines_of_blocks_are_found_without_a_shuffle(spark):
+    blocks = [["1\nfirst", " 2 \n\n two \n words ", "Page 9\n3\nfooter", "2\nlast wins", "x 4\nno number", "26\nbeyond", "99999999999\ntoo large", "25", None, "", "7\n"], None, [], ["3\nonly"]]
+    pages = spark.createDataFrame([(d, 0, 5 + d, b) for d, b in enumerate(blocks)] + [(3, 1, 9, ["3\nnext"])], "doc_id long, page_idx int, page int, blocks array<string>")
+    want = sorted(tuple(r) for r in transcripts.densify(pages, transcripts.block_lines(pages)).collect())
+    dense = transcripts.dense_block_lines(pages)
+    assert sorted(tuple(r) for r in dense.collect()) == want and len(want) == 125
+    assert "Exchange" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_read_once_by_the_whole_plan(spark):
+    plan = indexing.index_pages(queries._pages(spark, DATA)).lines._jdf.queryExecution().executedPlan().toString()
+    about = [x for x in queries.QUERIES["index_pages"](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("\n") if "documents.parquet" in x]
+    assert not about and "documents.parquet" not in plan
