@@ -782,3 +782,48 @@ def test_pages_are_read_once_by_the_whole_plan(spark):
     plan = indexing.index_pages(queries._pages(spark, DATA)).lines._jdf.queryExecution().executedPlan().toString()
     about = [x for x in queries.QUERIES["index_pages"](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("\n") if "documents.parquet" in x]
     assert not about and "documents.parquet" not in plan
+
+
+# --- what large inputs cost -----------------------------------------------------------------------
+
+
+def test_ranges_give_few_words_of_a_label(spark):
+    """Of a range's words those that the label needs and as many others as it has, not all of them; a label that is quoted needs none."""
+    runs = layout.page_runs(make_lines(spark, ["alpha beta gamma", "delta epsilon zeta", "eta theta"]))
+    at = "doc_id long, candidate_id long, start_page int, start_line int, end_page int, end_line int, min_page int, max_page int, label int, unquoted array<string>"
+    rows = spark.createDataFrame([(1, 0, 7, 1, 7, 3, 7, 7, 2, ["zeta"]), (1, 1, 7, 3, 7, 3, 7, 7, 0, []), (1, 2, 7, 4, 7, 9, 7, 7, 1, ["eta"])], at)
+    got = {r.candidate_id: r.said for r in validate._range_words(rows, runs).collect()}
+    assert got == {0: ["zeta", "alpha", "beta"], 1: []}
+
+
+@pytest.mark.parametrize(("name", "quote", "score"), [("alpha", "alpha beta", 1.0), ("omega", "alpha beta", 0.0), ("alpha zeta", "alpha beta", 1.0), ("zeta omega", "alpha beta", 0.5), ("is it", "alpha beta", 0.0), ("", "alpha", 0.0)])
+def test_labels_count_words_of_quote_and_range(spark, name, quote, score):
+    texts = ["alpha beta gamma", "delta epsilon zeta", "omega"]
+    assert check(spark, topic(name=name, sl=1, el=2, quote=quote), texts, fuzzy=False).semantic_score == score
+
+
+def test_maxima_sort_no_runs_of_lines(spark):
+    """What a topic finds in a run is computed before rows are sorted for the best of it."""
+    lines = make_lines(spark, ["alpha beta gamma"] * 30)
+    plan = validate.validate(make_topics(spark, topic(quote="alpha beta")), lines, fuzzy=False)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max(best" in plan and "partial_max(element_at" not in plan
+
+
+@pytest.mark.parametrize("quote", ["xx c d", "eight nine ten", "five six seven eight nine ten", "b b xx c d xx four five", "d xx four five six seven eight nine ten c d xx"])
+def test_first_window_around_a_quote(spark, quote):
+    """By places in the joined lines: a window that begins as early as it can, or none if the quote takes more lines than it has."""
+    lines = make_lines(spark, ["a x", "b b", "xx c", "d xx", "", "four five six seven", "eight nine ten", "c d xx"])
+    found = validate.locate_quotes(make_topics(spark, topic(quote=quote, sl=1, el=2), topic(n=1, quote=f"  {quote.upper()}!", sl=1, el=2)), lines, fuzzy=False).collect()
+    want = brute_window(["a x", "b b", "xx c", "d xx", "", "four five six seven", "eight nine ten", "c d xx"], quote)
+    assert [(r.quote_score, r.q_start_gid, r.q_end_gid) for r in found] == [want] * 2 * bool(want)
+
+
+def brute_window(texts, quote):
+    said = [(k + 1, t) for k, t in enumerate(texts) if t.strip()]
+    size = max(1, min(10, len(quote.split()) // 5 + 1))
+    windows = [(said[k : k + size], " ".join(t for _, t in said[k : k + size])) for k in range(len(said))]
+    for score, held in ((1.0, lambda text: quote in text), (0.9, lambda text: text in quote and len(text) >= 15)):
+        for w, text in windows:
+            if held(text):
+                return (score, w[0][0], w[-1][0])
+    return None
