@@ -827,3 +827,18 @@ def brute_window(texts, quote):
             if held(text):
                 return (score, w[0][0], w[-1][0])
     return None
+
+
+def test_prompts_read_chunks_once(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    prompts = chunks.prompts(chunks.clean_chunks(chunks.chunk_lines(indexing.lines_of_text(docs), 2, 1)))
+    assert prompts._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def test_noise_by_its_first_letters(spark):
+    """Whatever stands before or within the first letters, the short test passes no noise over."""
+    texts = [*T.PROCEDURAL_PHRASES, "1. O-b*jection!", "  (Same  objection)", "standing objection, all of it", "objection one two three four five", "og off", "G.o off the record", "o", "", "so", "so-so stipulated"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string").orderBy("k").select(T.is_pure_noise(F.col("t"))).collect()]
+    plain = [re.sub(r"[^a-z\s]", "", t.lower()).strip() for t in texts]
+    want = [p in T.PROCEDURAL_PHRASES or p.startswith("objection") and len(p.split()) <= 5 or bool(re.match(r"(same|continuing|standing)\s+objection", p)) for p in plain]
+    assert got == [*want, None] and sum(want) == len(T.PROCEDURAL_PHRASES) + 4
