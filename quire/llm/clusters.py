@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm import textbuf
 from quire.llm.scratch import Scratch, connected_components
 
-BITS, BLOCK = 1984, 1024
+BITS, BLOCK, PAIRS = 1984, 1024, 1 << 14
 SKETCH = 8 + BITS // 8
 
 #: Tells of two matrices of signatures (one row a pair) which pairs are candidates.
@@ -69,7 +69,10 @@ def _neighbours(test: Test, width: int):
 
 
 def _across(test: Test, width: int, first: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None):
-    """Candidates of different components of each pair of blocks; with ``first``, each at its first shared key only."""
+    """Candidates of different components of each pair of blocks; with ``first``, each at its first shared key only.
+
+    Pairs of many cells are tried at once, ``PAIRS`` at a time (or those of one row), so that small cells don't cost a step each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in textbuf.grouped(batches, lambda x: x.column("cell").to_numpy()):
@@ -77,21 +80,29 @@ def _across(test: Test, width: int, first: Callable[[np.ndarray, np.ndarray, int
             one, two, own, slot = (table.column(k).to_numpy() for k in ("one", "two", "own", "slot"))
             sig = textbuf.binary_rows(table.column("sig"), np.uint8, width)
             cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            at, rows = cuts[:-1], np.diff(cuts)
+            mixed = np.repeat(np.minimum.reduceat(part, at) < np.maximum.reduceat(part, at), rows)
+            # a row of a cell's first block meets those of the second one, which follow, or the rows after it where both are one block
+            begin = np.where(one == two, np.arange(len(cell)) + 1, np.repeat(at + np.add.reduceat((own != two).astype(np.int64), at), rows))
+            count = np.where(mixed & (own == one), np.repeat(cuts[1:], rows) - begin, 0)
             found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if part[lo:hi].min() == part[lo:hi].max():
-                    continue
-                rows = np.arange(lo, hi)
-                left, right = rows[own[lo:hi] == one[lo]], rows[own[lo:hi] == two[lo]]
-                for i in left:
-                    other = right[(part[right] != part[i]) & ((right > i) | (one[lo] != two[lo]))]
-                    mine = np.broadcast_to(sig[i], (len(other), width))
-                    other = other[test(mine, sig[other])]
-                    if first and len(other):
-                        other = other[first(mine[: len(other)], sig[other], int(slot[lo]))]
-                    found.append(np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])], 1))
-            if found:
-                pairs = np.concatenate(found)
+            for lo, hi in textbuf.runs_of(count, PAIRS):
+                n = count[lo:hi]
+                i = np.repeat(np.arange(lo, hi), n)
+                j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                apart = part[i] != part[j]
+                i, j = i[apart], j[apart]
+                near = test(sig[i], sig[j])
+                i, j = i[near], j[near]
+                if first:
+                    good = np.zeros(len(i), bool)
+                    for k in np.unique(slot[i]):
+                        of = np.flatnonzero(slot[i] == k)
+                        good[of] = first(sig[i[of]], sig[j[of]], int(k))
+                    i, j = i[good], j[good]
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run

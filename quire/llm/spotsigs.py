@@ -7,8 +7,8 @@ fingerprint is the set of its signatures, written as sorted 8-digit hexadecimal
 
 Sets are compared by Jaccard similarity. A pair can only reach a threshold t if the smaller set has
 t times the members of the larger one at least; so sets are partitioned by length, and each meets
-its own and the next partition only, by the signatures of the least hashes, of which a match must share one. Of these pairs,
-those that sizes and bucket parities rule out are not compared (``quire.llm.clusters``).
+its own and the next partition only, by its rarest signatures, of which a match must share one: signatures that few sets have
+bring few sets together that are not alike. Of these pairs, those that sizes and bucket parities rule out are not compared (``quire.llm.clusters``).
 """
 
 from __future__ import annotations
@@ -110,38 +110,64 @@ def _near(percent: int):
     return lambda a, b: clusters.may_reach(a, b, percent)
 
 
-def _keyed(percent: int):
+def _often(scratch: Scratch, reps: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that the most sets have, sorted, and how many have each: all with at least 2, 4, 8, ... sets, ``most`` at the most."""
+    counted = scratch.keep(reps.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    least, room = 0, most
+    for bits, n in sorted(counted.groupBy(F.length(F.bin("n"))).count().collect(), reverse=True):  # a row a power of two
+        room -= n
+        if room < 0:
+            break
+        least = 2 ** (bits - 1)
+    found = counted.where(F.col("n") >= least).toArrow() if least else None
+    scratch.drop(counted)
+    spots, n = (found.column(c).to_numpy().astype(np.uint64) if found else np.zeros(0, np.uint64) for c in ("spot", "n"))
+    order = np.argsort(spots)
+    return spots[order], n[order]
+
+
+def _keyed(percent: int, often):
     """The keys of sets of signatures, and their sketches.
 
-    The prefix of a set of n is its n - ceil(t n) + 1 members of the least hashes: sets of likeness t share one of their
-    prefixes' members. A key is such a member with a partition of lengths; a set has keys in its own partition and in the next
+    Signatures have one order for all sets: first those that are not among the broadcast ``often``, then these from the fewest sets to the most, ties by
+    hash. The prefix of a set of n is its first n - ceil(t n) + 1 members: sets of likeness t share one of their
+    prefixes' members. That holds in any order; this one leaves few sets that share a member and are not alike. A key is such a
+    member with a partition of lengths; a set has keys in its own partition and in the next
     one, where the longer sets that it may be like have theirs.
     """
     t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sets = often.value
         for batch in batches:
-            keys, sketches = [], []
-            for spots in batch.column("spots"):
-                own = spots.values.to_numpy().astype(np.uint64)
-                n = len(own)
-                sketches.append(clusters.sketch(own))
-                prefix = np.sort(textbuf.mix(own * np.uint64(0x9E3779B97F4A7C15)))[: n - math.ceil(t * n - 1e-9) + 1]
-                part = int(math.floor(math.log(n) / math.log(1 / t) + 1e-9))
-                keys.append(np.concatenate([textbuf.mix(prefix + np.uint64(k)) for k in (part, part + 1)]))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sketches, pa.binary()), textbuf.lists(flat, np.array([len(k) for k in keys], np.int64))], ["node", "sig", "keys"])
+            sizes = pc.list_value_length(batch.column("spots")).to_numpy().astype(np.int64)
+            for lo, hi in textbuf.runs_of(sizes, 1 << 18):
+                n = sizes[lo:hi]
+                own = batch.column("spots").slice(lo, hi - lo).flatten().to_numpy().astype(np.uint64)
+                ends = np.cumsum(n)
+                sketches = [clusters.sketch(own[a:b]) for a, b in zip(ends - n, ends, strict=True)]
+                h, times = textbuf.mix(own * np.uint64(0x9E3779B97F4A7C15)), np.zeros(len(own), np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    times = np.where(known[at] == own, sets[at], np.uint64(0))
+                h = h[np.lexsort((h, times, np.repeat(np.arange(len(n)), n)))]
+                size = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+                prefix = h[np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(size, n)]
+                part = np.repeat(np.floor(np.log(n) / math.log(1 / t) + 1e-9).astype(np.uint64), size)
+                keys = np.stack([textbuf.mix(prefix + part), textbuf.mix(prefix + part + np.uint64(1))], 1).reshape(-1)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(sketches, pa.binary()), textbuf.lists(keys.view(np.int64), 2 * size)], ["node", "sig", "keys"])
 
     return run
 
 
-def similar_classes(fingerprinted: DataFrame, percent: int = 80) -> DataFrame:
+def similar_classes(fingerprinted: DataFrame, percent: int = 80, most_often: int = 1 << 19) -> DataFrame:
     """(doc_id, class_id) of rows (doc_id, spots): class_id is the smallest doc_id that links reach, the row's own included.
 
     Fingerprints link from a likeness of ``percent`` on. Equal ones are one node; empty ones link with nothing, and rows with a
-    null id have a null class. Sets meet by partitions of lengths under the rarest-hashed members that a match has to share;
+    null id have a null class. Sets meet by partitions of lengths under the rarest members, of which a match has to share one;
     the pairs that classes need are compared as in ``quire.llm.clusters``, so that a hot signature gives
-    no pair for each two of its sets. Spark jobs run when this is called.
+    no pair for each two of its sets. All signatures are counted; the counts of the ``most_often`` most frequent (8 MB) go through the driver
+    to the tasks, and the others count as equally rare. Their number bears on time only, not on results. Spark jobs run when this is called.
     """
     spark = fingerprinted.sparkSession
     scratch = Scratch(spark, "spots")
@@ -149,7 +175,8 @@ def similar_classes(fingerprinted: DataFrame, percent: int = 80) -> DataFrame:
     # two hashes of 64 bits stand for a set of signatures
     node, same = F.xxhash64("spots"), F.xxhash64(F.lit(7), F.col("spots"))
     reps = scratch.keep(known.groupBy(node.alias("node"), same.alias("same")).agg(F.min("doc_id").alias("own"), F.any_value("spots").alias("spots")), "reps")
-    keyed = scratch.keep(reps.select("node", "spots").mapInArrow(_keyed(percent), "node long, sig binary, keys array<long>"), "keyed")
+    often = spark.sparkContext.broadcast(_often(scratch, reps, most_often))
+    keyed = scratch.keep(reps.select("node", "spots").mapInArrow(_keyed(percent, often), "node long, sig binary, keys array<long>"), "keyed")
     keys = keyed.select("node", F.explode(F.array_distinct("keys")).alias("key")).withColumn("slot", F.lit(0))
     shared = scratch.keep(clusters.shared_keys(keys).join(keyed.select("node", "sig"), "node").select("key", "slot", "node", "sig"), "shared")
     sets = scratch.keep(reps.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("spots").alias("members")), "sets")

@@ -1,6 +1,7 @@
 """Near duplicates, repeats and embeddings against brute force, with odd inputs."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -86,6 +87,27 @@ def test_sketches_prove_what_they_drop():
     assert kept < over / 2
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 14])
+def test_pairs_across_components_are_those_of_each_cell(monkeypatch, most):
+    """Cells of one and of two blocks, one without a second block, and one within a component; however many pairs are tried at once."""
+    monkeypatch.setattr(clusters, "PAIRS", most)
+    rng, rows, want = np.random.default_rng(3), [], set()
+    test = lambda a, b: (a[:, 0] ^ b[:, 0]) % 3 == 0
+    first = lambda a, b, slot: (a[:, 1] + b[:, 1]) % 2 == slot
+    for cell, (one, two) in enumerate([(0, 0), (0, 1), (2, 2), (1, 3), (0, 4), (5, 5)]):
+        blocks = [one] * 12 if cell == 4 else [one] * 9 + [two] * 14
+        own = [(cell, int(n), 7 if cell == 5 else int(rng.integers(0, 4)), one, two, block, cell % 2, rng.integers(0, 256, 8).astype(np.uint8)) for n, block in zip(rng.permutation(40), blocks)]
+        rows += sorted(own, key=lambda r: r[5])
+        for x, y in itertools.combinations(own, 2):
+            if (one == two or x[5] != y[5]) and x[2] != y[2] and test(x[7][None], y[7][None])[0] and first(x[7][None], y[7][None], cell % 2)[0]:
+                want.add((min(x[1], y[1]), max(x[1], y[1])))
+    names = ["cell", "node", "component", "one", "two", "own", "slot", "sig"]
+    table = pa.table({c: [r[k].tobytes() if c == "sig" else r[k] for r in rows] for k, c in enumerate(names)})
+    batches = clusters._across(test, 8, first)(iter(table.to_batches(max_chunksize=10)))
+    got = {p for b in batches for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    assert got == want and len(want) > 20
+
+
 def test_no_candidate_within_the_distance_is_lost():
     """The multi-index join passes on every pair within the distance that may reach the threshold, on settings of queries and pipeline."""
     rng = np.random.default_rng(6)

@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, license_scan, packing, quality, spotsigs, textbuf, token_count
+from quire.llm import bpe, clusters, langid, license_scan, packing, quality, spotsigs, textbuf, token_count
 
 ODD = [None, "", " ", "\n", "a", "é", "日本", "🙂", "\x00", "0 1 2", "a" * 5000, "word " * 3000, "...", "ﬁ x²", "\x1c b", "tail ", "½ ² ①", "Ⅷ", "٣", "ª"]
 
@@ -349,6 +349,37 @@ def test_similar_classes_are_those_of_all_pairs(spark):
     assert spotsigs.similar_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_often", [0, 3, 1 << 19])
+def test_classes_whatever_signatures_are_counted(spark, most_often):
+    """The order in which signatures become keys bears on time only."""
+    rng = random.Random(8)
+    sets = []
+    for _ in range(25):
+        one = set(rng.sample(range(60), 30)) | set(rng.sample(range(100, 4000), 12))
+        sets += [one, one - set(rng.sample(sorted(one), rng.randrange(1, 12)))]
+    df = spark.createDataFrame(list(enumerate(sorted(s) for s in sets)), "doc_id long, spots array<long>")
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = list(range(len(sets)))
+    for _ in want:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.class_id for r in spotsigs.similar_classes(df, 80, most_often).collect()}
+    assert got == dict(enumerate(want)) and len(near) > 10
+
+
+def test_frequent_signatures_bring_no_sets_together_that_have_rarer_ones(spark, monkeypatch):
+    rng, met, plain = random.Random(9), [], clusters.components
+    sets = [sorted(rng.sample(range(20), 15)) + [1000 * k + j for j in range(1, 16)] for k in range(1, 101)]
+
+    def counted(scratch, shared, *rest):
+        met.append(shared.count())
+        return plain(scratch, shared, *rest)
+
+    monkeypatch.setattr(clusters, "components", counted)
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id long, spots array<long>")
+    assert all(r.doc_id == r.class_id for r in spotsigs.similar_classes(df).collect()) and met == [0]
+
+
 # --- languages and quality -------------------------------------------------------------------------------------
 
 
